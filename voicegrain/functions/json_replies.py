@@ -13,12 +13,13 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from voicegrain.functions.replies import final_channel
 from voicegrain.functions.text import strip
 from voicegrain.lookups import ANSWER_KEYS
 
-PARSED = "struct<json:string,stage:string>"
+PARSED = StructType([StructField("json", StringType()), StructField("stage", StringType())])
 
 
 def strict_json(text: Column) -> Column:
