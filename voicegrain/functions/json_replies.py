@@ -50,32 +50,28 @@ def is_true(parsed: Column, name: str) -> Column:
 
 def without_markers(reply: Column) -> Column:
     """Text after the last final-channel marker, then after the last analysis marker, any case."""
-    text = strip(F.regexp_replace(strip(reply), r"(?is)\A.*assistantfinal", ""))
+    text = F.regexp_replace(reply, r"(?is)\A.*assistantfinal", "")
     return strip(F.regexp_replace(text, r"(?is)\A.*assistantanalysis", ""))
 
 
 _FENCE = r"```(?:json)?\s*(.*?)```"
 
 
-def parse_reply(reply: Column) -> Column:
-    """Struct ``json, stage``: stage is whole, fence or balanced (how the value was found), or raw
-    with a null json when nothing parses. A blank reply is raw."""
-    text = without_markers(reply)
-    return F.when(reply.isNotNull(), parse_unmarked(text))
+def parse_plainly(text: Column) -> Column:
+    """Struct ``json, stage`` for a text without markers that is strict JSON as a whole, or starts
+    with a fence around strict JSON; null json for all others."""
+    first = F.substring(text, 1, 1)
+    fence = F.startswith(text, F.lit("```"))
+    piece = F.when(first.isin("{", "["), text).when(fence, strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)))
+    return F.struct(strict_json(piece).alias("json"), F.when(fence, "fence").otherwise("whole").alias("stage"))
 
 
-def parse_unmarked(text: Column) -> Column:
-    """``parse_reply`` for a text whose markers were removed."""
-    whole = F.when(text.rlike(r"\A[{\[]"), strict_json(text))
-    fenced = F.when(
-        F.startswith(text, F.lit("```")), strict_json(strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)))
-    )
-    undecided = whole.isNull() & fenced.isNull() & (text != "")
-    slow = parse_leniently(F.when(undecided, text))
-    return F.struct(
-        F.coalesce(whole, fenced, slow["json"]).alias("json"),
-        F.when(whole.isNotNull(), "whole").when(fenced.isNotNull(), "fence")
-        .otherwise(F.coalesce(slow["stage"], F.lit("raw"))).alias("stage"),
+def parse_rest(text: Column, plain: Column) -> Column:
+    """The plain result where there is one, else what the lenient parser finds, else stage raw."""
+    slow = parse_leniently(F.when(plain["json"].isNull() & (text != ""), text))
+    return (
+        F.when(text.isNull(), F.lit(None).cast(PARSED)).when(plain["json"].isNotNull(), plain)
+        .otherwise(F.struct(slow["json"].alias("json"), F.coalesce(slow["stage"], F.lit("raw")).alias("stage")))
     )
 
 
@@ -109,6 +105,8 @@ def read_value(text: str):
             continue
         except RecursionError:
             break
+    if text[:1] not in tuple("{[(#\\"):  # no other text can read as a dict or list
+        return None
     try:
         value = ast.literal_eval(text)
         json.dumps(value)

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.functions.json_replies import (
-    parse_last_braces, parse_final_channel, parse_reply, parse_unmarked, scoring_text, text_fields, without_markers,
+    parse_final_channel, parse_plainly, parse_rest, scoring_text, text_fields, without_markers,
 )
 from voicegrain.lookups import ANSWER_KEYS
 from voicegrain.operators.once import compute_once
 
 
+def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read") -> DataFrame:
+    """Adds the reply without markers and its ``json, stage``, found in any of the known places."""
+    df = compute_once(df, text, without_markers(F.col(reply)))
+    df = compute_once(df, "_plain", parse_plainly(F.col(text)))
+    return compute_once(df, out, parse_rest(F.col(text), F.col("_plain"))).drop("_plain")
+
+
 def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
-    """Adds a struct ``out``: the named fields as text, their ``kinds``, and the parse ``stage``."""
-    read = compute_once(df, "_read", parse_reply(F.col(reply)))
-    return with_fields(read, F.col("_read.json"), names, out, stage=F.col("_read.stage")).drop("_read")
+    """Adds a struct ``out``: the named fields as text, their ``kinds``, and the parse ``stage``.
+
+    The stage tells where the value was found: whole, fence or balanced brackets; raw when nowhere.
+    """
+    read = read_json(df, reply)
+    return with_fields(read, F.col("_read.json"), names, out, stage=F.col("_read.stage")).drop("_read", "_text")
 
 
 def with_fields(df: DataFrame, parsed: Column, names: list[str], out: str, **more: Column) -> DataFrame:
@@ -34,9 +44,7 @@ def parse_by(df: DataFrame, rule, names: list[str], reply: str = "response", out
 
 def with_scoring_text(df: DataFrame, reply: str = "response", out: str = "scoring_text") -> DataFrame:
     """Adds the gradable text of each reply; null for a null reply."""
-    read = compute_once(df, "_text", without_markers(F.col(reply)))
-    read = compute_once(read, "_read", parse_unmarked(F.col("_text")))
-    read = with_fields(read, F.col("_read.json"), ANSWER_KEYS, "_fields")
+    read = with_fields(read_json(df, reply), F.col("_read.json"), ANSWER_KEYS, "_fields")
     text = F.when(F.col(reply).isNotNull(), scoring_text(F.col("_text"), F.col("_read.json"), F.col("_fields")))
     return read.withColumn(out, text).drop("_text", "_read", "_fields")
 

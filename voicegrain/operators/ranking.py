@@ -34,7 +34,7 @@ def hash_bucket(hashed: Column) -> Column:
 
 
 def ordinal_bucket(ordinal: str, width: int = ORDINAL_WIDTH) -> Column:
-    return F.floor(F.col(ordinal) / width).cast("bigint")
+    return F.expr(f"`{ordinal}` div {width}")
 
 
 def bucket_starts(df: DataFrame, bucket: str, size: Column | None = None) -> DataFrame:

@@ -110,8 +110,10 @@ VIEWS = {
       SELECT c.profile_id, n_positive, coalesce(n_posts, 0) AS own, coalesce(block, 0) AS block,
         (SELECT sum(n_posts)::BIGINT FROM user_counts) AS everything
       FROM counted c LEFT JOIN blocks b ON b."user" = c."user"))) JOIN line USING (place)""",
-    "yesno": """SELECT doc_id, CASE n_chars % 6 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' WHEN 4 THEN 'YES' WHEN 5 THEN 'NO' END AS said,
-      CASE WHEN quality = 1 THEN 'YES' ELSE 'NO' END AS target FROM documents JOIN labels USING (doc_id)""",
+    "yesno": """SELECT doc_id, CASE WHEN text LIKE '%YES%' AND text NOT LIKE '%NO%' THEN 'YES'
+        WHEN text LIKE '%NO%' AND text NOT LIKE '%YES%' THEN 'NO' END AS said, target FROM (
+      SELECT doc_id, upper((['YES', ' no.', 'yes and no', 'I cannot say', ' Yes', 'I know it'])[n_chars % 6 + 1]) AS text,
+        CASE WHEN quality = 1 THEN 'YES' ELSE 'NO' END AS target FROM documents JOIN labels USING (doc_id))""",
     "ranking": """SELECT o_orderkey, o_orderpriority, candidates, candidates[o_custkey % 12 + 1] AS target FROM (
       SELECT *, list_transform(range(0, 12), lambda i: 'item ' || (o_orderkey * 7 + i * 5) % 97 || ' ' || o_orderstatus) AS candidates
       FROM orders)""",
