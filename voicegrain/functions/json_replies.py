@@ -22,30 +22,33 @@ from voicegrain.lookups import ANSWER_KEYS
 PARSED = StructType([StructField("json", StringType()), StructField("stage", StringType())])
 
 
+# What no strict JSON text can start or end with; the test is cheaper than a parser's exception
+_NOT_STRICT = r"(?s)\A\s*\{\s*[^\s\"}]|,\s*[}\]]\s*\z"
+_ONE_PAIR = r"(?s)\A\s*\{[^{}]*\}\s*\z"
+
+
 def strict_json(text: Column) -> Column:
-    """The text itself where it is exactly one strict JSON value, else null.
+    """The variant of a text that is exactly one strict JSON value, else null.
 
-    The parser ignores what follows a value. Only a lone value survives both wrappers: behind a
-    comma the list would need a value and the object a key.
+    The parser ignores what follows a value. Nothing can follow when the only closing brace ends the
+    text. Otherwise the text must survive two wrappers, which only a lone value does: behind a comma
+    the list would need a value and the object a key.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_list.isNotNull() & in_object.isNotNull(), text)
+    likely = F.when(~text.rlike(_NOT_STRICT), text)
+    in_list = F.try_parse_json(F.concat(F.lit("["), likely, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), likely, F.lit("}")))
+    return F.when(likely.rlike(_ONE_PAIR), F.try_parse_json(likely)).when(
+        in_list.isNotNull() & in_object.isNotNull(), F.try_parse_json(likely))
 
 
-def field(parsed: Column, name: str) -> Column:
-    """Top-level field of a JSON text as text."""
-    return F.try_variant_get(F.try_parse_json(parsed), f"$.{name}", "string")
+def field(variant: Column, name: str) -> Column:
+    """Top-level field of a parsed JSON object as text."""
+    return F.try_variant_get(variant, f"$.{name}", "string")
 
 
-def field_kind(parsed: Column, name: str) -> Column:
+def field_kind(variant: Column, name: str) -> Column:
     """JSON type of a top-level field: BOOLEAN, STRING, BIGINT ..., null when it is absent."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(parsed), f"$.{name}", "variant"))
-
-
-def is_true(parsed: Column, name: str) -> Column:
-    """The field is the JSON value true; the text "true" is not."""
-    return (field_kind(parsed, name) == "BOOLEAN") & (field(parsed, name) == "true")
+    return F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))
 
 
 def without_markers(reply: Column) -> Column:
@@ -57,22 +60,25 @@ def without_markers(reply: Column) -> Column:
 _FENCE = r"```(?:json)?\s*(.*?)```"
 
 
-def parse_plainly(text: Column) -> Column:
-    """Struct ``json, stage`` for a text without markers that is strict JSON as a whole, or starts
-    with a fence around strict JSON; null json for all others."""
-    first = F.substring(text, 1, 1)
-    fence = F.startswith(text, F.lit("```"))
-    piece = F.when(first.isin("{", "["), text).when(fence, strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)))
-    return F.struct(strict_json(piece).alias("json"), F.when(fence, "fence").otherwise("whole").alias("stage"))
+def plain_piece(text: Column) -> Column:
+    """The part of a text without markers that may be strict JSON: all of it behind a bracket, or the
+    first block when the text starts with a fence; null for all others."""
+    return F.when(F.substring(text, 1, 1).isin("{", "["), text).when(
+        F.startswith(text, F.lit("```")), strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)))
+
+
+def parse_plainly(text: Column, piece: Column) -> Column:
+    """Struct ``value, json, stage`` where the piece is strict JSON; null value for all others."""
+    stage = F.when(F.startswith(text, F.lit("```")), "fence").otherwise("whole")
+    return F.struct(strict_json(piece).alias("value"), piece.alias("json"), stage.alias("stage"))
 
 
 def parse_rest(text: Column, plain: Column) -> Column:
     """The plain result where there is one, else what the lenient parser finds, else stage raw."""
-    slow = parse_leniently(F.when(plain["json"].isNull() & (text != ""), text))
-    return (
-        F.when(text.isNull(), F.lit(None).cast(PARSED)).when(plain["json"].isNotNull(), plain)
-        .otherwise(F.struct(slow["json"].alias("json"), F.coalesce(slow["stage"], F.lit("raw")).alias("stage")))
-    )
+    slow = parse_leniently(F.when(plain["value"].isNull() & (text != ""), text))
+    found = F.struct(F.try_parse_json(slow["json"]).alias("value"), slow["json"].alias("json"),
+                     F.coalesce(slow["stage"], F.lit("raw")).alias("stage"))
+    return F.when(plain["value"].isNotNull(), plain).when(text.isNotNull(), found)
 
 
 @F.pandas_udf(PARSED)
@@ -161,11 +167,11 @@ def parse_final_channel(reply: Column) -> Column:
     return strict_json(text)
 
 
-def text_fields(parsed: Column, names: list[str]) -> Column:
+def text_fields(variant: Column, names: list[str]) -> Column:
     """Struct with the text of each named field and, as ``kinds``, their JSON types."""
     return F.struct(
-        *[field(parsed, name).alias(name) for name in names],
-        F.struct(*[field_kind(parsed, name).alias(name) for name in names]).alias("kinds"),
+        *[field(variant, name).alias(name) for name in names],
+        F.struct(*[field_kind(variant, name).alias(name) for name in names]).alias("kinds"),
     )
 
 
@@ -182,17 +188,17 @@ def all_or_nothing(fields: Column, names: list[str], missing: str = "N/A") -> di
 
 def list_strings(value: Column) -> Column:
     """The stripped non-blank strings of a JSON list."""
-    items = F.filter(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"),
+    items = F.filter(F.try_variant_get(value, "$", "array<variant>"),
                      lambda v: F.schema_of_variant(v) == "STRING")
     texts = F.transform(items, lambda v: strip(F.try_variant_get(v, "$", "string")))
     return F.filter(texts, lambda t: t != "")
 
 
-def scoring_text(text: Column, parsed: Column, fields: Column) -> Column:
+def scoring_text(text: Column, value: Column, parsed: Column, fields: Column) -> Column:
     """Text fit for grading: the first filled answer key of a parsed object, the joined strings of a
     list, '' for JSON without either, and the reply itself when it is not JSON at all.
 
-    ``text`` is the reply without markers, ``parsed`` its JSON, ``fields`` the ``text_fields`` of the
+    ``text`` is the reply without markers, ``value`` its JSON as variant and ``parsed`` as text, ``fields`` the ``text_fields`` of the
     answer keys.
     """
     answers = [
@@ -204,9 +210,9 @@ def scoring_text(text: Column, parsed: Column, fields: Column) -> Column:
     )
     return (
         F.when(F.startswith(parsed, F.lit("{")), F.coalesce(*answers, F.lit("")))
-        .when(F.startswith(parsed, F.lit("[")), F.array_join(list_strings(parsed), "\n"))
+        .when(F.startswith(parsed, F.lit("[")), F.array_join(list_strings(value), "\n"))
         .when(parsed.isin("true", "false"), F.initcap(parsed))
-        .when(parsed.isNotNull(), F.coalesce(F.try_variant_get(F.try_parse_json(parsed), "$", "string"), parsed))
+        .when(parsed.isNotNull(), F.coalesce(F.try_variant_get(value, "$", "string"), parsed))
         .when(structured, F.lit(""))
         .otherwise(text)
     )

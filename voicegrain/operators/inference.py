@@ -34,16 +34,25 @@ class GiveUp(Exception):
     """Raise from a model function for a request that must not be tried again."""
 
 
+def spread(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Shuffle rows by a unique key so that tasks get equal shares, however uneven the input splits are.
+
+    Worth its cost where a row's model call takes far longer than moving the row.
+    """
+    return rows.repartition(*by) if by else rows
+
+
 def infer(
     prompts: DataFrame, make_model: Callable[[], Callable], batch_size: int = 128,
-    inputs: list[str] = (), recoverable: list[str] = RECOVERABLE_ERRORS,
+    inputs: list[str] = (), recoverable: list[str] = RECOVERABLE_ERRORS, spread_by: list[str] = (),
 ) -> DataFrame:
     """Adds ``response, status, error, attempts`` to every prompt row.
 
     Batches of ``batch_size`` prompts go to the model, with the ``inputs`` columns (seeds,
     temperatures) as further lists. A recoverable error sends a batch's prompts one by one and marks
-    those that fail again; any other error ends the job.
+    those that fail again; any other error ends the job. ``spread_by`` (see ``spread``) evens out tasks.
     """
+    prompts = spread(prompts, spread_by)
     schema = StructType(prompts.schema.fields + REPLY_FIELDS)
 
     def attempt_singly(model, batch: pd.DataFrame) -> list[tuple]:
@@ -91,7 +100,7 @@ def infer(
 
 def infer_requests(
     prompts: DataFrame, make_request: Callable[[], Callable[[str], str]], batch_size: int = 32,
-    workers: int = 8, tries: int = 3, delay: float = 1.0,
+    workers: int = 8, tries: int = 3, delay: float = 1.0, spread_by: list[str] = (),
 ) -> DataFrame:
     """Like ``infer`` for a function of one prompt, with threads inside a task and retries.
 
@@ -99,6 +108,7 @@ def infer_requests(
     ``GiveUp`` fails at once. Other errors wait ``delay`` and fail at the last try. A failed prompt
     becomes an error row and does not end the job.
     """
+    prompts = spread(prompts, spread_by)
     schema = StructType(prompts.schema.fields + REPLY_FIELDS)
 
     def ask(request, prompt: str) -> tuple:
@@ -186,7 +196,7 @@ def split_pass_through(rows: DataFrame, passes: Column, reply: Column, run: Call
 
 def recommend_in_rounds(
     rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[str]]], rounds: int = 10,
-    make_prompt: Callable[[str, list[str]], str] | None = None, batch_size: int = 128,
+    make_prompt: Callable[[str, list[str]], str] | None = None, batch_size: int = 128, spread_by: list[str] = (),
 ) -> DataFrame:
     """Ask for one item at a time: match the reply to the remaining candidates and take it out.
 
@@ -194,6 +204,7 @@ def recommend_in_rounds(
     rows of a batch at once. A reply that matches nothing uses up its round. Adds
     ``recommendations, responses``.
     """
+    rows = spread(rows, spread_by)
     schema = StructType(list(rows.schema.fields)).add("recommendations", ArrayType(StringType())).add("responses", ArrayType(StringType()))
     make_prompt = make_prompt or next_item_prompt
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.functions.json_replies import (
-    parse_final_channel, parse_plainly, parse_rest, scoring_text, text_fields, without_markers,
+    parse_final_channel, parse_plainly, plain_piece, parse_rest, scoring_text, text_fields, without_markers,
 )
 from voicegrain.lookups import ANSWER_KEYS
 from voicegrain.operators.once import compute_once
@@ -14,8 +14,9 @@ from voicegrain.operators.once import compute_once
 def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read") -> DataFrame:
     """Adds the reply without markers and its ``json, stage``, found in any of the known places."""
     df = compute_once(df, text, without_markers(F.col(reply)))
-    df = compute_once(df, "_plain", parse_plainly(F.col(text)))
-    return compute_once(df, out, parse_rest(F.col(text), F.col("_plain"))).drop("_plain")
+    df = compute_once(df, "_piece", plain_piece(F.col(text)))
+    df = compute_once(df, "_plain", parse_plainly(F.col(text), F.col("_piece")))
+    return compute_once(df, out, parse_rest(F.col(text), F.col("_plain"))).drop("_piece", "_plain")
 
 
 def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
@@ -24,29 +25,29 @@ def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out:
     The stage tells where the value was found: whole, fence or balanced brackets; raw when nowhere.
     """
     read = read_json(df, reply)
-    return with_fields(read, F.col("_read.json"), names, out, stage=F.col("_read.stage")).drop("_read", "_text")
+    return with_fields(read, F.col("_read.value"), names, out, stage=F.col("_read.stage")).drop("_read", "_text")
 
 
-def with_fields(df: DataFrame, parsed: Column, names: list[str], out: str, **more: Column) -> DataFrame:
-    """Adds the named fields of a JSON column as struct ``out``."""
-    fields = text_fields(parsed, names)
+def with_fields(df: DataFrame, value: Column, names: list[str], out: str, **more: Column) -> DataFrame:
+    """Adds the named fields of a variant as struct ``out``."""
+    fields = text_fields(value, names)
     extra = [column.alias(name) for name, column in more.items()]
-    return compute_once(df, out, F.struct(*[fields[n].alias(n) for n in names], fields["kinds"].alias("kinds"),
-                                          parsed.alias("json"), *extra))
+    return compute_once(df, out, F.struct(
+        *[fields[n].alias(n) for n in names], fields["kinds"].alias("kinds"), value.isNotNull().alias("found"), *extra))
 
 
 def parse_by(df: DataFrame, rule, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
     """Like ``parse_replies`` with one of the simple rules (last braces, from last brace, final channel,
-    strict); the JSON is null where the rule finds none."""
+    strict); ``found`` is false where the rule finds no JSON."""
     read = compute_once(df, "_read", rule(F.col(reply)))
     return with_fields(read, F.col("_read"), names, out).drop("_read")
 
 
 def with_scoring_text(df: DataFrame, reply: str = "response", out: str = "scoring_text") -> DataFrame:
     """Adds the gradable text of each reply; null for a null reply."""
-    read = with_fields(read_json(df, reply), F.col("_read.json"), ANSWER_KEYS, "_fields")
-    text = F.when(F.col(reply).isNotNull(), scoring_text(F.col("_text"), F.col("_read.json"), F.col("_fields")))
-    return read.withColumn(out, text).drop("_text", "_read", "_fields")
+    read = with_fields(read_json(df, reply), F.col("_read.value"), ANSWER_KEYS, "_fields")
+    text = scoring_text(F.col("_text"), F.col("_read.value"), F.col("_read.json"), F.col("_fields"))
+    return read.withColumn(out, F.when(F.col(reply).isNotNull(), text)).drop("_text", "_read", "_fields")
 
 
 def useful_posts(labelled: DataFrame, reply: str = "response") -> DataFrame:

@@ -122,7 +122,7 @@ def batch_inference_stub(spark, folder) -> DataFrame:
     prompts = views.posts(spark, folder).select(
         c("post_id").alias("prompt_id"), text.fill_template(
             templates.USEFUL_POST, ("TEMPLATE_USER_NAME", c("user")), ("TEMPLATE_TWEET", c("tweet"))).alias("prompt"))
-    return inference.infer(prompts, stub_model, batch_size=32).select("prompt_id", "response", "status")
+    return inference.infer(prompts, stub_model, batch_size=32, spread_by=["prompt_id"]).select("prompt_id", "response", "status")
 
 
 def resume_pending(spark, folder) -> DataFrame:
@@ -435,7 +435,7 @@ def last_candidate_model():
 
 def iterative_hits(spark, folder) -> DataFrame:
     rows = views.ranking_eval(spark, folder)
-    played = inference.recommend_in_rounds(rows, last_candidate_model, rounds=10)
+    played = inference.recommend_in_rounds(rows, last_candidate_model, rounds=10, spread_by=["o_orderkey"])
     out = metrics.iterative_metrics(played, "recommendations", "target", ["interaction_history"])
     return rounded(out, ["hit_rate_at_top_5", "hit_rate_at_top_10", "avg_recommendations_per_sample"])
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voicegrain.operators.once import compute_once
 from voicegrain.operators.ranking import hash_positions, position_in_group
 from voicegrain.sources.tables import item_pool
 
@@ -71,7 +72,7 @@ def labelled_posts(spark, folder) -> DataFrame:
         F.lit('Thinking. assistantfinal{"UsefulInformation": '), useful, F.lit(', "Justification": "seen", "UserInformation": "'),
         info, F.lit('"}'),
     )
-    return posts_wide(spark, folder).withColumn("response", reply)
+    return stored_reply(posts_wide(spark, folder), reply)
 
 
 def profiles(spark, folder) -> DataFrame:
@@ -117,16 +118,22 @@ def interest_replies(spark, folder) -> DataFrame:
     why = F.when(F.col("l_quantity") == 1, "null").otherwise(F.concat(F.lit('"'), "p_name", F.lit(' fits"')))
     payload = F.concat(F.lit('{"Justification": '), why, F.lit(', "IsInterested": '), label, F.lit("}"))
     shape = ((F.col("l_orderkey") + F.col("l_linenumber")) % 6).cast("int")
-    return (
+    rows = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").cast("string"),
                         F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("row_key"),
             F.col("o_custkey").cast("string").alias("user_name"), F.col("p_name").alias("item_description"),
-            shape.alias("shape"), wrapped(payload, shape).alias("response"),
+            shape.alias("shape"), payload.alias("payload"),
         )
     )
+    return stored_reply(rows, wrapped(F.col("payload"), F.col("shape"))).drop("payload")
+
+
+def stored_reply(rows: DataFrame, reply: Column) -> DataFrame:
+    """The stub's reply as a column of its own, as if it had been read from a reply table."""
+    return compute_once(rows, "response", reply)
 
 
 def order_questions(spark, folder) -> DataFrame:
@@ -156,9 +163,9 @@ def answers(spark, folder) -> DataFrame:
     text = F.concat(F.lit("assistantanalysis weighing "), F.lit("assistantanalysis  View "), key, F.lit(" in short: "), "o_orderpriority")
     reply = F.when(F.col("o_orderstatus") == "P", F.lit(None)).when(F.col("o_orderkey") % 7 == 6, text).otherwise(
         wrapped(payload, F.col("o_orderkey") % 7))
-    return order_questions(spark, folder).select(
+    return stored_reply(order_questions(spark, folder), reply).select(
         F.col("o_orderkey").alias("ord"), "question", F.col("reference_ans").alias("reference_answer"),
-        F.col("user_intent").alias("intent"), reply.alias("response"),
+        F.col("user_intent").alias("intent"), "response",
     )
 
 
