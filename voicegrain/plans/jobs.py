@@ -107,9 +107,10 @@ def interest_to_sft(
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned replies, fine-tuning rows with their ``split``); both are kept on reliable storage,
     because each is read more than once. No row at all is an error."""
+    lengths = sampling.history_bounds(dataset, bounds)
     cleaned = checkpoint(sft.clean_interest(interest))
     rows = checkpoint(sft.build_pairs(
-        cleaned, row_key, sampling.history_bounds(dataset, bounds), dataset, variant, system_prompt, template, seed))
+        cleaned, row_key, lengths, dataset, variant, system_prompt, template, seed))
     if rows.isEmpty():
         raise ValueError("no fine-tuning rows: no user has enough positives and a negative")
     return cleaned, sampling.split_exact(rows, seed, ["user_id", "answer"], ratio, by)
