@@ -116,9 +116,9 @@ def test_parser_finds_the_value_and_its_place(spark):
 def test_simple_rules(spark):
     names = ["a"]
     frame = spark.createDataFrame([(0, 'x {"a":{"b":2}}'), (1, 'y {"a":1} z'), (2, 'assistantfinal [1]'), (3, 'q {"a": "s"}')], "i int, response string")
-    last = [r.parsed.a for r in parsing.parse_by(frame, json_replies.parse_last_braces, names).orderBy("i").collect()]
+    last = [r.parsed.a for r in parsing.parse_by(frame, json_replies.in_last_braces, names).orderBy("i").collect()]
     assert last == [None, "1", None, "s"]
-    front = [r.parsed.a for r in parsing.parse_by(frame, json_replies.parse_from_last_brace, names).orderBy("i").collect()]
+    front = [r.parsed.a for r in parsing.parse_by(frame, json_replies.from_last_brace, names).orderBy("i").collect()]
     assert front == [None, None, None, "s"]
 
 

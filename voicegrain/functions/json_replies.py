@@ -23,8 +23,15 @@ PARSED = StructType([StructField("json", StringType()), StructField("stage", Str
 
 
 # What no strict JSON text can start or end with; the test is cheaper than a parser's exception
-_NOT_STRICT = r"(?s)\A\s*\{\s*[^\s\"}]|,\s*[}\]]\s*\z"
-_ONE_PAIR = r"(?s)\A\s*\{[^{}]*\}\s*\z"
+_NOT_STRICT = r"\A\s*(?:\{\s*[^\s\"}]|[^\s{\[\"\-0-9tfn])"
+_COMMA_END = r",\s*[}\]]\s*\z"
+_ONE_PAIR = r"\A\s*\{[^{}]*\}\s*\z"
+
+
+def maybe_strict(text: Column) -> Column:
+    """The text unless its first or last characters rule out strict JSON."""
+    ending = F.right(text, F.lit(40))
+    return F.when(~text.rlike(_NOT_STRICT) & ~ending.rlike(_COMMA_END), text)
 
 
 def strict_json(text: Column) -> Column:
@@ -34,11 +41,10 @@ def strict_json(text: Column) -> Column:
     text. Otherwise the text must survive two wrappers, which only a lone value does: behind a comma
     the list would need a value and the object a key.
     """
-    likely = F.when(~text.rlike(_NOT_STRICT), text)
-    in_list = F.try_parse_json(F.concat(F.lit("["), likely, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), likely, F.lit("}")))
-    return F.when(likely.rlike(_ONE_PAIR), F.try_parse_json(likely)).when(
-        in_list.isNotNull() & in_object.isNotNull(), F.try_parse_json(likely))
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(text.rlike(_ONE_PAIR), F.try_parse_json(text)).when(
+        in_list.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
 
 
 def field(variant: Column, name: str) -> Column:
@@ -67,10 +73,10 @@ def plain_piece(text: Column) -> Column:
         F.startswith(text, F.lit("```")), strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)))
 
 
-def parse_plainly(text: Column, piece: Column) -> Column:
-    """Struct ``value, json, stage`` where the piece is strict JSON; null value for all others."""
+def plain_result(text: Column, piece: Column, value: Column) -> Column:
+    """Struct ``value, json, stage`` of a piece and its strict value, which may be null."""
     stage = F.when(F.startswith(text, F.lit("```")), "fence").otherwise("whole")
-    return F.struct(strict_json(piece).alias("value"), piece.alias("json"), stage.alias("stage"))
+    return F.struct(value.alias("value"), piece.alias("json"), stage.alias("stage"))
 
 
 def parse_rest(text: Column, plain: Column) -> Column:
@@ -104,7 +110,8 @@ def parse_text(text: str) -> tuple[str | None, str]:
 
 def read_value(text: str):
     """Strict JSON, else JSON without commas before closing brackets, else a Python dict or list."""
-    for candidate in (text, re.sub(r",\s*([}\]])", r"\1", text)):
+    repaired = re.sub(r",\s*([}\]])", r"\1", text)
+    for candidate in (text, repaired) if repaired != text else (text,):
         try:
             return json.loads(candidate)
         except ValueError:
@@ -150,21 +157,26 @@ def blank_as_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def parse_last_braces(reply: Column) -> Column:
-    """Strict JSON of the final channel when it is marked, else of the text in the last braces."""
+# The simple rules name the texts that may be the reply's JSON, in order.
+
+def in_last_braces(reply: Column) -> list[Column]:
+    """The final channel when it is marked, then the text in the last braces."""
     marked = F.when(F.contains(reply, F.lit("assistantfinal")), strip(final_channel(reply)))
-    return F.coalesce(strict_json(marked), strict_json(between_last_braces(reply)))
+    return [marked, between_last_braces(reply)]
+
+
+def from_last_brace(reply: Column) -> list[Column]:
+    """The text from the last opening brace to the end; a reply without braces gets one in front."""
+    return [F.concat(F.lit("{"), F.substring_index(reply, "{", -1))]
 
 
-def parse_from_last_brace(reply: Column) -> Column:
-    """Strict JSON from the last opening brace to the end; a reply without braces gets one in front."""
-    return strict_json(F.concat(F.lit("{"), F.substring_index(reply, "{", -1)))
+def in_final_channel(reply: Column) -> list[Column]:
+    """The final channel, with Python's True and False read as JSON."""
+    return [F.replace(F.replace(final_channel(reply), F.lit("True"), F.lit("true")), F.lit("False"), F.lit("false"))]
 
 
-def parse_final_channel(reply: Column) -> Column:
-    """Strict JSON of the final channel, with Python's True and False read as JSON."""
-    text = F.replace(F.replace(final_channel(reply), F.lit("True"), F.lit("true")), F.lit("False"), F.lit("false"))
-    return strict_json(text)
+def as_it_is(reply: Column) -> list[Column]:
+    return [reply]
 
 
 def text_fields(variant: Column, names: list[str]) -> Column:

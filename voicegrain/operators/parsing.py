@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.functions.json_replies import (
-    parse_final_channel, parse_plainly, plain_piece, parse_rest, scoring_text, text_fields, without_markers,
+    in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, scoring_text, strict_json, text_fields,
+    without_markers,
 )
 from voicegrain.lookups import ANSWER_KEYS
 from voicegrain.operators.once import compute_once
 
 
+def read_strict(df: DataFrame, texts: list[Column], out: str) -> DataFrame:
+    """Adds the variant of the first of the texts that is strict JSON, else null."""
+    names = [f"t{i}" for i in range(len(texts))]
+    df = compute_once(df, "_texts", F.struct(*[t.alias(n) for t, n in zip(texts, names)]))
+    df = compute_once(df, "_maybe", F.struct(*[maybe_strict(F.col("_texts")[n]).alias(n) for n in names]))
+    return compute_once(df, out, F.coalesce(*[strict_json(F.col("_maybe")[n]) for n in names])).drop("_texts", "_maybe")
+
+
 def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read") -> DataFrame:
-    """Adds the reply without markers and its ``json, stage``, found in any of the known places."""
+    """Adds the reply without markers and its ``value, json, stage``, found in any of the known places."""
     df = compute_once(df, text, without_markers(F.col(reply)))
     df = compute_once(df, "_piece", plain_piece(F.col(text)))
-    df = compute_once(df, "_plain", parse_plainly(F.col(text), F.col("_piece")))
-    return compute_once(df, out, parse_rest(F.col(text), F.col("_plain"))).drop("_piece", "_plain")
+    df = read_strict(df, [F.col("_piece")], "_value")
+    df = compute_once(df, "_plain", plain_result(F.col(text), F.col("_piece"), F.col("_value")))
+    return compute_once(df, out, parse_rest(F.col(text), F.col("_plain"))).drop("_piece", "_value", "_plain")
 
 
 def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
@@ -37,9 +47,9 @@ def with_fields(df: DataFrame, value: Column, names: list[str], out: str, **more
 
 
 def parse_by(df: DataFrame, rule, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
-    """Like ``parse_replies`` with one of the simple rules (last braces, from last brace, final channel,
-    strict); ``found`` is false where the rule finds no JSON."""
-    read = compute_once(df, "_read", rule(F.col(reply)))
+    """Like ``parse_replies`` with one of the simple rules (``in_last_braces``, ``from_last_brace``,
+    ``in_final_channel``, ``as_it_is``); ``found`` is false where the rule finds no JSON."""
+    read = read_strict(df, rule(F.col(reply)), "_read")
     return with_fields(read, F.col("_read"), names, out).drop("_read")
 
 
@@ -52,7 +62,7 @@ def with_scoring_text(df: DataFrame, reply: str = "response", out: str = "scorin
 
 def useful_posts(labelled: DataFrame, reply: str = "response") -> DataFrame:
     """Posts whose reply calls them useful (the JSON value true), with ``description``."""
-    parsed = parse_by(labelled, parse_final_channel, ["UsefulInformation", "UserInformation"], reply)
+    parsed = parse_by(labelled, in_final_channel, ["UsefulInformation", "UserInformation"], reply)
     useful = (F.col("parsed.kinds.UsefulInformation") == "BOOLEAN") & (F.col("parsed.UsefulInformation") == "true")
     return parsed.where(useful).withColumn("description", F.col("parsed.UserInformation")).drop("parsed")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voicegrain.functions.json_replies import parse_last_braces
+from voicegrain.functions.json_replies import in_last_braces
 from voicegrain.functions.replies import label_text
 from voicegrain.functions.text import blank_to_null, completion_prompt, fill_template, numbered, sft_messages, strip
 from voicegrain.operators.batching import in_order
@@ -20,7 +20,7 @@ POSITIVE, NEGATIVE = "YES", "NO"
 def clean_interest(replies: DataFrame, accepted: list[str] = ACCEPTED) -> DataFrame:
     """Parsed replies with an accepted label and a justification."""
     labels = [label.strip().upper() for label in accepted]
-    parsed = parse_by(replies, parse_last_braces, ["Justification", "IsInterested"])
+    parsed = parse_by(replies, in_last_braces, ["Justification", "IsInterested"])
     label = label_text(F.col("parsed.IsInterested"), F.col("parsed.kinds.IsInterested"))
     named = compute_once(parsed, "is_interested", label)
     return (

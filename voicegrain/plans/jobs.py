@@ -52,7 +52,7 @@ def extract_from_batches(
     listed = text.numbered(c("tweets"), "User Tweet ", ": ", joint="", end="\n")
     prompt = text.fill_template(template, ("TEMPLATE_USER_NAME", c("user")), ("TEMPLATE_USER_TWEETS", listed))
     names = ["UsefulInformation", "Justification", "UserInformation"]
-    answered = parsing.parse_by(run(with_prompt(batches, prompt, "user", "batch")), json_replies.strict_json, names)
+    answered = parsing.parse_by(run(with_prompt(batches, prompt, "user", "batch")), json_replies.as_it_is, names)
     return answered.withColumns(json_replies.all_or_nothing(c("parsed"), names)).drop("parsed")
 
 
