@@ -10,6 +10,7 @@ from voicegrain.operators.ranking import (
     bucket_starts, hash_bucket, hash_number, hash_positions, key_hash, position_in_group, top_k,
 )
 from voicegrain.operators.skew import BROADCAST_ROWS, lookup_join, skew_join
+from voicegrain.session import checkpoint
 
 
 def pair_with_first(many: DataFrame, few: DataFrame, n: int) -> DataFrame:
@@ -104,11 +105,12 @@ def user_blocks(users: DataFrame) -> DataFrame:
 def post_tables(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(posts with their position within the user, users with ``n_posts, user_position``).
 
-    Texts are left out: they are joined at the end, for chosen posts only.
+    Texts are left out: they are joined at the end, for chosen posts only. Both tables are kept on
+    reliable storage, because positives and negatives each read them.
     """
     places = position_in_group(posts.select("user", "ord", "post_id"), ["user"], "ord")
     users = posts.groupBy("user").agg(F.count(F.lit(1)).alias("n_posts"))
-    return places, hash_positions(users, "users", ["user"], "user_position")
+    return checkpoint(places), checkpoint(hash_positions(users, "users", ["user"], "user_position"))
 
 
 def with_texts(picks: DataFrame, posts: DataFrame, picks_at_most: int | None) -> DataFrame:
@@ -125,14 +127,15 @@ def self_positives(
     """Up to ``most`` own posts of each profile's user behind the first ``exclude``, in hash order (``rank``).
 
     ``places`` has posts with their position; ``eligible`` further limits them by ``post_id``, after
-    the prefix was excluded. ``profiles`` has ``profile_id, user``.
+    the prefix was excluded. ``profiles`` has ``profile_id, user``. The result, a few keys per profile,
+    is kept on reliable storage: it is both counted and joined to its texts.
     """
     later = places.where(F.col("position") >= exclude)
     if eligible is not None:
         later = later.join(eligible.select("post_id"), "post_id", "left_semi")
     hashed = later.withColumn("_hash", key_hash(seed, "post_id"))
     best = top_k(hashed, ["user"], ["_hash", "post_id"], most).select("user", "post_id", "rank")
-    return profiles.select("profile_id", "user").join(best, "user")
+    return checkpoint(profiles.select("profile_id", "user").join(best, "user"))
 
 
 def positive_counts(profiles: DataFrame, positives: DataFrame) -> DataFrame:
