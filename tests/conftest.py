@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,7 +18,7 @@ cloudpickle.register_pickle_by_value(voicegrain)
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "4g",
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
