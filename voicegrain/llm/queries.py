@@ -2,24 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voicegrain.llm import exact_dedup
+from voicegrain.llm import exact_dedup, sharding, url_filter
+
+#: Verdict, host and path of each URL rule (fixed values).
+URL_RULES = [
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+]
+
+#: Host labels whose addresses make up the list of the URL filter.
+UNWANTED = "(^|[.])(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)[.]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = (
+        url_filter.with_host_and_path(pages.select("url")).where(F.col("host").rlike(UNWANTED))
+        .select(F.concat("host", "path").alias("address"))
+    )
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_url_filter": op7_url_filter,
+    "op9_shards": op9_shards,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_url_filter": f"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        named AS (
+            SELECT page_id,
+                   translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut),
+        ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule,
+                regexp_matches(host, '{UNWANTED}') AS listed
+            FROM named)
+        SELECT page_id, host, path, rule, listed, CASE
+            WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled
+    """,
     "op10_exact_dedup": """
         WITH plain AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
