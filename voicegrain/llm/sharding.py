@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, functions as F
 from voicegrain.llm.shared import running_total, stored, text_of
 from voicegrain.operators.skew import skew_join
 
-ONE = F.lit(1)
-
 
 def _wishes(state: DataFrame, members: DataFrame, shards: int, room: list[int]) -> DataFrame:
     """``row, hub, shard, target`` of linked rows that want to leave; only shards with room are asked for.
@@ -60,7 +58,7 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
     ``members`` holds ``row, hub``; rows without a hub are moved only to make room. Rows start evenly dealt by
     hash. Rounds end when nobody is admitted. An empty table gives no rows.
     """
-    start = running_total(rows.select("row"), [], ["row"], ONE, "_at")
+    start = running_total(rows.select("row"), [], ["row"], F.lit(1), "_at")
     linked = members.select("row").distinct().withColumn("linked", F.lit(True))
     state = stored(start.select("row", (F.col("_at") % shards).cast("int").alias("shard")).join(
         linked, "row", "left"
@@ -70,7 +68,7 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
         room = _by_shard(state.where(~F.col("linked")), shards)
         asked = running_total(
             _wishes(state.where("linked").select("row", "shard"), members, shards, room),
-            ["target"], ["row"], ONE, "_rank", first=["hub"],
+            ["target"], ["row"], F.lit(1), "_rank", first=["hub"],
         )
         moves = stored(asked.where(F.col("_rank") < _pick(room, "target")).select("row", "shard", "target"))
         came, left = _by_shard(moves, shards, "target"), _by_shard(moves, shards)
@@ -82,7 +80,7 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
         before = [sum(over[:k]) for k in range(shards)]
         singles = running_total(
             state.where(~F.col("linked") & (_pick(over, "shard") > 0)).select("row", "shard"),
-            ["shard"], ["row"], ONE, "_rank",
+            ["shard"], ["row"], F.lit(1), "_rank",
         ).where(F.col("_rank") < _pick(over, "shard"))
         place = F.col("_rank") + _pick(before, "shard")
         ends = [sum(under[: k + 1]) for k in range(shards)]
@@ -112,9 +110,9 @@ def shard_documents(
         "row", "doc_id", (F.octet_length("_t") + 1).cast("bigint").alias("size"),
         F.crc32(F.col("_t").cast("binary")).alias("text_crc32"), F.sha2("_t", 256).alias("hub"),
     ))
-    shared = rows.groupBy("hub").agg(F.count(ONE).alias("_n")).where("_n > 1").select("hub")
+    shared = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hub")
     members = stored(skew_join(rows.select("row", "hub"), shared, "hub", ["row"]).select("row", "hub"))
-    placed = running_total(propagate(rows, members, shards, rounds), ["shard"], ["row"], ONE, "slot")
+    placed = running_total(propagate(rows, members, shards, rounds), ["shard"], ["row"], F.lit(1), "slot")
     return rows.join(placed, "row").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
