@@ -35,6 +35,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches sent to Python workers hold about 16 MB, however long the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 * 1024 * 1024)
+
+
 def text_of(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 
