@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voicegrain.llm import exact_dedup, mixing, quality, sharding, url_filter, warc
+from voicegrain.llm import exact_dedup, mixing, pieces, quality, sharding, url_filter, warc
 
 #: Verdict, host and path of each URL rule (fixed values).
 URL_RULES = [
@@ -27,6 +27,16 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = (
@@ -51,6 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix": op2_mix,
+    "op6_pieces": op6_pieces,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_shards": op9_shards,
