@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voicegrain.llm.shared import WORD, running_total, text_of
+from voicegrain.llm.shared import WORD, running_total, stored, text_of
 from voicegrain.operators.skew import lookup_join
 
 
@@ -121,20 +121,29 @@ def assign(
     }).drop("_copies", "curve")
 
 
+def narrow(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``doc_id, source, words, name``; ``name`` stands for a row's id, source and text. Stored, so words are counted once."""
+    return stored(docs.select(
+        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
+        n_words(F.col(f"`{text}`")).alias("words"), name_of(key, text, source).alias("name"),
+    ))
+
+
+def name_of(key: str, text: str, source: str) -> Column:
+    parts = [F.col(f"`{key}`").cast("string"), F.col(f"`{source}`").cast("string"), F.sha2(text_of(F.col(f"`{text}`")), 256)]
+    return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken, positions`` for every document, sorted by its first position.
 
     A null text has no words. Null and repeated ids are rows of their own; other columns are left out.
     """
-    rows = docs.select(
-        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
-        n_words(F.col(f"`{text}`")).alias("_words"),
+    placed = assign(narrow(docs, key, text, source), ["name"], F.col("words"), **options)
+    first = F.asc_nulls_last(F.get("positions", 0))
+    return placed.repartitionByRange(first).sortWithinPartitions(first, F.asc_nulls_last("doc_id")).select(
+        "doc_id", "size", "source_size", "target", "taken", "positions"
     )
-    placed = assign(rows, ["doc_id", "_words"], F.col("_words"), **options).drop("_words", "source")
-    first = F.get("positions", 0)
-    return placed.withColumn("_first", first).repartitionByRange(F.asc_nulls_last("_first")).sortWithinPartitions(
-        F.asc_nulls_last("_first"), F.asc_nulls_last("doc_id")
-    ).select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 def training_order(
@@ -142,11 +151,13 @@ def training_order(
 ) -> DataFrame:
     """The rows of ``docs``, one for each copy taken (whole texts), range-sorted by training position.
 
-    Keeps the columns of ``docs`` only; other names cannot clash, as they travel in one struct.
+    Keeps the columns of ``docs`` only; other names cannot clash, as they travel in one struct. Rows of equal id,
+    source and text are taken for the same row, repeated.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{key}`").alias("_id"),
-        F.col(f"`{source}`").cast("string").alias("source"), n_words(F.col(f"`{text}`")).alias("_words"),
-    )
-    copies = assign(rows, ["_id", "_words"], F.col("_words"), **options).select("_doc", "_id", F.explode("positions").alias("_at"))
-    return copies.repartitionByRange("_at").sortWithinPartitions("_at", F.asc_nulls_last("_id")).select("_doc.*")
+    placed = assign(narrow(docs, key, text, source), ["name"], F.col("words"), **options)
+    copies = stored(placed.select("name", "doc_id", F.explode("positions").alias("_at")))
+    whole = docs.select(
+        name_of(key, text, source).alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    ).groupBy("name").agg(F.any_value("_doc").alias("_doc"))
+    rows = whole.join(copies, "name").select("_doc", "doc_id", "_at")
+    return rows.repartitionByRange("_at").sortWithinPartitions("_at", F.asc_nulls_last("doc_id")).select("_doc.*")
