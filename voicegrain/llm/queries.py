@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voicegrain.llm import exact_dedup, jaccard, mixing, pieces, quality, sharding, toxicity, url_filter, warc
+from voicegrain.llm import exact_dedup, jaccard, lm_score, mixing, pieces, quality, sharding, toxicity, url_filter, warc
 
 #: Verdict, host and path of each URL rule (fixed values).
 URL_RULES = [
@@ -31,6 +31,10 @@ def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix": op2_mix,
     "op3_near_copies": op3_near_copies,
+    "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op6_pieces": op6_pieces,
     "op7_url_filter": op7_url_filter,
