@@ -138,3 +138,26 @@ def test_unknown_intent_drops_or_fails(spark):
     assert grading.with_rubric(rows, grading.rubrics(spark)).count() == 1
     with pytest.raises(Exception, match="no rubric"):
         grading.with_rubric(rows, grading.rubrics(spark), strict=True).collect()
+
+
+def test_python_json_is_read(spark):
+    from voicegrain.operators import parsing
+    from voicegrain.functions import json_replies
+    texts = ['{"a": NaN, "b": "x"}', '{"a": 1, "b": "w", "b": "x"}', 'prose {"b": "\\ud800"} end', '{"a": -Infinity, "b": "x"} tail', '{"b": }']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, response string")
+    got = {r.i: r.parsed for r in parsing.parse_replies(rows, ["a", "b"]).collect()}
+    assert [got[i].b for i in range(5)] == ["x", "x", "?", "x", None] and got[0].a == "NaN"
+    assert [got[i].found for i in range(5)] == [True] * 4 + [False]
+    strict = {r.i: r.parsed for r in parsing.parse_by(rows, json_replies.as_it_is, ["b"]).collect()}
+    assert [strict[i].b for i in range(5)] == ["x", "x", None, None, None]
+    scored = spark.createDataFrame([('{"score": NaN, "answer": "the good answer"}',)], "response string")
+    assert parsing.with_scoring_text(scored).first().scoring_text == "the good answer"
+
+
+def test_bracket_search_is_linear():
+    import time
+    from voicegrain.functions.json_replies import balanced_spans
+    start = time.time()
+    assert balanced_spans("{" * 20_000) == [] and balanced_spans("{ it's " * 5_000) == []
+    assert time.time() - start < 10
+    assert balanced_spans("a {b {c} d} [e] {f") == ["{b {c} d}", "{c}", "[e]"]

@@ -145,3 +145,27 @@ def test_prompts_over_the_budget_are_not_sent(spark, data):
         "response": F.lit("r"), "status": F.lit("ok"), "error": F.lit(None).cast("string"), "attempts": F.lit(1).cast("bigint")}), 128, 256)
     assert done.count() == rows.count()
     assert done.where("status = 'skipped'").count() == rows.where("ceil(length(prompt) / 4) > 128").count() > 0
+
+
+def test_many_tags_end_in_one_profile(spark):
+    said = [(f"u{u}", i, f'{{"UsefulInformation": true, "UserInformation": "tag {u} {i}"}}') for u in range(2) for i in range(5000 if u else 3)]
+    labelled = spark.createDataFrame(said, "user string, ord int, response string")
+
+    def run(rows):
+        answer = F.concat(F.lit('{"user_id": "x", "user_profile": "'), F.md5("descriptions"), F.lit('"}'))
+        return rows.withColumns({"response": answer, "status": F.lit("ok")})
+
+    rows = jobs.merge_descriptions(labelled, run, most_tags=50).collect()
+    assert sorted((r.user, r.round) for r in rows) == [("u0", 0), ("u1", 2)]
+
+
+def test_files_to_results(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text("".join('{"author":"u%d","text":"t%d"}\n' % (i % 3, i) for i in range(60)))
+    posts = tables.read_posts_json(spark, str(tmp_path))
+    (tmp_path / "q.csv").write_text("question,reference_ans,user_intent,language\n" + "".join(f"q{i},r,Leisure,EN\n" for i in range(5)))
+    (tmp_path / "u.csv").write_text("user_id,user_profile\n" + "".join(f"u{i},p\n" for i in range(3)))
+    people, asked = tables.read_profiles(spark, str(tmp_path / "u.csv")), tables.read_questions(spark, str(tmp_path / "q.csv"))
+    assert one_reply_per_prompt(jobs.personal_answers(people, asked, says("a"), per_profile=2, most=3)) > 0
+    rows = jobs.predict_author(people, posts, says('{"IsFromUser": true}'), total=4, per_query=2, exclude=2, people=3)
+    assert rows.count() > 0
+    assert jobs.repeated_answers(asked, says("a"), 0).count() == 0

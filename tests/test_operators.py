@@ -246,3 +246,44 @@ def test_nearest_profiles_equal_brute_force(spark):
     for blocks in ((1024, 32768), (2, 7)):
         rows = retrieval.nearest_profiles(q, p, 4, *blocks).collect()
         assert {i: [r.profile_id for r in sorted((r for r in rows if r.question_id == i), key=lambda r: r.rank)] for i, _ in asked} == want
+
+
+def test_draws_reach_all_of_a_large_pool(spark):
+    pool = 5 * 10**11
+    drawn = spark.range(2000).select(F.explode(draw(3, F.lit(pool), 20, "id")).alias("d"))
+    counts = drawn.groupBy(F.expr(f"d div {pool // 10}").alias("tenth")).count().collect()
+    assert sorted(r.tenth for r in counts) == list(range(10)) and all(3000 < r["count"] < 5000 for r in counts)
+    spread = spark.range(200).select(F.transform(draw(3, F.lit(pool), 20, "id"), lambda d: d).alias("d"))
+    assert spread.where(F.array_max("d") - F.array_min("d") < pool // 10).count() == 0  # one key's draw spreads as well
+
+
+def test_carried_columns_stay_exact(spark):
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(1, "p", big, ["A", "B"], "h"), (2, "q", None, None, "h")],
+                                 "id int, prompt string, n long, candidates array<string>, interaction_history string").coalesce(1)
+    got = inference.infer(rows, lambda: lambda prompts: prompts).collect()
+    assert {(r.prompt, r.n, r.response) for r in got} == {("p", big, "p"), ("q", None, "q")}
+    got = inference.infer_requests(rows, lambda: lambda prompt: prompt).collect()
+    assert {(r.n, r.status) for r in got} == {(big, "ok"), (None, "ok")}
+    played = {r.n: r for r in inference.recommend_in_rounds(rows, lambda: lambda prompts: ["B" for _ in prompts], rounds=2).collect()}
+    assert played[big].recommendations == ["B"] and len(played[big].prompts) == 2 and played[None].prompts == []
+
+
+def test_a_failing_prompt_does_not_end_a_round(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("Invalid prefix encountered")
+        return ["A" for _ in prompts]
+    rows = spark.createDataFrame([("ok", ["A"]), ("bad", ["A"])], "interaction_history string, candidates array<string>").coalesce(1)
+    got = {r.interaction_history: r for r in inference.recommend_in_rounds(
+        rows, lambda: model, rounds=1, recoverable=["Invalid prefix"]).collect()}
+    assert got["ok"].recommendations == ["A"] and got["bad"].recommendations == [] and len(got["bad"].responses) == 1
+
+
+def test_positions_over_many_bundles(spark, monkeypatch):
+    from voicegrain.operators import ranking
+    monkeypatch.setattr(ranking, "RUNS_TOGETHER", 4)
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7).alias("o"))
+    got = ranking.position_in_group(rows, ["g"], "o", width=10).collect()
+    for g in range(3):
+        assert [r.position for r in sorted((r for r in got if r.g == g), key=lambda r: r.o)] == list(range(sum(r.g == g for r in got)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 import re
 
 import pandas as pd
@@ -47,6 +48,11 @@ def strict_json(text: Column) -> Column:
         in_list.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
 
 
+def unsettled(text: Column, value: Column) -> Column:
+    """A bracketed text without a strict value, else null: only these can hold what Python reads and Spark does not."""
+    return F.when(value.isNull() & text.rlike(r"(?s)\A\s*[{\[].*[}\]]\s*\z"), text)
+
+
 def field(variant: Column, name: str) -> Column:
     """Top-level field of a parsed JSON object as text."""
     return F.try_variant_get(variant, f"$.{name}", "string")
@@ -104,10 +110,37 @@ def parse_text(text: str) -> tuple[str | None, str]:
         for piece in pieces():
             value = read_value(piece)
             if value is not None:
-                return json.dumps(value, ensure_ascii=False), stage
+                return json_text(value), stage
     return None, "raw"
 
 
+def json_text(value) -> str:
+    """Strict JSON text of a value. Numbers that JSON lacks become strings, half of a surrogate pair a question mark."""
+    return json.dumps(finite(value), ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
+def finite(value):
+    if isinstance(value, float) and not math.isfinite(value):
+        return json.dumps(value)
+    if isinstance(value, list):
+        return [finite(v) for v in value]
+    return {k: finite(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+@F.pandas_udf(StringType())
+def reread(texts: pd.Series) -> pd.Series:
+    """Strict JSON text of what Python's reader accepts: also NaN, infinities and repeated keys, the last of which counts."""
+    return pd.Series([None if t is None else reread_text(t) for t in texts], dtype=object)
+
+
+def reread_text(text: str) -> str | None:
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return None if value is None else json_text(value)
+
+
 def read_value(text: str):
     """Strict JSON, else JSON without commas before closing brackets, else a Python dict or list."""
     repaired = re.sub(r",\s*([}\]])", r"\1", text)
@@ -130,21 +163,31 @@ def read_value(text: str):
 
 def balanced_spans(text: str) -> list[str]:
     """From every opening bracket, the text up to where it closes; quoted text is skipped whole,
-    and a quote that never ends leaves its bracket without a span."""
+    and a quote that never ends leaves its bracket without a span.
+
+    A bracket met on the way from another one closes where it does on that way, so it is not followed again.
+    """
     spans = []
     for opener, closer in ("{}", "[]"):
         token = re.compile(rf"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|["']|[{re.escape(opener + closer)}]""", re.S)
+        met, found = set(), []
         for start in (m.start() for m in re.finditer(re.escape(opener), text)):
-            depth = 0
+            if start in met:
+                continue
+            still_open = []
             for m in token.finditer(text, start):
                 if m.group(1):
                     continue
                 if m.group() in "\"'":
                     break
-                depth += 1 if m.group() == opener else -1
-                if depth == 0:
-                    spans.append(text[start:m.end()])
-                    break
+                if m.group() == opener:
+                    still_open.append(m.start())
+                    met.add(m.start())
+                else:
+                    found.append((still_open.pop(), m.end()))
+                    if not still_open:
+                        break
+        spans += [text[a:b] for a, b in sorted(found)]
     return spans
 
 

@@ -1,8 +1,8 @@
 """Drawing rows of a ranked pool by arithmetic, so that no profile ever meets the whole pool.
 
 A pool has positions ``0..M-1``. A draw of N takes positions ``(h + k*s) mod M`` for ``k = 0..N-1``,
-where ``h`` and ``s`` come from the key's hash and ``s`` is a prime that does not divide M. These are
-``min(N, M)`` different positions, found without looking at the pool.
+where ``h`` is a 60-bit number from the key's hash and ``s`` is, modulo M, a prime that does not divide M.
+These are ``min(N, M)`` different positions, spread over the whole pool, found without looking at it.
 """
 
 from __future__ import annotations
@@ -11,28 +11,38 @@ from pyspark.sql import Column, functions as F
 
 from voicegrain.operators.ranking import hash_number
 
-# Prime strides. Only a pool size above 10^48 could be divisible by all of them.
+# The least primes above 10^15 times the square roots of 2, 3, 5, 6, 7, 8, 10 and 11. They exceed any
+# pool and are no near multiple of round numbers, so that their remainders spread over it; only a multiple of all
+# of them could be divisible by each.
 PRIME_STRIDES = [
-    1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121,
+    1414213562373113,
+    1732050807568919,
+    2236067977499803,
+    2449489742783179,
+    2645751311064599,
+    2828427124746217,
+    3162277660168399,
+    3316624790355451,
 ]
 
 
 def stride(seed, pool: Column, *keys) -> Column:
-    """One of the primes that do not divide the pool size, picked by the key's hash."""
+    """The remainder of one of the primes that do not divide the pool size, picked by the key's hash."""
     usable = F.filter(F.array(*[F.lit(p).cast("bigint") for p in PRIME_STRIDES]), lambda p: pool % p != 0)
-    return F.element_at(usable, (hash_number(f"{seed}-stride", *keys) % F.size(usable) + 1).cast("int"))
+    return F.element_at(usable, (hash_number(f"{seed}-stride", *keys) % F.size(usable) + 1).cast("int")) % pool
 
 
 def draw(seed, pool: Column, n, *keys) -> Column:
     """Array of ``min(n, pool)`` different positions of the pool; empty when the pool is."""
     n = n if isinstance(n, Column) else F.lit(n)
+    size = F.greatest(pool, F.lit(1))  # an empty pool gives no steps
     count = F.least(n, pool).cast("bigint")
-    start = hash_number(seed, *keys)
-    step = stride(seed, pool, *keys)
+    start = hash_number(seed, *keys) % size
+    step = stride(seed, size, *keys)
     steps = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
         F.array().cast("array<bigint>")
     )
-    return F.transform(steps, lambda k: (start + k * step) % pool)
+    return F.transform(steps, lambda k: (start + k * step) % size)
 
 
 def draw_others(seed, users: Column, self_position: Column, n, *keys) -> Column:

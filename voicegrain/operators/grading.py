@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voicegrain.functions.text import fill_template
 from voicegrain.lookups import RUBRIC_DIMENSIONS
+from voicegrain.operators.skew import lookup_join
 
 
 def rubric_text(intent: str, dimensions: list[str]) -> str:
@@ -28,9 +29,11 @@ def rubrics(spark: SparkSession) -> DataFrame:
 def with_rubric(rows: DataFrame, table: DataFrame, strict: bool = False) -> DataFrame:
     """Add each row's rubric by its intent. An unknown intent drops the row, or with ``strict`` fails the job.
 
-    The table has one row per intent, seven by default.
+    The table has one row per intent, seven by default; of repeated ones the first by text counts. It is broadcast
+    only if it is small.
     """
-    joined = rows.join(F.broadcast(table.select("intent", "rubric")), "intent", "left" if strict else "inner")
+    known = table.groupBy("intent").agg(F.min("rubric").alias("rubric"))
+    joined = lookup_join(rows, known, "intent", "left" if strict else "inner")
     if not strict:
         return joined
     message = F.concat(F.lit("no rubric for intent "), F.coalesce(F.col("intent"), F.lit("null")))

@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -53,49 +53,55 @@ def infer(
     those that fail again; any other error ends the job. ``spread_by`` (see ``spread``) evens out tasks.
     """
     prompts = spread(prompts, spread_by)
-    schema = StructType(prompts.schema.fields + REPLY_FIELDS)
 
-    def attempt_singly(model, batch: pd.DataFrame) -> list[tuple]:
-        out = []
-        for i in range(len(batch)):
-            one = batch.iloc[i:i + 1]
-            try:
-                reply = call(model, one)[0]
-                out.append(settle(reply, 2))
-            except Exception as error:
-                if not known(error):
-                    raise
-                out.append((RECOVERABLE_REPLY, "error", str(error), 2))
-        return out
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for part in parts:
+            model = model or make_model()
+            for start in range(0, part.num_rows, batch_size):
+                batch = part.slice(start, batch_size)
+                asked = [batch.column(name).to_pylist() for name in ("prompt", *inputs)]
+                yield with_replies(batch, ask_isolated(model, asked, recoverable))
 
-    def known(error: Exception) -> bool:
-        return any(text in str(error) for text in recoverable)
+    return prompts.mapInArrow(run, StructType(prompts.schema.fields + REPLY_FIELDS))
 
-    def call(model, batch: pd.DataFrame) -> list:
-        replies = list(model(batch["prompt"].tolist(), *[batch[c].tolist() for c in inputs]))
-        if len(replies) != len(batch):
-            raise ValueError(f"{len(batch)} prompts but {len(replies)} replies")
+
+def ask_isolated(model: Callable, asked: list[list], recoverable: list[str]) -> list[tuple]:
+    """``response, status, error, attempts`` for each prompt of a batch. A recoverable error sends the prompts one by
+    one and marks those that fail again."""
+    def call(lists: list[list]) -> list:
+        replies = list(model(*lists))
+        if len(replies) != len(lists[0]):
+            raise ValueError(f"{len(lists[0])} prompts but {len(replies)} replies")
         return replies
 
     def settle(reply, attempts: int) -> tuple:
         return (EMPTY_REPLY, "empty", None, attempts) if reply is None else (reply.strip(), "ok", None, attempts)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for frame in frames:
-            model = model or make_model()
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start:start + batch_size]
-                try:
-                    rows = [settle(reply, 1) for reply in call(model, batch)]
-                except Exception as error:
-                    if not known(error):
-                        raise
-                    rows = attempt_singly(model, batch)
-                added = pd.DataFrame(rows, columns=[f.name for f in REPLY_FIELDS], index=batch.index)
-                yield pd.concat([batch, added], axis=1)
+    def known(error: Exception) -> bool:
+        return any(text in str(error) for text in recoverable)
 
-    return prompts.mapInPandas(run, schema)
+    try:
+        return [settle(reply, 1) for reply in call(asked)]
+    except Exception as error:
+        if not known(error):
+            raise
+    out = []
+    for one in zip(*asked, strict=True):
+        try:
+            out.append(settle(call([[x] for x in one])[0], 2))
+        except Exception as error:
+            if not known(error):
+                raise
+            out.append((RECOVERABLE_REPLY, "error", str(error), 2))
+    return out
+
+
+def with_replies(batch: pa.RecordBatch, replies: list[tuple]) -> pa.RecordBatch:
+    """The batch, its columns untouched, with the reply columns behind them."""
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+    added = [pa.array([r[i] for r in replies], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *[f.name for f in REPLY_FIELDS]])
 
 
 def infer_requests(
@@ -109,7 +115,6 @@ def infer_requests(
     becomes an error row and does not end the job.
     """
     prompts = spread(prompts, spread_by)
-    schema = StructType(prompts.schema.fields + REPLY_FIELDS)
 
     def ask(request, prompt: str) -> tuple:
         for attempt in range(1, tries + 1):
@@ -125,18 +130,16 @@ def infer_requests(
                 time.sleep(delay)
         return RETRIES_EXHAUSTED_REPLY, "error", "retries exhausted", tries
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         request = None
         with ThreadPoolExecutor(workers) as pool:
-            for frame in frames:
+            for part in parts:
                 request = request or make_request()
-                for start in range(0, len(frame), batch_size):
-                    batch = frame.iloc[start:start + batch_size]
-                    rows = list(pool.map(lambda prompt: ask(request, prompt), batch["prompt"]))
-                    added = pd.DataFrame(rows, columns=[f.name for f in REPLY_FIELDS], index=batch.index)
-                    yield pd.concat([batch, added], axis=1)
+                for start in range(0, part.num_rows, batch_size):
+                    batch = part.slice(start, batch_size)
+                    yield with_replies(batch, list(pool.map(lambda p: ask(request, p), batch.column("prompt").to_pylist())))
 
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInArrow(run, StructType(prompts.schema.fields + REPLY_FIELDS))
 
 
 def guard_length(prompts: DataFrame, max_tokens, context, tokens: Column | None = None) -> DataFrame:
@@ -174,9 +177,11 @@ def infer_resumable(
 ) -> DataFrame:
     """Append replies to a table in ``parts`` separate writes and skip prompts that have one already.
 
-    A job that stops in between loses at most the part it was writing. ``prompt_id`` must be unique.
+    A job that stops in between loses at most the part it was writing. ``prompt_id`` must be unique. The prompts are
+    made once, before the first part.
     """
     spark = prompts.sparkSession
+    prompts = checkpoint(prompts) if parts > 1 else prompts
     for part in range(parts):
         mine = prompts.where(F.pmod(F.xxhash64("prompt_id"), F.lit(parts)) == part)
         append_replies(run(pending(mine, saved_replies(spark, path, run_id))), path, run_id)
@@ -197,42 +202,49 @@ def split_pass_through(rows: DataFrame, passes: Column, reply: Column, run: Call
 def recommend_in_rounds(
     rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[str]]], rounds: int = 10,
     make_prompt: Callable[[str, list[str]], str] | None = None, batch_size: int = 128, spread_by: list[str] = (),
+    recoverable: list[str] = RECOVERABLE_ERRORS,
 ) -> DataFrame:
     """Ask for one item at a time: match the reply to the remaining candidates and take it out.
 
     ``rows`` has ``interaction_history`` (text) and ``candidates`` (array). Each round asks for all
-    rows of a batch at once. A reply that matches nothing uses up its round. Adds
-    ``recommendations, responses``.
+    rows of a batch at once, with the isolation of ``infer``. A reply that matches nothing, or fails, uses up its
+    round. Adds ``recommendations, responses, prompts``: the items taken, and what was said and asked in each round.
     """
     rows = spread(rows, spread_by)
-    schema = StructType(list(rows.schema.fields)).add("recommendations", ArrayType(StringType())).add("responses", ArrayType(StringType()))
+    names = ["recommendations", "responses", "prompts"]
+    schema = StructType(list(rows.schema.fields))
+    for name in names:
+        schema = schema.add(name, ArrayType(StringType()))
     make_prompt = make_prompt or next_item_prompt
 
-    def play(model, batch: pd.DataFrame) -> pd.DataFrame:
-        left = [list(c) for c in batch["candidates"]]
-        chosen, said = [[] for _ in left], [[] for _ in left]
-        histories = batch["interaction_history"].tolist()
+    def play(model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        left = [list(c or []) for c in batch.column("candidates").to_pylist()]
+        chosen, said, asked = ([[] for _ in left] for _ in names)
+        histories = batch.column("interaction_history").to_pylist()
         for _ in range(rounds):
             active = [i for i, items in enumerate(left) if items]
             if not active:
                 break
-            replies = model([make_prompt(histories[i], left[i]) for i in active])
-            for i, reply in zip(active, replies, strict=True):
-                said[i].append(reply.strip())
-                item = matching_item(reply, left[i])
+            prompts = [make_prompt(histories[i], left[i]) for i in active]
+            replies = ask_isolated(model, [prompts], recoverable)
+            for i, prompt, (reply, status, _, _) in zip(active, prompts, replies, strict=True):
+                asked[i].append(prompt)
+                said[i].append(reply)
+                item = matching_item(reply, left[i]) if status == "ok" else None
                 if item:
                     chosen[i].append(item)
                     left[i].remove(item)
-        return batch.assign(recommendations=chosen, responses=said)
+        added = [pa.array(x, pa.list_(pa.string())) for x in (chosen, said, asked)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for frame in frames:
+        for part in parts:
             model = model or make_model()
-            for start in range(0, len(frame), batch_size):
-                yield play(model, frame.iloc[start:start + batch_size])
+            for start in range(0, part.num_rows, batch_size):
+                yield play(model, part.slice(start, batch_size))
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def next_item_prompt(history: str, candidates: list[str]) -> str:

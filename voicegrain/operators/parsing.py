@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.functions.json_replies import (
-    in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, scoring_text, strict_json, text_fields,
+    in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, reread, scoring_text, strict_json, text_fields, unsettled,
     without_markers,
 )
 from voicegrain.lookups import ANSWER_KEYS
@@ -13,11 +13,16 @@ from voicegrain.operators.once import compute_once
 
 
 def read_strict(df: DataFrame, texts: list[Column], out: str) -> DataFrame:
-    """Adds the variant of the first of the texts that is strict JSON, else null."""
+    """Adds the variant of the first of the texts that is JSON, else null.
+
+    The few texts that look strict but are not, because of a repeated key or a number like NaN, are read again in Python.
+    """
     names = [f"t{i}" for i in range(len(texts))]
     df = compute_once(df, "_texts", F.struct(*[t.alias(n) for t, n in zip(texts, names)]))
     df = compute_once(df, "_maybe", F.struct(*[maybe_strict(F.col("_texts")[n]).alias(n) for n in names]))
-    return compute_once(df, out, F.coalesce(*[strict_json(F.col("_maybe")[n]) for n in names])).drop("_texts", "_maybe")
+    df = compute_once(df, "_strict", F.struct(*[strict_json(F.col("_maybe")[n]).alias(n) for n in names]))
+    tried = [F.coalesce(F.col("_strict")[n], F.try_parse_json(reread(unsettled(F.col("_maybe")[n], F.col("_strict")[n])))) for n in names]
+    return compute_once(df, out, F.coalesce(*tried)).drop("_texts", "_maybe", "_strict")
 
 
 def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read") -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Hash ranks are cut into this many ordered buckets: the first four hex digits of the md5.
 HASH_BUCKETS = 1 << 16
 
-# Ordinals are cut into runs of this width, so a bucket never holds more rows than that.
+# Ordinals are cut into runs of this width, so a bucket never holds more rows than that, and so many
+# runs are summed together before the sums of all runs are.
 ORDINAL_WIDTH = 1 << 20
+RUNS_TOGETHER = 1 << 12
 
 # A group's rows are first pruned in this many independent slices.
 SLICES = 64
@@ -25,8 +27,8 @@ def key_hash(seed, *keys) -> Column:
 
 
 def hash_number(seed, *keys) -> Column:
-    """The first eight hex digits of the key hash as a number below 2^32."""
-    return F.conv(F.substring(key_hash(seed, *keys), 1, 8), 16, 10).cast("bigint")
+    """The first fifteen hex digits of the key hash as a number below 2^60."""
+    return F.conv(F.substring(key_hash(seed, *keys), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_bucket(hashed: Column) -> Column:
@@ -107,15 +109,21 @@ def position_in_group(
     """Dense 0-based position of each row within its group by a unique whole number.
 
     A group is ranked in runs of ``width`` ordinals, so a task never sees more than ``width`` rows
-    of one group; the rows before each run come from one small aggregate.
+    of one group. The rows before each run come from two levels of sums, over the runs of a bundle and
+    over bundles of ``RUNS_TOGETHER`` runs, so that no task meets all runs either.
     """
     run = df.withColumn("_run", ordinal_bucket(ordinal, width))
-    before = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        run.groupBy(*group, "_run").agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
+    sizes = run.groupBy(*group, "_run").agg(F.count(F.lit(1)).alias("_size")).withColumn(
+        "_bundle", F.expr(f"_run div {RUNS_TOGETHER}")
     )
+    inside = Window.partitionBy(*group, "_bundle").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*group).orderBy("_bundle").rowsBetween(Window.unboundedPreceding, -1)
+    bundles = sizes.groupBy(*group, "_bundle").agg(F.sum("_size").alias("_sum")).withColumn(
+        "_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))
+    ).drop("_sum")
+    starts = sizes.join(bundles, [*group, "_bundle"]).withColumn(
+        "_start", F.col("_ahead") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    ).select(*group, "_run", "_start")
     within = Window.partitionBy(*group, "_run").orderBy(ordinal)
     return (
         run.join(starts, [*group, "_run"])

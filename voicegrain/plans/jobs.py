@@ -26,7 +26,7 @@ c = F.col
 
 def with_prompt(rows: DataFrame, prompt: Column, *keys: str) -> DataFrame:
     """Adds ``prompt`` and a ``prompt_id`` made from the row's key."""
-    return rows.withColumns({"prompt_id": F.xxhash64(*keys), "prompt": prompt})
+    return rows.withColumns({"prompt_id": F.md5(F.to_json(F.struct(*keys))), "prompt": prompt})
 
 
 def extract_from_posts(
@@ -59,10 +59,26 @@ def extract_from_batches(
 def merge_descriptions(
     labelled: DataFrame, run: Run, template: str = templates.MERGE_DESCRIPTIONS, most_tags: int = 2000
 ) -> DataFrame:
-    """Useful descriptions of each user, without repeats, merged by the model: one row per user and page."""
-    pages = batching.tag_pages(batching.distinct_tags(parsing.useful_posts(labelled)), most_tags)
+    """Useful descriptions of each user, without repeats, merged by the model into one row per user.
+
+    A prompt holds about ``most_tags`` tags (two at least). A user with more has them merged in parts, then the
+    profiles of the parts, in as many rounds as it takes; ``round`` tells in which the row was made. Replies are kept,
+    so each is asked for once.
+    """
     prompt = text.fill_template(template, ("TEMPLATE_USER_ID", c("user")), ("TEMPLATE_USER_DESCRIPTION_LIST", c("descriptions")))
-    return parsing.parse_replies(run(with_prompt(pages, prompt, "user", "page")), ["user_id", "user_profile"])
+    tags, done, round_ = batching.distinct_tags(parsing.useful_posts(labelled)), None, 0
+    while True:
+        pages = batching.tag_pages(tags, max(2, most_tags)).withColumn("round", F.lit(round_))
+        asked = run(with_prompt(pages, prompt, "user", "page", "round"))
+        merged = checkpoint(parsing.parse_replies(asked, ["user_id", "user_profile"]))
+        split = merged.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("user")
+        whole = merged.join(split, "user", "left_anti")
+        done = whole if done is None else done.unionByName(whole)
+        if split.isEmpty():
+            return done
+        parts = merged.join(split, "user", "left_semi")
+        tags = parts.select("user", F.coalesce("parsed.user_profile", "response", F.lit("")).alias("tag")).distinct()
+        round_ += 1
 
 
 def fictional_profiles(spark: SparkSession, run: Run, n: int, seed: int = 42, template: str = templates.FICTIONAL_PROFILE) -> DataFrame:
@@ -290,7 +306,7 @@ def repeated_answers(
     """Every question asked ``n`` times without a profile, each time with its own seed."""
     rows = _answer_columns(questions)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    rows = rows.withColumn("sample_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).withColumns({
+    rows = rows.withColumn("sample_idx", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(n)]) if n > 0 else F.array().cast("array<bigint>"))).withColumns({
         "seed": F.lit(seed) + c("sample_idx") * total + c("position"),
         "sampling_temperature": F.coalesce(F.lit(temperature).cast("double"), F.lit(float(model_temperature))),
     })

@@ -36,12 +36,12 @@ def h(seed, *keys: str) -> str:
 
 
 def hnum(seed, *keys: str) -> str:
-    return f"('0x' || substr({h(seed, *keys)}, 1, 8))::BIGINT"
+    return f"('0x' || substr({h(seed, *keys)}, 1, 15))::BIGINT"
 
 
 def stride(seed, pool: str, *keys: str) -> str:
     usable = f"list_filter({PRIME_STRIDES}, lambda p: ({pool}) % p <> 0)"
-    return f"{usable}[({hnum(f'{seed}-stride', *keys)} % len({usable}) + 1)::INT]"
+    return f"{usable}[({hnum(f'{seed}-stride', *keys)} % len({usable}) + 1)::INT] % ({pool})"
 
 
 def wrapped(payload: str, shape: str) -> str:

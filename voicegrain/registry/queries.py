@@ -10,7 +10,7 @@ from voicegrain.lookups import DATASET_TOPICS, PASS_THROUGH_PROMPT
 from voicegrain.operators import (
     batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft,
 )
-from voicegrain.operators.ranking import hash_number, hash_positions, hash_sample, position_in_group
+from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
 from voicegrain.registry import views
 from voicegrain.session import checkpoint
 from voicegrain.sources import sinks, tables
@@ -182,7 +182,7 @@ def question_profile_pairs(spark, folder) -> DataFrame:
     asked = views.questions(spark, folder).where("user_intent = 'Leisure' and language = 'EN'")
     asked = hash_sample(asked, SEED, ["ord"], 50).drop("position")
     people = hash_sample(views.profiles(spark, folder), SEED, ["user_id"], 20).select("user_id", "user_profile")
-    people = position_in_group(people.withColumn("o", hash_number(SEED, "user_id")), [], "o").drop("o")
+    people = hash_positions(people, SEED, ["user_id"])
     return pairing.pair_with_first(asked, people, 20).select(
         "ord", "user_id", text.fill_template(
             templates.QUESTION_FOR_USER, ("TEMPLATE_USER_NAME", c("user_id")), ("TEMPLATE_USER_PROFILE", c("user_profile")),

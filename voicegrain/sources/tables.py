@@ -44,11 +44,17 @@ def post_columns(df: DataFrame) -> DataFrame:
 
 
 def read_posts_json(spark: SparkSession, folder: str, schema: str = schemas.POSTS_RAW) -> DataFrame:
-    return with_file_order(post_columns(spark.read.schema(schema).json(os.path.join(folder, "*.jsonl"))))
+    """``user, tweet, ord, post_id``: posts in file order, numbered over all files."""
+    return with_post_id(with_file_order(post_columns(spark.read.schema(schema).json(os.path.join(folder, "*.jsonl")))))
+
+
+def with_post_id(posts: DataFrame) -> DataFrame:
+    """The ordinal as ``post_id``, unless the posts bring their own."""
+    return posts if "post_id" in posts.columns else posts.withColumn("post_id", F.col("ord"))
 
 
 def read_posts_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    return with_file_order(post_columns(spark.read.parquet(os.path.join(folder, "*.parquet"))))
+    return with_post_id(with_file_order(post_columns(spark.read.parquet(os.path.join(folder, "*.parquet")))))
 
 
 def copy_post_columns(df: DataFrame) -> DataFrame:
@@ -81,7 +87,8 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return with_file_order(read_csv(spark, path, schema=schemas.QUESTIONS))
+    """Questions in file order; ``ord`` and ``position`` are the same number."""
+    return with_file_order(read_csv(spark, path, schema=schemas.QUESTIONS)).withColumn("position", F.col("ord"))
 
 
 def item_pool(items: DataFrame, dataset: str) -> DataFrame:
@@ -108,11 +115,11 @@ def read_labelled_posts(spark: SparkSession, folder: str) -> DataFrame:
     """One CSV per user; the file name carries the user. All files in one scan, ordered per file."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.schema(schemas.USEFUL_LABELS).csv(os.path.join(folder, "*.csv"))
-    return df.select(
+    return with_post_id(df.select(
         user_of_file(F.url_decode(F.col("_metadata.file_name"))).alias("user"),
         F.col("Tweet").alias("tweet"), F.col("Response").alias("response"),
         F.monotonically_increasing_id().alias("ord"),
-    )
+    ))
 
 
 def read_few_zero(spark: SparkSession, path: str, few_zero: str, task: str) -> DataFrame:

@@ -51,4 +51,4 @@ PROFILE_QUESTION = (
     "User Profile: TEMPLATE_USER_PROFILE\nQuestion: TEMPLATE_QUESTION"
 )
 RECOMMENDER_SYSTEM = "You recommend items. Reply with YES or NO only: would the user choose the candidate item?"
-RECOMMENDER_USER = "User behavior sequence:\n{history}\nCandidate item: {candidate}\n"
+RECOMMENDER_USER = "What this person chose before:\n{history}\nWould they choose this next? {candidate}\n"
