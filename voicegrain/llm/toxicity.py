@@ -20,8 +20,8 @@ ORDERS = (3, 4, 5)
 HASH_BITS = 18
 
 #: Bounds of the fit: labelled documents of each class (first in the order of a hash), and n-grams with a weight.
-SAMPLE_PER_CLASS = 6_000
-FEATURES = 40_000
+SAMPLE_PER_CLASS = 3_000
+FEATURES = 20_000
 
 
 def grams(text: str) -> np.ndarray:
@@ -119,25 +119,33 @@ def fit(
 
     rows = sample.mapInArrow(present, "ids binary, toxic int").collect()  # at most 2 * per_class rows
     y = np.array([r.toxic for r in rows], np.float64)
-    parts = [np.frombuffer(r.ids, np.int32) for r in rows]
-    columns = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
-    del rows, parts
-    weights, bias = logistic(columns, owner, y, ratio[chosen], rounds, penalty)
+    ids = [np.frombuffer(r.ids, np.int32) for r in rows]
+    weights, bias = logistic(ids, y, ratio[chosen], rounds, penalty)
     full = np.zeros(1 << HASH_BITS, np.float32)
     full[chosen] = weights
     return Model(full, bias)
 
 
-def logistic(columns, owner, y, ratio, rounds, penalty) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features by Adam over all rows at once; classes count alike."""
+def logistic(ids: list[np.ndarray], y, ratio, rounds, penalty) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features by Adam over all rows at once; classes count alike.
+
+    Sums go over a few hundred rows at a time, so besides the ids they need little memory.
+    """
+    blocks = [ids[i : i + 256] for i in range(0, len(ids), 256)]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, rounds + 1):
         scaled = w[:-1] * ratio
-        margin = np.bincount(owner, scaled[columns], len(y)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) * share
-        grad = np.append(np.bincount(columns, error[owner], len(ratio)) * ratio + penalty * w[:-1], error.sum())
+        slopes, whole, at = np.zeros(len(ratio)), 0.0, 0
+        for block in blocks:
+            columns, sizes = np.concatenate(block), [len(x) for x in block]
+            margin = np.bincount(np.repeat(np.arange(len(block)), sizes), scaled[columns], len(block)) + w[-1]
+            here = slice(at, at + len(block))
+            error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[here]) * share[here]
+            slopes += np.bincount(columns, np.repeat(error, sizes), len(ratio))
+            whole += error.sum()
+            at += len(block)
+        grad = np.append(slopes * ratio + penalty * w[:-1], whole)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return (w[:-1] * ratio).astype(np.float32), float(w[-1])
