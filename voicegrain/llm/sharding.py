@@ -2,8 +2,8 @@
 
 Links are given by hubs: rows of one hub are neighbours of each other (an edge is a hub of two), so that a
 large group is never expanded into pairs. A round counts each hub's rows by shard, lets every linked row ask
-for the shard with most of its neighbours, and admits askers up to a quota: the rows of that shard without
-links. As many of these then leave for the shards that lost rows, so sizes stay at most one apart.
+for the shard with most of its neighbours, and admits askers up to a quota: the rows of that shard without a
+neighbour there. As many of these then leave for the shards that lost rows, so sizes stay at most one apart.
 """
 
 from __future__ import annotations
@@ -16,31 +16,29 @@ from voicegrain.llm.shared import running_total, stored, text_of
 from voicegrain.operators.skew import skew_join
 
 
-def _wishes(state: DataFrame, members: DataFrame, shards: int, room: list[int]) -> DataFrame:
-    """``row, hub, shard, target`` of linked rows that want to leave; only shards with room are asked for.
-
-    Equal counts are settled by an order of the shards that is the same for all rows of a hub.
-    """
+def _neighbours(state: DataFrame, members: DataFrame, shards: int) -> DataFrame:
+    """``row, hub, shard, near`` of linked rows: ``near`` counts by shard the rows of their hubs, themselves included."""
     placed = members.join(state, "row")
     per_hub = placed.groupBy("hub").agg(
         *[F.sum((F.col("shard") == k).cast("bigint")).alias(f"_c{k}") for k in range(shards)]
     )
-    per_row = skew_join(placed, per_hub, "hub", ["row"]).groupBy("row").agg(
-        F.min("hub").alias("hub"), F.first("shard").alias("shard"),
-        *[F.sum(f"_c{k}").alias(f"_c{k}") for k in range(shards)],
-    )
-    choices = [
-        F.when(F.lit(room[k] > 0) | (F.col("shard") == k), F.struct(
-            F.col(f"_c{k}").alias("near"), F.pmod(F.pmod(F.xxhash64("hub"), F.lit(shards)) + F.lit(k), F.lit(shards)).alias("turn"),
-            F.lit(k).alias("shard"),
-        ))
-        for k in range(shards)
-    ]
-    return per_row.select("row", "hub", "shard", F.array_max(F.array(*choices))["shard"].alias("target")).where(
-        "target != shard"
+    return skew_join(placed, per_hub, "hub", ["row"]).groupBy("row").agg(
+        F.min("hub").alias("hub"), F.first("shard").alias("shard"), F.count(F.lit(1)).alias("hubs"),
+        F.array(*[F.sum(f"_c{k}") for k in range(shards)]).alias("near"),
     )
 
 
+def _target(shards: int, open_: list[bool], round_: int):
+    """The open shard with most neighbours, or the own one. Equal counts are settled by an order of the shards that is
+    the same for all rows of a hub, anew in each round."""
+    turn = F.pmod(F.xxhash64("hub", F.lit(round_)), F.lit(shards))
+    return F.array_max(F.array(*[
+        F.when(F.lit(open_[k]) | (F.col("shard") == k), F.struct(
+            F.get("near", k).alias("near"), F.pmod(turn + k, F.lit(shards)).alias("turn"), F.lit(k).alias("shard")
+        )) for k in range(shards)
+    ]))["shard"]
+
+
 def _by_shard(df: DataFrame, shards: int, column: str = "shard") -> list[int]:
     """Rows in each shard; the driver sees one number per shard."""
     found = {r[0]: r[1] for r in df.groupBy(column).count().collect()}
@@ -56,7 +54,8 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
     """``row, shard`` for every row of ``rows`` (a unique ``row`` each); counts of shards are at most one apart.
 
     ``members`` holds ``row, hub``; rows without a hub are moved only to make room. Rows start evenly dealt by
-    hash. Rounds end when nobody is admitted. An empty table gives no rows.
+    hash. Only shards with rows to spare are asked for, so a group too large for one shard goes on to the next.
+    Rounds end when nobody asks. An empty table gives no rows.
     """
     start = running_total(rows.select("row"), [], ["row"], F.lit(1), "_at")
     linked = members.select("row").distinct().withColumn("linked", F.lit(True))
@@ -64,28 +63,31 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
         linked, "row", "left"
     ).select("row", "shard", F.coalesce("linked", F.lit(False)).alias("linked")))
     capacity = _by_shard(state, shards)
-    for _ in range(rounds):
-        room = _by_shard(state.where(~F.col("linked")), shards)
-        asked = running_total(
-            _wishes(state.where("linked").select("row", "shard"), members, shards, room),
-            ["target"], ["row"], F.lit(1), "_rank", first=["hub"],
-        )
-        moves = stored(asked.where(F.col("_rank") < _pick(room, "target")).select("row", "shard", "target"))
+    for round_ in range(rounds):
+        known = stored(_neighbours(state.where("linked").select("row", "shard"), members, shards).select(
+            "row", "hub", "shard", "near", (F.get("near", F.col("shard")) <= F.col("hubs")).alias("alone")
+        ))
+        unlinked = _by_shard(state.where(~F.col("linked")), shards)
+        spare = [a + b for a, b in zip(unlinked, _by_shard(known.where("alone"), shards), strict=True)]
+        wishes = known.withColumn("target", _target(shards, [n > 0 for n in spare], round_)).where("target != shard")
+        ranked = running_total(wishes.select("row", "hub", "shard", "target"), ["target"], ["row"], F.lit(1), "_rank", first=["hub"])
+        moves = stored(ranked.where(F.col("_rank") < _pick(spare, "target")).select("row", "shard", "target"))
         came, left = _by_shard(moves, shards, "target"), _by_shard(moves, shards)
         if not sum(came):
             break
-        # no shard was above or below its capacity before
+        # no shard was above or below its capacity before; those that came are at most the rows that could be spared
         over = [max(0, a - b) for a, b in zip(came, left, strict=True)]
         under = [max(0, b - a) for a, b in zip(came, left, strict=True)]
         before = [sum(over[:k]) for k in range(shards)]
-        singles = running_total(
-            state.where(~F.col("linked") & (_pick(over, "shard") > 0)).select("row", "shard"),
-            ["shard"], ["row"], F.lit(1), "_rank",
-        ).where(F.col("_rank") < _pick(over, "shard"))
-        place = F.col("_rank") + _pick(before, "shard")
+        first = [min(a, b) for a, b in zip(over, unlinked, strict=True)]  # rows without links leave first
+        then = [a - b for a, b in zip(over, first, strict=True)]
+        leaving = _leaving(state.where(~F.col("linked")), first, before)
+        if sum(then):
+            rest = known.where("alone").join(moves, "row", "left_anti")
+            leaving = leaving.unionByName(_leaving(rest, then, [a + b for a, b in zip(before, first, strict=True)]))
         ends = [sum(under[: k + 1]) for k in range(shards)]
-        dest = reduce(lambda rest, k: F.when(place < ends[k], k).otherwise(rest), reversed(range(shards)), F.lit(None))
-        every = moves.select("row", "target").unionByName(singles.select("row", dest.cast("int").alias("target")))
+        dest = reduce(lambda rest, k: F.when(F.col("_place") < ends[k], k).otherwise(rest), reversed(range(shards)), F.lit(None))
+        every = moves.select("row", "target").unionByName(leaving.select("row", dest.cast("int").alias("target")))
         state = stored(state.join(every, "row", "left").select(
             "row", F.coalesce("target", "shard").alias("shard"), "linked"
         ))
@@ -93,6 +95,12 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
     return state.select("row", "shard")
 
 
+def _leaving(rows: DataFrame, number: list[int], before: list[int]) -> DataFrame:
+    """``row, _place``: so many rows of each shard, numbered on from ``before``."""
+    ranked = running_total(rows.where(_pick(number, "shard") > 0).select("row", "shard"), ["shard"], ["row"], F.lit(1), "_rank")
+    return ranked.where(F.col("_rank") < _pick(number, "shard")).select("row", (F.col("_rank") + _pick(before, "shard")).alias("_place"))
+
+
 def shard_documents(
     docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", rounds: int = 12
 ) -> DataFrame:
