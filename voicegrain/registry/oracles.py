@@ -6,7 +6,7 @@ The common tables below are the views of ``views.py``. Helper functions write re
 from __future__ import annotations
 
 from voicegrain import templates
-from voicegrain.lookups import DATASET_TOPICS, PASS_THROUGH_PROMPT, RUBRIC_DIMENSIONS
+from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC, PASS_THROUGH_PROMPT, RUBRIC_DIMENSIONS
 from voicegrain.functions.text import SCRUB_PATTERNS
 from voicegrain.operators.drawing import PRIME_STRIDES
 from voicegrain.operators.grading import rubric_text
@@ -219,6 +219,7 @@ def posts_of_others(n: str, places: str) -> str:
 
 ORACLES = {
     "posts_normalised": select("posts", "SELECT * FROM posts"),
+    "posts_copied": 'SELECT doc_id AS post_id, source AS author, text, source AS "user", text AS tweet FROM documents',
     "item_display": """
       SELECT p_partkey AS item_id, 'netflix' AS dataset, concat_ws(', ', 'Title: ' || p_name,
         CASE WHEN p_size % 10 <> 0 THEN 'Year: ' || p_size END) AS item_description FROM part
@@ -305,6 +306,15 @@ ORACLES = {
       CASE WHEN row_number() OVER (ORDER BY {h(SEED, 'user_id', 'answer')}) <= round_even(0.9 * count(*) OVER (), 0) THEN 'train' ELSE 'test' END AS split,
       CASE WHEN dense_rank() OVER (ORDER BY {h(SEED, 'user_id')}) <= round_even(0.9 * (SELECT count(DISTINCT user_id) FROM pairs), 0)
         THEN 'train' ELSE 'test' END AS user_split FROM pairs"""),
+    "finetuned_sample": select("questions", f"""SELECT ord, 'You serve ' || user_intent || E'\\n' || question AS prompt
+      FROM questions ORDER BY {h(SEED, 'ord')}, ord LIMIT 25"""),
+    "sft_cut": f"""SELECT doc_id, text AS question, lang AS answer FROM documents WHERE text <> '' AND lang <> ''
+      ORDER BY {h(SEED, 'doc_id')}, doc_id LIMIT 150""",
+    "default_topic_prompts": select("pool", f"""SELECT item_id, {fill(
+        templates.INTEREST, ITEM_DESCRIPTION='item_description', USER_NAME=q('u'), USER_PROFILE=q('p'),
+        ITEM_TYPE=q(DEFAULT_ITEM_TYPE), TOPIC=q(DEFAULT_TOPIC))} AS prompt FROM pool"""),
+    "repeated_candidates": select("ranking", """SELECT o_orderkey, candidates[-1] || '|' || candidates[-1] AS taken, 2::BIGINT AS n_prompts
+      FROM ranking"""),
     "sft_format": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN E'Name the language.\\n\\n' ELSE '' END || {strip('text')} || E'\\n\\n' AS prompt,
       'lang ' || lang AS completion, CASE WHEN doc_id % 3 = 2 THEN 3 ELSE 2 END::BIGINT AS n_messages,
       CASE WHEN doc_id % 3 = 2 THEN 'system: Name the language. |' ELSE '' END || 'user:' || text || '|assistant:  lang ' || lang || E'\\n' AS chat

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voicegrain import templates
 from voicegrain.functions import json_replies, replies, text
-from voicegrain.lookups import DATASET_TOPICS, PASS_THROUGH_PROMPT
+from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC, PASS_THROUGH_PROMPT
 from voicegrain.operators import (
     batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft,
 )
@@ -26,6 +26,11 @@ def posts_normalised(spark, folder) -> DataFrame:
     return tables.post_columns(raw)
 
 
+def posts_copied(spark, folder) -> DataFrame:
+    raw = views.table(spark, folder, "documents").select(c("doc_id").alias("post_id"), c("source").alias("author"), "text")
+    return tables.copy_post_columns(raw)
+
+
 def item_display(spark, folder) -> DataFrame:
     part = views.table(spark, folder, "part").select(
         c("p_partkey").alias("item_id"), c("p_name").alias("title"),
@@ -205,6 +210,30 @@ def finetuned_prompts(spark, folder) -> DataFrame:
         "ord", F.concat("system_prompt", F.lit("\n"), "question").alias("prompt"))
 
 
+def finetuned_sample(spark, folder) -> DataFrame:
+    rows = views.questions(spark, folder).withColumn("system_prompt", F.concat(F.lit("You serve "), c("user_intent")))
+    return sampling.sample_if_positive(rows, SEED, ["ord"], 25).select(
+        "ord", F.concat("system_prompt", F.lit("\n"), "question").alias("prompt"))
+
+
+def sft_cut(spark, folder) -> DataFrame:
+    rows = views.table(spark, folder, "documents").select("doc_id", c("text").alias("question"), c("lang").alias("answer"))
+    return hash_sample(sft.filled_rows(rows), SEED, ["doc_id"], 150).select("doc_id", "question", "answer")
+
+
+def default_topic_prompts(spark, folder) -> DataFrame:
+    topic, kind = DATASET_TOPICS.get("a catalogue of our own", (DEFAULT_TOPIC, DEFAULT_ITEM_TYPE))
+    return views.pool(spark, folder).select("item_id", text.fill_template(
+        templates.INTEREST, ("TEMPLATE_ITEM_DESCRIPTION", c("item_description")), ("TEMPLATE_USER_NAME", F.lit("u")),
+        ("TEMPLATE_USER_PROFILE", F.lit("p")), ("TEMPLATE_ITEM_TYPE", kind), ("TEMPLATE_TOPIC", topic)).alias("prompt"))
+
+
+def repeated_candidates(spark, folder) -> DataFrame:
+    rows = views.ranking_eval(spark, folder).select("o_orderkey", "interaction_history", F.concat("candidates", "candidates").alias("candidates"))
+    played = inference.recommend_in_rounds(rows, last_candidate_model, rounds=2, spread_by=["o_orderkey"])
+    return played.select("o_orderkey", F.array_join("recommendations", "|").alias("taken"), F.size("prompts").cast("bigint").alias("n_prompts"))
+
+
 def interest_clean(spark, folder) -> DataFrame:
     return sft.clean_interest(views.interest_replies(spark, folder)).select(
         "row_key", "user_name", "item_description", "justification", "is_interested")
@@ -470,10 +499,11 @@ def semantic_profiles(spark, folder) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    posts_normalised, item_display, user_post_counts, profile_prompts, user_shard, question_filter_sample,
+    posts_normalised, posts_copied, item_display, user_post_counts, profile_prompts, user_shard, question_filter_sample,
     reply_parse_stage, reply_fields, prompt_length_guard, chat_messages, batch_inference_stub, resume_pending,
     post_batches, user_descriptions, profile_scrub, constant_prompts, profile_item_pairs, profile_question_pairs,
-    question_profile_pairs, synthetic_histories, finetuned_prompts, interest_clean, sft_pairs, sft_split, sft_format,
+    question_profile_pairs, synthetic_histories, finetuned_prompts,
+    finetuned_sample, sft_cut, default_topic_prompts, repeated_candidates, interest_clean, sft_pairs, sft_split, sft_format,
     author_self_positives, author_user_negatives, author_post_negatives, author_useful_only, author_accuracy,
     profile_qa_accuracy, perspective_first_n, perspective_related, perspective_repeat, answers_by_k,
     answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, hit_rates, iterative_hits,
