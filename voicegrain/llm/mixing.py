@@ -140,8 +140,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A null text has no words. Null and repeated ids are rows of their own; other columns are left out.
     """
     placed = assign(narrow(docs, key, text, source), ["name"], F.col("words"), **options)
-    first = F.asc_nulls_last(F.get("positions", 0))
-    return placed.repartitionByRange(first).sortWithinPartitions(first, F.asc_nulls_last("doc_id")).select(
+    # documents that are not taken come after all positions, spread by their hash
+    behind = 1 + F.pmod(F.xxhash64("name"), F.lit(1 << 20)) / (1 << 20)
+    placed = placed.withColumn("_first", F.coalesce(F.get("positions", 0), behind))
+    return placed.repartitionByRange("_first").sortWithinPartitions("_first", F.asc_nulls_last("doc_id")).select(
         "doc_id", "size", "source_size", "target", "taken", "positions"
     )
 
