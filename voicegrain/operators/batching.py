@@ -8,6 +8,7 @@ from voicegrain.functions.replies import summary_answer
 from voicegrain.functions.text import strip
 from voicegrain.operators.ranking import top_k
 from voicegrain.operators.skew import lookup_join, skew_join
+from voicegrain.session import checkpoint
 
 
 def first_posts(posts: DataFrame, users: DataFrame, most: int, users_at_most: int | None = None) -> DataFrame:
@@ -48,8 +49,10 @@ def tag_pages(tags: DataFrame, most: int = 2000) -> DataFrame:
     """One row per user and page with the sorted tags as ``descriptions``.
 
     A user with at most ``most`` tags has one page. More tags are spread over as many pages as they
-    need, so that no list grows with a user's share of the data and no tag is lost.
+    need, so that no list grows with a user's share of the data and no tag is lost. Tags are kept before they are
+    counted, so replies are read once.
     """
+    tags = checkpoint(tags)
     counts = tags.groupBy("user").agg(F.count(F.lit(1)).alias("n_tags"))
     pages = counts.select("user", F.ceil(F.col("n_tags") / most).cast("int").alias("n_pages"))
     many = pages.where("n_pages > 1")

@@ -73,18 +73,17 @@ def related_profiles(
 ) -> DataFrame:
     """Questions with strictly more than ``n`` different annotated profiles, with up to ``cap`` of them.
 
-    ``cap`` None keeps all. Pairs are made distinct first, on the map side where possible; the join
-    back to the questions is cut into slices for questions that dominate the annotation.
+    ``cap`` None keeps all. Pairs are made distinct first and kept, so annotations are parsed once. With a cap a
+    question has few rows to join back; without one, questions that dominate the annotation are cut into slices.
     """
-    pairs = annotation.select("question", "user_profile").distinct()
+    pairs = checkpoint(annotation.select("question", "user_profile").distinct())
     counts = pairs.groupBy("question").agg(F.count(F.lit(1)).alias("n_related")).where(F.col("n_related") > n)
     facts = questions.join(counts, "question")
     if cap is not None:
         chosen = top_k(pairs.withColumn("_hash", key_hash(seed, "question", "user_profile")),
                        ["question"], ["_hash", "user_profile"], cap).drop("_hash", "rank")
-    else:
-        chosen = pairs
-    return skew_join(chosen, facts, "question", ["user_profile"])
+        return chosen.join(facts, "question")
+    return skew_join(pairs, facts, "question", ["user_profile"])
 
 
 def user_blocks(users: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def self_positives(
     the prefix was excluded. ``profiles`` has ``profile_id, user``. The result, a few keys per profile,
     is kept on reliable storage: it is both counted and joined to its texts.
     """
-    later = places.where(F.col("position") >= exclude)
+    later = places.where(F.col("position") >= exclude).join(profiles.select("user").distinct(), "user", "left_semi")
     if eligible is not None:
         later = later.join(eligible.select("post_id"), "post_id", "left_semi")
     hashed = later.withColumn("_hash", key_hash(seed, "post_id"))

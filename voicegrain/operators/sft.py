@@ -11,6 +11,7 @@ from voicegrain.operators.batching import in_order
 from voicegrain.operators.once import compute_once
 from voicegrain.operators.parsing import parse_by
 from voicegrain.operators.ranking import hash_number, key_hash, top_k
+from voicegrain.session import checkpoint
 
 # Default labels
 ACCEPTED = ["YES", "NO", "MAYBE"]
@@ -41,9 +42,9 @@ def build_pairs(
     candidate, the next ones the history, so at most ``high + 1`` rows of a user are ever gathered.
     """
     low, high = bounds
-    labelled = cleaned.where(F.col("is_interested").isin(positive, negative)).select(
+    labelled = checkpoint(cleaned.where(F.col("is_interested").isin(positive, negative)).select(
         "user_name", "item_description", "is_interested", key_hash(seed, *row_key).alias("_hash")
-    )
+    ))  # read for counts and for histories; the replies behind it are read once
     is_yes, is_no = F.col("is_interested") == positive, F.col("is_interested") == negative
     users = (
         labelled.groupBy("user_name").agg(
