@@ -17,14 +17,19 @@ BITMAP = 32768
 BITS = 256 * BITMAP
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local master without that setting gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="voicegrain-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="voicegrain-")
+        base = _local_folders[context.applicationId]
     return f"{base.rstrip('/')}/voicegrain-{uuid.uuid4().hex}"
 
 
