@@ -107,9 +107,13 @@ def post_tables(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     Texts are left out: they are joined at the end, for chosen posts only. Both tables are kept on
     reliable storage, because positives and negatives each read them.
     """
-    places = position_in_group(posts.select("user", "ord", "post_id"), ["user"], "ord")
     users = posts.groupBy("user").agg(F.count(F.lit(1)).alias("n_posts"))
-    return checkpoint(places), checkpoint(hash_positions(users, "users", ["user"], "user_position"))
+    return post_places(posts), checkpoint(hash_positions(users, "users", ["user"], "user_position"))
+
+
+def post_places(posts: DataFrame) -> DataFrame:
+    """Posts with their position within the user, kept; the first of ``post_tables``."""
+    return checkpoint(position_in_group(posts.select("user", "ord", "post_id"), ["user"], "ord"))
 
 
 def with_texts(picks: DataFrame, posts: DataFrame, picks_at_most: int | None) -> DataFrame:

@@ -234,21 +234,21 @@ def predict_author_from_useful(
 
     ``labelled`` has ``post_id, user, ord, tweet, response``.
     """
-    useful = parsing.useful_posts(labelled)
+    useful = checkpoint(parsing.useful_posts(labelled).select("post_id", "user", "ord", "tweet"))
     known = labelled.select("user").distinct()
     named = profiles.join(known.withColumnRenamed("user", "user_id"), "user_id", "left_semi")
     people_rows = sampling.first_rows(named, "ord", people).select(
         c("ord").alias("profile_id"), c("user_id").alias("user"), "user_profile")
-    places, _ = pairing.post_tables(labelled)
+    places = pairing.post_places(labelled)
     mine = pairing.self_positives(people_rows, places, exclude, int(total * ratio), seed, eligible=useful)
     useful_places, useful_users = pairing.post_tables(useful)
     everyone = hash_positions(known, "users", ["user"], "user_position").join(
         useful_users.select("user", "n_posts"), "user", "left").na.fill(0, ["n_posts"])
     pairs = pairing.other_users(pairing.positive_counts(people_rows, mine), everyone, total, per_query, seed)
     others = pairing.posts_of_others(pairs, useful_places, F.lit(total) - c("n_positive"), seed)
-    negatives = pairing.with_texts(others, labelled, None).select(
+    negatives = pairing.with_texts(others, useful, None).select(
         "profile_id", "other", c("post_no").cast("bigint").alias("batch"), F.array("tweet").alias("tweets"), F.lit(False).alias("truth"))
-    own = pairing.with_texts(mine, labelled, None).withColumns({"other": c("user"), "number": c("rank") - 1})
+    own = pairing.with_texts(mine, useful, None).withColumns({"other": c("user"), "number": c("rank") - 1})
     positives = pairing.query_batches(own, ["profile_id", "other"], "number", per_query).withColumn("truth", F.lit(True))
     return _ask_author(positives.unionByName(negatives), people_rows, run, template)
 

@@ -270,9 +270,13 @@ def sft_format(spark, folder) -> DataFrame:
 TOTAL, PER_QUERY, EXCLUDE = 10, 2, 20
 
 
-def _author_tables(spark, folder):
+def _author_people(spark, folder):
     posts = views.posts_wide(spark, folder)
-    people = views.profiles(spark, folder).select(c("ord").alias("profile_id"), "user", "user_profile")
+    return posts, views.profiles(spark, folder).select(c("ord").alias("profile_id"), "user", "user_profile")
+
+
+def _author_tables(spark, folder):
+    posts, people = _author_people(spark, folder)
     places, users = pairing.post_tables(posts)
     return posts, people, places, users
 
@@ -286,8 +290,8 @@ def _author_prompt(rows: DataFrame, people: DataFrame, *keys: str) -> DataFrame:
 
 
 def author_self_positives(spark, folder) -> DataFrame:
-    posts, people, places, _ = _author_tables(spark, folder)
-    mine = pairing.self_positives(people, places, EXCLUDE, TOTAL // 2, SEED)
+    posts, people = _author_people(spark, folder)
+    mine = pairing.self_positives(people, pairing.post_places(posts), EXCLUDE, TOTAL // 2, SEED)
     mine = pairing.with_texts(mine, posts, None).withColumn("number", c("rank") - 1)
     return _author_prompt(pairing.query_batches(mine, ["profile_id"], "number", PER_QUERY), people, "profile_id", "batch")
 
@@ -318,8 +322,9 @@ def author_post_negatives(spark, folder) -> DataFrame:
 
 
 def author_useful_only(spark, folder) -> DataFrame:
-    posts, people, places, _ = _author_tables(spark, folder)
-    useful = parsing.useful_posts(views.labelled_posts(spark, folder))
+    posts, people = _author_people(spark, folder)
+    useful = checkpoint(parsing.useful_posts(views.labelled_posts(spark, folder)).select("post_id", "user", "ord", "tweet"))
+    places = pairing.post_places(posts)
     labelled = views.labelled_posts(spark, folder).select("user").distinct()
     people = people.join(labelled, "user", "left_semi")
     mine = pairing.self_positives(people, places, EXCLUDE, int(TOTAL * 0.5), SEED, eligible=useful)
@@ -332,7 +337,7 @@ def author_useful_only(spark, folder) -> DataFrame:
     rest = F.lit(TOTAL) - c("n_positive")
     negatives = pairing.posts_of_others(pairs, useful_places, rest, SEED).select("profile_id", "other", "post_id")
     picked = mine.select("profile_id", c("user").alias("other"), "post_id").unionByName(negatives)
-    return pairing.with_texts(picked, posts, None).join(people.select("profile_id", "user"), "profile_id").select(
+    return pairing.with_texts(picked, useful, None).join(people.select("profile_id", "user"), "profile_id").select(
         "profile_id", "other", "post_id", (c("user") == c("other")).alias("truth"), "tweet")
 
 
