@@ -41,8 +41,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches sent to Python workers hold about 16 MB, however long the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 * 1024 * 1024)
+    """Arrow batches sent to Python workers hold about 4 MB, however long the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 * 1024 * 1024)
 
 
 def text_of(column: Column | str = "text") -> Column:
