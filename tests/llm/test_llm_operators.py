@@ -477,6 +477,48 @@ def test_log_probabilities_sum_to_one():
     assert np.allclose(shares, 1, atol=1e-3)
 
 
+def test_content_words_of_a_large_vocabulary_are_predicted(spark):
+    rnd, n = random.Random(3), 1500
+    drawn = [[rnd.randrange(n) for _ in range(60)] for _ in range(3000)]
+    texts = [" ".join(f"a{i} b{i}" for i in d) for d in drawn]
+    swapped = [" ".join(f"a{i} b{(i * 7 + 11) % n}" for i in d) for d in drawn[:100]]  # as frequent, beside another word
+    data = spark.createDataFrame(list(enumerate(texts + swapped)), "doc_id long, text string").repartition(2)
+    per = {r.doc_id: r.per_word for r in lm_score.score(data).collect()}
+    assert np.mean([per[i] for i in range(100)]) > np.mean([per[3000 + i] for i in range(100)]) + 3
+
+
+def test_every_word_is_counted_and_probabilities_of_all_words_sum_to_one(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.2))}" for _ in range(200)) for _ in range(300)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = collections.Counter(w for t in texts for w in words(t))
+    counts = lm_score.counted(data).cache()
+    known = {r.word: r.n for r in counts.collect()}
+    assert sorted(known.values()) == sorted(want.values()) and len(want) > 2 * lm_score.BUCKETS
+    total = sum(want.values())
+    least = lm_score.least_own(total)
+    outputs = lm_score.Outputs.of(counts, total)
+    assert len(outputs.own) == sum(n >= least for n in want.values()) > 20
+    everything = np.array(list(known))
+    own, shares = outputs.find(everything)
+    around = np.repeat(lm_score.windows(own[:5].astype(np.int32))[:, 2:3], len(own), 1)
+    logs = lm_score.log_probabilities(lm_score.fresh_network(outputs.vocabulary), outputs, own, around)
+    logs = logs - outputs.log_counts[own] + np.where(shares, np.log(list(known.values())), 0)
+    assert abs(np.exp(logs).sum() - 1) < 1e-3
+    encoded = lm_score.encoded_documents(data.select("doc_id", "text"), outputs)
+    sums = {r.row: r.log_counts for r in lm_score.shared_counts(encoded, counts, least, len(want)).collect()}
+    for r in encoded.collect():
+        assert abs(sums[r.row] - sum(math.log(want[w]) for w in words(texts[r.doc_id]) if want[w] < least)) < 1e-6
+
+
+def test_own_words_grow_with_the_corpus(spark):
+    found = []
+    for total in (10**6, 10**8):  # a word of rank r occurs total / (20 r) times
+        counts = spark.range(1, 20_000).selectExpr("xxhash64(id) AS word", f"cast({total} / (20 * id) AS bigint) + 1 AS n")
+        found.append(len(lm_score.Outputs.of(counts, total).own))
+    assert found[1] > 5 * found[0] > 500
+
+
 # pieces
 
 @pytest.fixture(scope="module")

@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood: every word is predicted from the words on both sides of it.
 
-Words are hashed to buckets, counted over the whole corpus; the most frequent buckets are classes by themselves, the
-others share classes of equal mass by frequency. A window network in numpy predicts a word's class from the classes
-of the two words before and the two after it; within its class a word has its share of the counts. A document's
-score is the sum of the logarithms of these conditional probabilities over all its words.
+Words are counted over the whole corpus by 64-bit hash, in a table that grows with it. A word that occurs often enough
+(``least_own``, so more words in a larger corpus) is an output of the network by itself; the others share hashed
+outputs, no fewer than there are own ones, and within such an output a word has its share of the joined counts.
+Outputs form classes of equal sums of the roots of their frequencies. A window network in numpy predicts a word's
+class, and within it the output, from the outputs of the two words before and the two after it, each softmax in full.
+A document's score is the sum of the logarithms of these conditional probabilities over all its words.
 
 Training runs in every task over all words of its documents, from the same start; the networks are then averaged
-by their numbers of words, inside Spark, parameter by parameter. Nothing but counts by bucket and one network
-reaches the driver, both of fixed size.
+inside Spark, row of parameters by row, each by its number of uses. The driver holds the own words and one network.
+Counts of the other words never leave Spark: documents' hashes are sent to the shard of the table that counts them.
 """
 
 from __future__ import annotations
@@ -18,168 +20,443 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voicegrain.llm.shared import bounded_batches
+from voicegrain.llm.shared import bounded_batches, stored
 from voicegrain.llm.shingles import word_hashes
 
-BUCKETS = 1 << 16
-CLASSES, OWN = 48, 32
+#: Fewest hashed outputs for words without one of their own, and fewest classes.
+BUCKETS = 1 << 12
+CLASSES = 48
 REACH, WIDTH = 2, 16
 
+#: Words counted together in a task before its counts go to the shuffle.
+COUNTED = 1 << 22
+#: Distinct words in a shard of the table of counts, about; there are never fewer than 64 shards.
+SHARD_WORDS = 250_000
+
 #: Offsets of the window's words; the word itself is masked.
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-SHAPES = {"embed": (len(OFFSETS), CLASSES + 1, WIDTH), "shift": (WIDTH,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
 
 
-def buckets_of(text: str | None) -> np.ndarray:
-    return (word_hashes(text or "") >> np.uint64(48)).astype(np.int64)
+def words_of(text: str | None) -> np.ndarray:
+    return word_hashes(text or "").view(np.int64)
 
 
-def counted(docs: DataFrame) -> np.ndarray:
-    """Words in each bucket over all documents."""
+def counted(docs: DataFrame) -> DataFrame:
+    """``word, n``: how often each word, by its hash, occurs in all documents."""
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
+
+        def summed():
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(word), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(word[i : i + (1 << 18)]), pa.array(n[i : i + (1 << 18)])], ["word", "n"])
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                np.add.at(total, buckets_of(text), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    rows = docs.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        out[r.bucket] = r.n
-    return out
+                held.append(words_of(text))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield from summed()
+                    held, size = [], 0
+        if held:
+            yield from summed()
+
+    return docs.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def least_own(total: int) -> int:
+    """How often a word must occur to be an output by itself, in a corpus of ``total`` words."""
+    return max(4, int(total**0.5 / 4))
 
 
 @dataclass(frozen=True)
 class Vocabulary:
+    """Classes of outputs, which ``counts`` names in any order, the network in that of falling counts."""
+
     of_bucket: np.ndarray
-    log_share: np.ndarray  # of a word within its class
+    log_share: np.ndarray  # of an output within its class
     frequency: np.ndarray  # of classes
 
     @staticmethod
     def of(counts: np.ndarray) -> Vocabulary:
         order = np.argsort(-counts, kind="stable")
         smooth = counts + 0.5
-        classes = np.empty(BUCKETS, np.int16)
-        classes[order[:OWN]] = np.arange(OWN)
-        mass = np.cumsum(smooth[order[OWN:]])
-        classes[order[OWN:]] = OWN + np.minimum((mass / mass[-1] * (CLASSES - OWN)).astype(int), CLASSES - OWN - 1)
-        total = np.bincount(classes, smooth, CLASSES)
-        total[total == 0] = 1
+        root = np.sqrt(smooth[order] / smooth.sum())
+        ahead = np.cumsum(root) - root / 2
+        # a word costs the number of classes and the size of its own: their sum is least with this number
+        n = min(len(counts), max(CLASSES, round(root.sum())))
+        place = (ahead / root.sum() * n).astype(int)
+        classes = np.empty(len(counts), np.int32)
+        classes[order] = np.unique(place, return_inverse=True)[1]
+        total = np.bincount(classes, smooth)
         return Vocabulary(classes, np.log(smooth / total[classes]).astype(np.float32), (total / total.sum()).astype(np.float32))
 
 
+@dataclass(frozen=True)
+class Outputs:
+    """The outputs of the network, most frequent first, and how words find theirs."""
+
+    own: np.ndarray  # hashes, sorted
+    own_output: np.ndarray
+    bits: int
+    bucket_output: np.ndarray
+    log_counts: np.ndarray  # of shared outputs, 0 of own ones
+    vocabulary: Vocabulary
+    first: np.ndarray  # output of each class, and their number at the end
+
+    @staticmethod
+    def of(counts: DataFrame, total: int) -> Outputs:
+        least = least_own(total)
+        own = counts.where(F.col("n") >= least).orderBy("word").toArrow()
+        word, n = own.column("word").to_numpy(), own.column("n").to_numpy()
+        bits = max(BUCKETS.bit_length() - 1, int(len(word)).bit_length())
+        shared = counts.where(F.col("n") < least).groupBy(F.shiftrightunsigned("word", 64 - bits).alias("bucket")).agg(
+            F.sum("n").alias("n")
+        ).orderBy("bucket").toArrow()
+        bucket, m = shared.column("bucket").to_numpy(), shared.column("n").to_numpy()
+        both = np.concatenate([n, m])
+        order = np.argsort(-both, kind="stable")
+        rank = np.empty(len(both), np.int64)
+        rank[order] = np.arange(len(both))
+        bucket_output = np.zeros(1 << bits, np.int64)
+        bucket_output[bucket] = rank[len(n) :]
+        log_counts = np.zeros(len(both))
+        log_counts[rank[len(n) :]] = np.log(m)
+        vocabulary = Vocabulary.of(both[order])
+        first = np.searchsorted(vocabulary.of_bucket, np.arange(len(vocabulary.frequency) + 1))
+        return Outputs(word, rank[: len(n)], bits, bucket_output, log_counts, vocabulary, first)
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's output, and whether others share it."""
+        found = self.bucket_output[(words.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)]
+        shares = np.ones(len(words), bool)
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
+            shares = self.own[at] != words
+            found = np.where(shares, found, self.own_output[at])
+        return found, shares
+
+
 def fresh_network(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(1)
-    net = {k: draw.normal(0, 0.1, shape).astype(np.float32) for k, shape in SHAPES.items()}
-    net["bias"] = np.log(vocabulary.frequency).astype(np.float32)
+    outputs, classes = len(vocabulary.of_bucket), len(vocabulary.frequency)
+    shapes = {"embed": (len(OFFSETS), outputs + 1, WIDTH), "shift": (WIDTH,), "out": (classes, WIDTH + 1), "word": (outputs, WIDTH + 1)}
+    net = {k: draw.normal(0, 0.1, shape).astype(np.float32) for k, shape in shapes.items()}
+    net["out"][:, WIDTH] = np.log(vocabulary.frequency)  # the last column goes with a constant of the hidden layer
+    net["word"][:, WIDTH] = vocabulary.log_share
     return net
 
 
-def windows(classes: np.ndarray) -> np.ndarray:
-    """The classes around each word; a class of its own stands beyond the ends."""
-    padded = np.full(len(classes) + 2 * REACH, CLASSES, np.int64)
-    padded[REACH : REACH + len(classes)] = classes
-    return np.stack([padded[REACH + o : REACH + o + len(classes)] for o in OFFSETS])
+def windows(outputs: np.ndarray) -> np.ndarray:
+    """The outputs around each word; -1, the last row of the embeddings, stands beyond the ends."""
+    padded = np.full(len(outputs) + 2 * REACH, -1, np.int32)
+    padded[REACH : REACH + len(outputs)] = outputs
+    return np.stack([padded[REACH + o : REACH + o + len(outputs)] for o in OFFSETS])
+
+
+def exponentials(hidden: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of all ``rows``, their exponentials and the sums of these for each word."""
+    logits = hidden @ rows.T
+    if np.abs(rows).sum(1).max() > 60:  # no logit is larger, as the hidden layer is within -1 and 1
+        logits -= logits.max(1, keepdims=True)
+    powers = np.exp(logits)
+    return logits, powers, powers @ np.ones(len(rows), np.float32)
+
+
+def hidden_layer(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
+    inner = net["embed"][0][around[0]] + net["shift"]
+    for i in range(1, len(OFFSETS)):
+        inner += net["embed"][i][around[i]]
+    hidden = np.ones((len(inner), WIDTH + 1), np.float32)
+    np.tanh(inner, out=hidden[:, :WIDTH])
+    return hidden
 
 
 def predicted(net: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden layer and the log probabilities of all classes."""
-    hidden = net["embed"][0][around[0]] + net["shift"]
-    for i in range(1, len(OFFSETS)):
-        hidden += net["embed"][i][around[i]]
-    np.tanh(hidden, out=hidden)
-    logits = hidden @ net["out"] + net["bias"]
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return hidden, logits
+    hidden = hidden_layer(net, around)
+    logits, _, sums = exponentials(hidden, net["out"])
+    return hidden, logits - np.log(sums)[:, None]
+
+
+def by_class(classes: np.ndarray, first: np.ndarray):
+    """Order of the words by class, and for each class of several outputs its words' range there and its outputs'."""
+    order = np.argsort(classes.astype(np.int16) if len(first) < 1 << 15 else classes, kind="stable")
+    ends = np.cumsum(np.bincount(classes, minlength=len(first) - 1)).tolist()
+    bounds = first.tolist()
+    return order, [
+        (a, b, bounds[c], bounds[c + 1]) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a and bounds[c + 1] > bounds[c] + 1
+    ]
+
+
+def log_probabilities(net: dict[str, np.ndarray], outputs: Outputs, own: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Of each word's output, given the words around it."""
+    classes = outputs.vocabulary.of_bucket[own]
+    hidden = hidden_layer(net, around)
+    logits, _, sums = exponentials(hidden, net["out"])
+    found = logits[np.arange(len(own)), classes] - np.log(sums)
+    order, ranges = by_class(classes, outputs.first)
+    hidden, place = hidden[order], own[order]
+    inside = np.zeros(len(own), np.float32)
+    for a, b, low, high in ranges:
+        logits, _, sums = exponentials(hidden[a:b], net["word"][low:high])
+        inside[a:b] = logits[np.arange(b - a), place[a:b] - low] - np.log(sums)
+    found[order] += inside
+    return found
 
 
 class Trainer:
-    """Adam on the negative log probability of the masked words."""
-
-    def __init__(self, net: dict[str, np.ndarray], rate: float = 0.01):
-        self.net = {k: v.copy() for k, v in net.items()}
-        self.rate, self.steps, self.words = rate, 0, 0
-        self.mean = {k: np.zeros_like(v) for k, v in net.items()}
-        self.square = {k: np.zeros_like(v) for k, v in net.items()}
-
-    def step(self, classes: np.ndarray, around: np.ndarray) -> None:
-        n = len(classes)
-        hidden, logs = predicted(self.net, around)
-        error = np.exp(logs)
+    """Adagrad on the negative log probability of the masked words; rows of parameters not in use stay as they are."""
+
+    def __init__(self, net: dict[str, np.ndarray], outputs: Outputs, rate: float = 0.1):
+        self.net, self.outputs, self.rate, self.words = {k: v.copy() for k, v in net.items()}, outputs, rate, 0
+        self.square = {k: np.full_like(v, 1e-6) for k, v in net.items()}
+        self.uses = np.zeros((len(OFFSETS), len(net["word"]) + 1), np.int64)
+        self.class_uses = np.zeros(len(net["out"]), np.int64)
+
+    def move(self, name: str, rows, grad: np.ndarray) -> None:
+        square = self.square[name][rows] + grad * grad
+        self.square[name][rows] = square
+        self.net[name][rows] -= self.rate * grad / np.sqrt(square)
+
+    def step(self, own: np.ndarray, around: np.ndarray) -> None:
+        n, net = len(own), self.net
+        classes = self.outputs.vocabulary.of_bucket[own]
+        hidden = hidden_layer(net, around)
+        _, error, sums = exponentials(hidden, net["out"])
+        error *= (1 / sums)[:, None]
         error[np.arange(n), classes] -= 1
-        error /= n
-        back = (error @ self.net["out"].T) * (1 - hidden * hidden)
-        embed = np.stack([
-            np.stack([np.bincount(side, back[:, k], CLASSES + 1) for k in range(WIDTH)], 1) for side in around
-        ]).astype(np.float32)
-        self.steps += 1
+        back = error @ net["out"][:, :WIDTH]
+        order, ranges = by_class(classes, self.outputs.first)
+        sorted_hidden, place = hidden[order], own[order]
+        more, grad = np.zeros_like(back), np.zeros_like(net["word"])
+        for a, b, low, high in ranges:
+            h, word = sorted_hidden[a:b], net["word"][low:high]
+            _, wrong, sums = exponentials(h, word)
+            wrong *= (1 / sums)[:, None]
+            wrong[np.arange(b - a), place[a:b] - low] -= 1
+            np.matmul(wrong, word[:, :WIDTH], out=more[a:b])
+            np.matmul(wrong.T, h, out=grad[low:high])
+        back[order] += more
+        back *= 1 - hidden[:, :WIDTH] ** 2
+        every = slice(None)
+        self.move("word", every, grad)
+        self.move("out", every, error.T @ hidden)
+        self.move("shift", every, back.sum(0))
+        last = len(net["word"])
+        for i, side in enumerate(around):
+            side = np.where(side < 0, last, side)
+            order = np.argsort(side.astype(np.uint16) if last < 1 << 16 else side, kind="stable")
+            side = side[order]
+            starts = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
+            rows = side[starts]
+            self.move("embed", (i, rows), np.add.reduceat(back[order], starts, axis=0))
+            self.uses[i, rows] += np.diff(np.append(starts, n))
+        self.class_uses += np.bincount(classes, minlength=len(self.class_uses))
         self.words += n
-        for k, grad in {"embed": embed, "shift": back.sum(0), "out": hidden.T @ error, "bias": error.sum(0)}.items():
-            self.mean[k] = 0.9 * self.mean[k] + 0.1 * grad
-            self.square[k] = 0.999 * self.square[k] + 0.001 * grad * grad
-            mean, square = self.mean[k] / (1 - 0.9**self.steps), self.square[k] / (1 - 0.999**self.steps)
-            self.net[k] -= (self.rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
 
+    def rows(self):
+        """All parameters in rows with their weights in the average, ``BLOCK`` rows at a time."""
+        used = self.class_uses[self.outputs.vocabulary.of_bucket]
+        flat, weight = flattened(self.net), np.concatenate([self.uses.ravel(), used, np.full(len(flattened_rest(self.net)), self.words)])
+        for i in range(0, len(flat), BLOCK):
+            yield i // BLOCK, flat[i : i + BLOCK], weight[i : i + BLOCK].astype(np.float64)
+
+
+#: Rows of parameters that travel together.
+BLOCK = 1 << 12
+
+
+def flattened_rest(net: dict[str, np.ndarray]) -> np.ndarray:
+    """What belongs to no single output, in rows as wide as the others."""
+    return np.concatenate([net["out"], np.pad(net["shift"], (0, 1))[None]])
 
-def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int, batch_words: int) -> dict[str, np.ndarray]:
+
+def flattened(net: dict[str, np.ndarray]) -> np.ndarray:
+    embed = np.pad(net["embed"].reshape(-1, WIDTH), ((0, 0), (0, 1)))
+    return np.concatenate([embed, net["word"], flattened_rest(net)])
+
+
+def unflattened(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    a, b = like["embed"].shape[0] * like["embed"].shape[1], len(like["word"])
+    return {
+        "embed": flat[:a, :WIDTH].reshape(like["embed"].shape).copy(), "word": flat[a : a + b].copy(),
+        "out": flat[a + b : -1].copy(), "shift": flat[-1, :WIDTH].copy(),
+    }
+
+
+def averaged(parts: DataFrame) -> DataFrame:
+    """Weighted means of the tasks' rows, block by block; a block is all a task holds."""
+    def run(batches):
+        block, total, weights = None, None, None
+
+        def mean():
+            some = weights > 0
+            total[some] /= weights[some, None]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()]), pa.array([some.tobytes()])],
+                ["block", "value", "used"],
+            )
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                weight = np.frombuffer(r["weight"])
+                value = np.frombuffer(r["value"], np.float32).reshape(len(weight), -1) * weight[:, None]
+                if r["block"] == block:
+                    total += value
+                    weights += weight
+                    continue
+                if block is not None:
+                    yield mean()
+                block, total, weights = r["block"], value, weight.copy()
+        if block is not None:
+            yield mean()
+
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, value binary, used binary")
+
+
+def trained(encoded: DataFrame, outputs: Outputs, rounds: int, batch_words: int) -> dict[str, np.ndarray]:
     """The average of the networks that all tasks train, each over all words of its documents."""
-    net = fresh_network(vocabulary)
-    names, sizes = list(SHAPES), [int(np.prod(s)) for s in SHAPES.values()]
+    net = fresh_network(outputs.vocabulary)
     for _ in range(rounds):
         def run(batches, net=net):
-            trainer = Trainer(net)
-            classes, around, held = [], [], 0
+            trainer = Trainer(net, outputs)
+            owns, around, held = [], [], 0
 
-            def learn():
-                c, a = np.concatenate(classes), np.concatenate(around, 1)
-                for i in range(0, len(c), batch_words):
-                    trainer.step(c[i : i + batch_words], a[:, i : i + batch_words])
+            def learn(all_of_it: bool):
+                nonlocal owns, around, held
+                o, a = np.concatenate(owns), np.concatenate(around, 1)
+                end = len(o) if all_of_it else len(o) - len(o) % batch_words
+                for i in range(0, end, batch_words):
+                    trainer.step(o[i : min(i + batch_words, end)], a[:, i : min(i + batch_words, end)])
+                owns, around, held = [o[end:]], [a[:, end:]], len(o) - end
 
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    own = vocabulary.of_bucket[buckets_of(text)].astype(np.int64)
+                for packed in batch.column("outputs").to_pylist():
+                    own = np.frombuffer(packed, np.int32)
                     if len(own):
-                        classes.append(own)
+                        owns.append(own)
                         around.append(windows(own))
                         held += len(own)
                     if held >= 8 * batch_words:
-                        learn()
-                        classes, around, held = [], [], 0
+                        learn(False)
             if held:
-                learn()
+                learn(True)
             if trainer.words:
-                flat = np.concatenate([trainer.net[k].ravel() for k in names]).astype(np.float64) * trainer.words
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), trainer.words))],
-                    ["place", "value", "words"],
-                )
-
-        summed = docs.mapInArrow(run, "place bigint, value double, words bigint").groupBy("place").agg(
-            F.sum("value").alias("value"), F.sum("words").alias("words")
-        ).collect()  # one row for each parameter
-        if not summed:
-            return net
-        flat = np.zeros(sum(sizes))
-        for r in summed:
-            flat[r.place] = r.value / r.words
-        parts = np.split(flat, np.cumsum(sizes)[:-1])
-        net = {k: x.reshape(SHAPES[k]).astype(np.float32) for k, x in zip(names, parts, strict=True)}
+                for block, value, weight in trainer.rows():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), pa.array([value.tobytes()]), pa.array([weight.tobytes()])],
+                        ["block", "value", "weight"],
+                    )
+
+        rows = averaged(encoded.select("outputs").mapInArrow(run, "block int, value binary, weight binary")).toArrow().to_pylist()
+        flat = flattened(net)
+        for r in rows:
+            used = np.frombuffer(r["used"], bool)
+            at = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(used))
+            flat[at] = np.where(used[:, None], np.frombuffer(r["value"], np.float32).reshape(len(used), -1), flat[at])
+        net = unflattened(flat, net)
     return net
 
 
-def log_likelihood(net: dict[str, np.ndarray], vocabulary: Vocabulary, text: str | None, chunk: int = 8192) -> tuple[int, float]:
-    """Number of words of a text and the sum of their conditional log probabilities."""
-    buckets = buckets_of(text)
-    classes = vocabulary.of_bucket[buckets].astype(np.int64)
-    around = windows(classes)
-    total = float(vocabulary.log_share[buckets].sum(dtype=np.float64))
-    for i in range(0, len(classes), chunk):
-        own = classes[i : i + chunk]
-        total += float(predicted(net, around[:, i : i + chunk])[1][np.arange(len(own)), own].sum(dtype=np.float64))
-    return len(classes), total
+def encoded_documents(slim: DataFrame, outputs: Outputs) -> DataFrame:
+    """``row, doc_id``, the outputs of a document's words and the hashes of those that share theirs."""
+    def run(batches):
+        for batch in batches:
+            own, shared = [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                found, shares = outputs.find(words)
+                own.append(found.astype(np.int32).tobytes())
+                shared.append(words[shares].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(own, pa.binary()), pa.array(shared, pa.binary())], ["doc_id", "outputs", "shared"]
+            )
+
+    found = slim.mapInArrow(run, "doc_id bigint, outputs binary, shared binary")
+    return stored(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def shared_counts(encoded: DataFrame, counts: DataFrame, least: int, distinct: int) -> DataFrame:
+    """``row, log_counts``: the sum of the logarithms of the counts of a document's words without an own output.
+
+    Counts and documents' hashes meet by shard, the counts first, so a task holds one shard of the table and one batch.
+    """
+    shards = max(64, distinct // SHARD_WORDS)
+
+    def shard_of(words):
+        return ((words.view(np.uint64) >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+
+    def parts(name):
+        def run(batches):
+            for batch in batches:
+                if name == "word":
+                    words, others = batch.column("word").to_numpy(), batch.column("n").to_numpy()
+                else:
+                    packed = [np.frombuffer(b, np.int64) for b in batch.column("shared").to_pylist()]
+                    words = np.concatenate(packed) if packed else np.zeros(0, np.int64)
+                    others = np.repeat(batch.column("row").to_numpy(), [len(p) for p in packed])
+                shard = shard_of(words)
+                order = np.argsort(shard, kind="stable")
+                words, others, shard = words[order], others[order], shard[order]
+                starts = np.flatnonzero(np.diff(shard, prepend=-1))
+                ends = np.append(starts[1:], len(shard))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(shard[starts], pa.int64()), pa.array([int(name != "word")] * len(starts), pa.int32()),
+                    pa.array([words[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    pa.array([others[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                ], ["shard", "kind", "words", "others"])
+        return run
+
+    schema = "shard bigint, kind int, words binary, others binary"
+    table = counts.where(F.col("n") < least).mapInArrow(parts("word"), schema)
+    asked = encoded.select("row", "shared").mapInArrow(parts("shared"), schema)
+
+    def meet(batches):
+        shard, known, logs, loading = None, None, None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, others = np.frombuffer(r["words"], np.int64), np.frombuffer(r["others"], np.int64)
+                if r["shard"] != shard:
+                    shard, loading = r["shard"], []
+                if r["kind"] == 0:
+                    loading.append((words, others))
+                    continue
+                if loading:
+                    known, n = (np.concatenate(x) for x in zip(*loading))
+                    order = np.argsort(known)
+                    known, logs, loading = known[order], np.log(n[order]), []
+                rows, place = np.unique(others, return_inverse=True)
+                sums = np.bincount(place, logs[np.searchsorted(known, words)])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums)], ["row", "log_counts"])
+
+    found = table.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+    return found.mapInArrow(meet, "row bigint, log_counts double").groupBy("row").agg(F.sum("log_counts").alias("log_counts"))
+
+
+def log_likelihoods(net: dict[str, np.ndarray], outputs: Outputs, texts: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
+    """Of each text the sum of its words' conditional log probabilities, less the logarithms of the counts to be joined."""
+    out = np.zeros(len(texts))
+    owns, around, of, held = [], [], [], 0
+
+    def add():
+        own, sides, text = np.concatenate(owns), np.concatenate(around, 1), np.concatenate(of)
+        for i in range(0, len(own), chunk):
+            part = own[i : i + chunk]
+            logs = log_probabilities(net, outputs, part, sides[:, i : i + chunk]) - outputs.log_counts[part]
+            np.add(out, np.bincount(text[i : i + chunk], logs, len(texts)), out=out)
+
+    for k, own in enumerate(texts):
+        owns.append(own)
+        around.append(windows(own))
+        of.append(np.full(len(own), k))
+        held += len(own)
+        if held >= chunk:
+            add()
+            owns, around, of, held = [], [], [], 0
+    if held:
+        add()
+    return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 1, batch_words: int = 4096) -> DataFrame:
@@ -190,15 +467,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    vocabulary = Vocabulary.of(counted(slim.select("text")))
-    net = trained(slim.select("text"), vocabulary, rounds, batch_words)
+    counts = stored(counted(slim.select("text")))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
+    schema = "row bigint, doc_id bigint, n_words bigint, known double"
+    if not size.total:
+        nothing = F.lit(None).cast("double")
+        return slim.select("doc_id", F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("log_likelihood"), nothing.alias("per_word"))
+    outputs = Outputs.of(counts, size.total)
+    encoded = encoded_documents(slim, outputs)
+    net = trained(encoded, outputs, rounds, batch_words)
 
     def run(batches):
         for batch in batches:
-            found = [log_likelihood(net, vocabulary, t) for t in batch.column("text").to_pylist()]
+            packed = [np.frombuffer(b, np.int32) for b in batch.column("outputs").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64()),
-                pa.array([x / n if n else None for n, x in found], pa.float64()),
-            ], ["doc_id", "n_words", "log_likelihood", "per_word"])
-
-    return slim.mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, per_word double")
+                batch.column("row"), batch.column("doc_id"), pa.array([len(p) for p in packed], pa.int64()),
+                pa.array(log_likelihoods(net, outputs, packed), pa.float64()),
+            ], ["row", "doc_id", "n_words", "known"])
+
+    found = encoded.select("row", "doc_id", "outputs").mapInArrow(run, schema)
+    tail = shared_counts(encoded, counts, least_own(size.total), size.distinct)
+    total = F.col("known") + F.coalesce("log_counts", F.lit(0.0))
+    return found.join(tail, "row", "left").select(
+        "doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word")
+    )
