@@ -416,6 +416,32 @@ def test_junk_goes_and_good_stays(spark):
     assert sum(i < 10_000 for i in kept) >= 0.95 * 6000 and not any(i >= 10_000 for i in kept)
 
 
+def test_few_labels_prove_cutoffs_at_the_whole_rate(spark):
+    langs = {"en": 700, "de": 520, "fr": 520, "es": 520, "it": 180, "pt": 180, "nl": 180, "sv": 180}
+    good, junk = [], []
+    for k, (lang, n) in enumerate(langs.items()):
+        good += [(k * 1000 + i, sentence(k * 1000 + i, 40), lang) for i in range(n)]
+        junk += [(100_000 + k * 1000 + i, sentence(i, 40).replace(" ", " ### "), lang) for i in range(n // 10)]
+    no_labels = [(200_000, junk[0][1], "fi")]
+    data = spark.createDataFrame(good + junk + no_labels, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 100_000)) for i, _, _ in good + junk], "doc_id long, quality int")
+    cutoffs = quality.fit_cutoffs(quality.with_base(quality.with_counts(data)), labels).collect()
+    assert {r.stratum for r in cutoffs if r.symbols is not None} == set(langs)
+    assert len({tuple(r)[1:] for r in cutoffs}) == 5  # four of their own and one of the small strata
+    kept = {r.doc_id for r in quality.judge(data, labels).where("kept").collect()}
+    assert not kept & {i for i, _, _ in junk} and 200_000 in kept
+    assert len(kept & {i for i, _, _ in good}) >= 0.98 * len(good)
+
+
+def test_strata_are_tested_alone_while_their_labels_suffice():
+    assert quality.least_judges(4, 0.02, 0.05) == 217 and quality.least_judges(1, 0.02, 0.05) == 149
+    assert quality.binomial_tail(0, 217, 0.02) <= 0.05 / 4 < quality.binomial_tail(0, 216, 0.02)
+    four = [("a", 900), ("b", 230), ("c", 217), ("d", 217)]
+    assert quality.tested_alone(four, 4, 0.02, 0.05) == (["a", "b", "c", "d"], 4)
+    assert quality.tested_alone(four, 5, 0.02, 0.05) == (["a", "b", "c"], 4)
+    assert quality.tested_alone([("a", 150)], 2, 0.02, 0.05) == ([], 1) and quality.tested_alone([], 0, 0.02, 0.05) == ([], 1)
+
+
 # toxicity
 
 def test_toxicity(spark):

@@ -1,14 +1,16 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Half of the labelled documents propose cutoffs, the other half judges them. For each stratum and rule the cutoffs
-are tested from the mildest on: a cutoff passes if, were the true rate of good documents above it at the limit, so
-few rejections on the holdout would have a probability of at most ``doubt``, by the exact binomial distribution. The
-first failure ends the sequence, which needs no further correction; ``doubt`` is divided among all strata and rules.
+Half of the labelled documents propose cutoffs, the other half judges them. Each stratum has one sequence of steps, a
+cutoff for every rule in each, from the mildest on: a step passes if, were the true rate of good documents rejected by
+any rule at the limit, so few rejections on the holdout would have a probability of at most ``doubt``, by the exact
+binomial distribution. The first failure ends the sequence, which needs no further correction; ``doubt`` is divided among
+the sequences. Strata with too few labels to prove any step share one sequence, whose bound holds for them together.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -34,6 +36,11 @@ RULES = {
 SHARES = [0.9995, 0.999, 0.998, 0.996, 0.994, 0.992, 0.99, 0.985, 0.98, 0.975, 0.97, 0.96, 0.95, 0.94, 0.92, 0.9,
           0.88, 0.86, 0.84, 0.82, 0.8, 0.75, 0.7]
 
+#: Steps before those: how far the cutoffs lie above the proposing half's good documents, in parts of the way to its
+#: highest value or, if that is more, of the good ones' own highest value.
+MARGINS = [1.0, 0.5, 0.25, 0.1, 0.05, 0.02]
+STEPS = len(MARGINS) + len(SHARES)
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words inside windows of five that occur twice or more, the first occurrence included."""
@@ -112,7 +119,7 @@ def binomial_tail(k: int, n: int, rate: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def safe_cutoff(cutoffs: list[float], rejected: list[int], n: int, rate: float, doubt: float) -> float | None:
+def safe_cutoff(cutoffs: Sequence[float], rejected: list[int], n: int, rate: float, doubt: float) -> float | None:
     """The last cutoff of the sequence before the first that is not proven; None if the first is not."""
     best = None
     for cutoff, k in zip(cutoffs, rejected, strict=True):
@@ -122,14 +129,39 @@ def safe_cutoff(cutoffs: list[float], rejected: list[int], n: int, rate: float,
     return best
 
 
+def least_judges(sequences: int, rate: float, doubt: float) -> int:
+    """Good documents that prove a step if none of them is rejected."""
+    return math.ceil(math.log(doubt / sequences) / math.log1p(-rate))
+
+
+def tested_alone(sizes: list[tuple[str, int]], strata: int, rate: float, doubt: float) -> tuple[list[str], int]:
+    """Strata with enough good judging documents for a sequence of their own, and the number of sequences.
+
+    ``sizes`` holds at least the strata that would do as the only one; ``strata`` is the number of all.
+    """
+    sizes = sorted(sizes, key=lambda x: (-x[1], x[0]))
+    for k in range(len(sizes), 0, -1):
+        sequences = k + (k < strata)
+        if sizes[k - 1][1] >= least_judges(sequences, rate, doubt):
+            return [s for s, _ in sizes[:k]], sequences
+    return [], 1
+
+
+def steps_of(rule: str):
+    """Cutoffs of a rule, mildest first and never rising."""
+    top, good = F.col(f"{rule}_top"), F.coalesce(f"{rule}_good", f"{rule}_top")
+    steps = [good + m * F.greatest(top - good, good) for m in MARGINS] + [F.get(f"{rule}_below", i) for i in range(len(SHARES))]
+    return F.array(steps[0], *[F.least(*steps[: i + 1]) for i in range(1, STEPS)])
+
+
 def fit_cutoffs(
     measured: DataFrame, labels: DataFrame, most_rejected: float = 0.02, doubt: float = 0.05, key: str = "doc_id"
 ) -> DataFrame:
-    """``stratum`` and one cutoff per rule (null: the rule rejects nothing there).
+    """``stratum`` and one cutoff per rule (null: no step is proven, nothing is rejected there), for labelled strata.
 
-    With a confidence of ``1 - doubt`` over all strata at once, at most ``most_rejected`` of a stratum's good
-    documents are rejected: each rule may take an equal part of it. ``labels`` holds ``key, quality``; null labels are
-    left out and of repeated ones the highest counts.
+    With a confidence of ``1 - doubt`` over all sequences at once, all rules together reject at most ``most_rejected`` of
+    a stratum's good documents, or of those of all strata that share a sequence. ``labels`` holds ``key, quality``; null
+    labels are left out and of repeated ones the highest counts.
     """
     known = labels.select(F.col(key).alias("doc_id"), F.col("quality")).where("quality is not null").groupBy("doc_id").agg(
         F.max("quality").alias("quality")
@@ -138,35 +170,50 @@ def fit_cutoffs(
     labelled = stored(measured.where(~F.col("base_failed")).join(known, "doc_id").select(
         "stratum", "quality", proposes.alias("proposes"), *[value(r).alias(r) for r in RULES]
     ))
-    grid = labelled.where("proposes").groupBy("stratum").agg(
-        *[F.percentile_approx(r, F.array(*[F.lit(s) for s in SHARES]), F.lit(10_000)).alias(f"{r}_at") for r in RULES]
+    judges = stored(labelled.where("not proposes and quality = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
+    enough = judges.where(F.col("n") >= least_judges(1, most_rejected, doubt)).collect()  # at most one of so many labels
+    alone, sequences = tested_alone([(r.stratum, r.n) for r in enough], judges.count(), most_rejected, doubt)
+    own = labels.sparkSession.createDataFrame([(s, f"={s}") for s in alone], "stratum string, _own string")
+
+    def with_sequence(df):
+        return lookup_join(df, own, "stratum", "left").withColumn("sequence", F.coalesce("_own", F.lit("shared"))).drop("_own")
+
+    # strata without a judging document have no part in any bound
+    grouped = with_sequence(lookup_join(labelled, judges.select("stratum"), "stratum"))
+    ends = grouped.where("proposes").groupBy("sequence").agg(
+        *[F.percentile_approx(r, F.array(*[F.lit(s) for s in SHARES]), F.lit(10_000)).alias(f"{r}_below") for r in RULES],
+        *[F.max(r).alias(f"{r}_top") for r in RULES], *[F.max(F.when(F.col("quality") == 1, F.col(r))).alias(f"{r}_good") for r in RULES],
     )
-    strata = max(1, labelled.select("stratum").distinct().count())
-    good = lookup_join(labelled.where("not proposes and quality = 1"), grid, "stratum")
-    tests = good.groupBy("stratum").agg(
+    grid = ends.select("sequence", *[steps_of(r).alias(f"{r}_at") for r in RULES])
+    good = lookup_join(grouped.where("not proposes and quality = 1"), grid, "sequence")
+
+    def rejected(i):
+        return reduce(lambda a, b: a | b, [F.col(r) > F.get(f"{r}_at", i) for r in RULES])
+
+    tests = good.groupBy("sequence").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(f"{r}_at").alias(f"{r}_at") for r in RULES],
-        *[F.array(*[F.sum((F.col(r) > F.get(f"{r}_at", i)).cast("bigint")) for i in range(len(SHARES))]).alias(f"{r}_over")
-          for r in RULES],
+        F.array(*[F.sum(rejected(i).cast("bigint")) for i in range(STEPS)]).alias("over"),
     )
-    rate, each = most_rejected / len(RULES), doubt / (strata * len(RULES))
 
     def choose(parts):
         for part in parts:
             rows = part.to_pylist()
-            found = [[safe_cutoff(r[f"{x}_at"], r[f"{x}_over"], r["n"], rate, each) for x in RULES] for r in rows]
+            steps = [safe_cutoff(range(STEPS), r["over"], r["n"], most_rejected, doubt / sequences) for r in rows]
+            found = [[None if i is None else r[f"{x}_at"][i] for x in RULES] for i, r in zip(steps, rows, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("stratum"), *[pa.array([f[i] for f in found], pa.float64()) for i in range(len(RULES))]],
-                ["stratum", *RULES],
+                [part.column("sequence"), *[pa.array([f[i] for f in found], pa.float64()) for i in range(len(RULES))]],
+                ["sequence", *RULES],
             )
 
-    return tests.mapInArrow(choose, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
+    proven = tests.mapInArrow(choose, "sequence string, " + ", ".join(f"{r} double" for r in RULES))
+    return lookup_join(with_sequence(judges.select("stratum")), stored(proven), "sequence").select("stratum", *RULES)
 
 
 def judge(docs: DataFrame, labels: DataFrame, most_rejected: float = 0.02, doubt: float = 0.05, **names) -> DataFrame:
     """``doc_id``, the counts, ``base_failed`` and ``kept`` for every row of ``docs``.
 
-    Empty and null texts fail the base rule; a stratum without enough labelled good documents rejects by the base
-    rule alone. Null and repeated ids are rows of their own; other columns are left out.
+    Empty and null texts fail the base rule; a stratum without labelled good documents rejects by the base rule alone,
+    and so do those with too few of them if even together they prove nothing. Null and repeated ids are rows of their own; other columns are left out.
     """
     measured = stored(with_base(with_counts(docs, **names)))
     cutoffs = stored(fit_cutoffs(measured, labels, most_rejected, doubt)).select(
