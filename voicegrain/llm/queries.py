@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voicegrain.llm import exact_dedup, jaccard, lm_score, mixing, pieces, quality, sharding, toxicity, url_filter, warc
+from voicegrain.llm import (
+    alignment, exact_dedup, jaccard, lm_score, mixing, periodic, pieces, quality, sharding, toxicity, url_filter, warc,
+)
 
 #: Verdict, host and path of each URL rule (fixed values).
 URL_RULES = [
@@ -39,10 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file())
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix": op2_mix,
@@ -81,6 +91,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_shards": op9_shards,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_alignment": op12_alignment,
+    "op13_periodic": op13_periodic,
 }
 
 ORACLES = {
