@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 
 
 def test_registered():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14)) - {11}
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voicegrain.llm import (
-    alignment, exact_dedup, jaccard, lm_score, mixing, periodic, pieces, quality, sharding, toxicity, url_filter, warc,
+    alignment, exact_dedup, jaccard, lm_score, mixing, periodic, pieces, pu_quality, quality, sharding, toxicity, url_filter,
+    warc,
 )
 
 #: Verdict, host and path of each URL rule (fixed values).
@@ -72,6 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file())
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_shards": op9_shards,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_pu_quality": op11_pu_quality,
     "op12_alignment": op12_alignment,
     "op13_periodic": op13_periodic,
 }
