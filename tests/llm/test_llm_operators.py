@@ -568,11 +568,18 @@ def test_pieces(docs, nothing, model):
 
 
 def test_agenda_equals_library(model, monkeypatch):
-    monkeypatch.setattr(pieces, "KEPT_PARTS", 50)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 10_000)
+    monkeypatch.setattr(pieces, "LEARN_CHARS", 500)
+    monkeypatch.setattr(pieces, "CELLS", 300)
     agenda, rnd = pieces.Agenda(model), random.Random(1)
     alphabet = [" ", "  ", "\n", "▁", "a", "b", "the", "é", "ñ", "\t", "\r", "\x00", "日", "😀", "ing", "er", "<s>", "0x", "..", "\u3000", "The", "'s"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + ["a" * 5000, "ab" * 40]
-    assert [ids for ids, _ in agenda.encode(texts)] == agenda.library.encode(texts)
+    kept, found = [], []
+    for ids in agenda.encode(texts):
+        found.append(ids)
+        kept.append(sum(pieces.KEPT_EACH + len(p) + len(x) for p, x in agenda.new.items()))
+    assert found == agenda.library.encode(texts)
+    assert max(kept[:2900]) < 10_000 + 500 * (pieces.KEPT_EACH + 20) and agenda.held < 200_000
     assert agenda.encode_part("▁there" * 3) == agenda.encode_parts(["▁there" * 3])[0]
 
 

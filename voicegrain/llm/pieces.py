@@ -3,9 +3,9 @@
 A text is cut where no piece of the vocabulary can reach across: in front of spaces and around characters that only
 occur alone. Each part starts as single characters; the agenda holds the pairs that form a piece, best score
 first and of equal ones the leftmost, and merges until it is empty. Characters outside the vocabulary become bytes.
-Short parts go through their agendas side by side in numpy, long ones through a heap. Parts repeat, so a worker keeps
-their ids. In each Arrow batch every part that is new is checked against the
-``sentencepiece`` library, and the whole text is decoded by the library from its ids.
+Short parts go through their agendas side by side in numpy, long ones through a heap. Parts repeat, so a task keeps
+their ids, up to a number of bytes, and lets go of them when it ends. In each Arrow batch every part that is new is checked
+against the ``sentencepiece`` library, and the whole text is decoded by the library from its ids.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,11 +25,17 @@ from voicegrain.llm.shared import bounded_batches
 
 SPACE_MARK = "▁"
 
-#: A worker keeps the ids of the parts it has met: so many of late, and the generation before.
-KEPT_PARTS = 120_000
+#: A task keeps the ids of the parts it has met: about so many bytes of late, and the generation before.
+KEPT_BYTES = 20_000_000
+
+#: What a kept part takes besides its characters and ids: two objects and their place in a dictionary.
+KEPT_EACH = 180
 
 #: Characters of text that are cut and learnt together.
-LEARN_CHARS = 4_000_000
+LEARN_CHARS = 1_000_000
+
+#: Symbols of parts, and places for them, that are merged side by side.
+CELLS = 400_000
 
 #: Parts up to the last of these lengths are merged side by side.
 WIDTHS = [8, 16, 32, 64]
@@ -59,8 +67,9 @@ class Agenda:
         stop = re.escape(self.alone)
         self.parts = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}{stop}]*|[^{SPACE_MARK}{stop}]+|[{stop}]").findall
         self.shown = [str(i) for i in range(sp.get_piece_size())]
-        self.new: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
+        self.new: dict[str, bytes] = {}  # 32-bit ids
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
         # symbols are piece ids, and for characters outside the vocabulary OUTSIDE and their code point
         self.of_char = np.arange(OUTSIDE, OUTSIDE + 0x110000, dtype=np.int64)
@@ -126,7 +135,8 @@ class Agenda:
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         low = 0
         for width in WIDTHS:
-            for chosen in np.array_split(np.flatnonzero((size > low) & (size <= width)), max(1, len(parts) // 20_000)):
+            found = np.flatnonzero((size > low) & (size <= width))
+            for chosen in np.array_split(found, -(-len(found) * (width + 1) // CELLS) or 1):
                 if len(chosen):
                     flat = np.frombuffer("".join([parts[i] for i in chosen]).encode("utf-32-le"), np.uint32)
                     rows = np.full((len(chosen), width + 1), -1, np.int64)
@@ -190,47 +200,49 @@ class Agenda:
                 raise ValueError(f"the agenda's ids {mine} of {part!r} differ from the library's, {theirs[skip:]}")
 
     def learn(self, parts: set[str]) -> None:
-        """Have all parts in ``new``: kept before, or encoded now and checked. What two rounds don't use is let go."""
-        if len(self.new) > KEPT_PARTS:
-            self.new, self.old = {}, self.new
-        old = self.old
-        missing = []
+        """Have all parts in ``new``: kept before, or encoded now and checked."""
+        old, missing = self.old, []
         for p in parts - self.new.keys():
             if (found := old.get(p)) is None:
                 missing.append(p)
             else:
-                self.new[p] = found
-        ids = self.encode_parts(missing)
-        self.check(missing, ids)
-        shown = self.shown
-        self.new.update((p, (x, ",".join([shown[i] for i in x]))) for p, x in zip(missing, ids, strict=True))
+                self.keep(p, found)
+        for at in range(0, len(missing), 50_000):
+            some = missing[at : at + 50_000]
+            ids = self.encode_parts(some)
+            self.check(some, ids)
+            for p, x in zip(some, ids, strict=True):
+                self.keep(p, array("i", x).tobytes())
+
+    def keep(self, part: str, ids: bytes) -> None:
+        self.new[part] = ids
+        self.held += KEPT_EACH + len(part) + len(ids)
+
+    def age(self) -> None:
+        """Let go of what has not been used since ``new`` was last full."""
+        if self.held > KEPT_BYTES:
+            self.new, self.old, self.held = {}, self.new, 0
 
     def cut(self, text: str) -> list[str]:
         return self.parts(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
-    def encode(self, texts: list[str]):
-        """For each text its ids, and the ids as text. A few megabytes at a time are cut and learnt together."""
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text. Texts of ``LEARN_CHARS`` together, or one longer text, are cut and learnt together."""
         first = 0
         while first < len(texts):
             end, held = first, 0
-            while end < len(texts) and held < LEARN_CHARS:
+            while end < len(texts) and (end == first or held + len(texts[end]) <= LEARN_CHARS):
                 held += len(texts[end])
                 end += 1
             cut = [self.cut(t) for t in texts[first:end]]
             self.learn(set(chain.from_iterable(cut)))
-            known = self.new
+            known = self.new.__getitem__
             for parts in cut:
-                pairs = [known[p] for p in parts]
-                yield list(chain.from_iterable([x[0] for x in pairs])), ",".join([x[1] for x in pairs])
+                yield array("i", b"".join(map(known, parts))).tolist()
+            self.age()
             first = end
 
 
-def encoder(model_file: str, cache: dict = {}) -> Agenda:  # noqa: B006  one for each worker and model
-    if model_file not in cache:
-        cache[model_file] = Agenda(model_file)
-    return cache[model_file]
-
-
 def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, ``decoded`` if asked for) of every whole text.
 
@@ -243,13 +255,14 @@ def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text
         return hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches):
-        agenda = encoder(model_file)
+        agenda = Agenda(model_file)  # of this task alone: the worker keeps nothing of it
+        shown = agenda.shown.__getitem__
         for batch in batches:
             n, of_ids, of_text, ids, decoded = [], [], [], [], []
-            for found, shown in agenda.encode([t or "" for t in batch.column("text").to_pylist()]):
+            for found in agenda.encode([t or "" for t in batch.column("text").to_pylist()]):
                 back = agenda.library.decode(found)
                 n.append(len(found))
-                of_ids.append(digest(shown))
+                of_ids.append(digest(",".join(map(shown, found))))
                 of_text.append(digest(back))
                 if with_ids:
                     ids.append(found)
