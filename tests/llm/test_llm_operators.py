@@ -487,22 +487,66 @@ def test_lm_score(docs, nothing):
 
 def test_both_sides_are_used(spark):
     rnd = random.Random(2)
-    texts = [" ".join(x for _ in range(40) for x in rnd.choice([("left", "mid", "right"), ("up", "core", "down")])) for _ in range(300)]
+    texts = [" ".join(x for _ in range(200) for x in rnd.choice([("left", "mid", "right"), ("up", "core", "down")])) for _ in range(300)]
     mixed = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts[:20]]
     data = spark.createDataFrame(list(enumerate(texts + mixed)), "doc_id long, text string").repartition(2)
-    per = {r.doc_id: r.per_word for r in lm_score.score(data, rounds=4, batch_words=256).collect()}
+    per = {r.doc_id: r.per_word for r in lm_score.score(data).collect()}
     assert np.mean([per[i] for i in range(300)]) > np.mean([per[300 + i] for i in range(20)]) + 1
 
 
-def test_log_probabilities_sum_to_one():
+@pytest.mark.parametrize("size", [0.1, 30.0])
+def test_log_probabilities_sum_to_one(size):
     vocabulary = lm_score.Vocabulary.of(np.arange(lm_score.BUCKETS))
-    net = lm_score.fresh_network(vocabulary)
-    logs = lm_score.predicted(net, lm_score.windows(np.arange(40) % lm_score.CLASSES))[1]
-    assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-5)
+    net = {k: v * np.float32(size) for k, v in lm_score.fresh_network(vocabulary).items()}
+    classes = len(net["out"])
+    hidden = np.repeat(lm_score.hidden_layer(net, lm_score.windows(np.arange(5))), classes, axis=0)
+    logs = lm_score.log_chosen(hidden, net["out"], np.tile(np.arange(classes), 5), lm_score.small(net["out"]))
+    assert lm_score.small(net["out"]) == (size < 1)
+    assert np.allclose(np.exp(logs.reshape(5, classes)).sum(1), 1, atol=1e-4)
     shares = np.bincount(vocabulary.of_bucket, np.exp(vocabulary.log_share.astype(float)), lm_score.CLASSES)
     assert np.allclose(shares, 1, atol=1e-3)
 
 
+def plain_sum(net, outputs, text, counts):
+    """The sum of a text's conditional log probabilities, a word at a time, each softmax written out."""
+    hashes = lm_score.words_of(text)
+    own, shares = outputs.find(hashes)
+    last, total = len(net["word"]), 0.0
+    for i, o in enumerate(own.tolist()):
+        inner = net["shift"].astype(float)
+        for side, offset in enumerate(lm_score.OFFSETS):
+            j = i + offset
+            inner = inner + net["embed"][side][int(own[j]) if 0 <= j < len(own) else last]
+        hidden = np.append(np.tanh(inner), 1.0)
+        of_class = int(outputs.vocabulary.of_bucket[o])
+        logits = net["out"].astype(float) @ hidden
+        total += logits[of_class] - np.log(np.exp(logits).sum())
+        low, high = outputs.first[of_class], outputs.first[of_class + 1]
+        inside = net["word"][low:high].astype(float) @ hidden
+        total += inside[o - low] - np.log(np.exp(inside).sum())
+        if shares[i]:
+            total += math.log(counts[int(hashes[i])]) - outputs.log_counts[o]
+    return total
+
+
+def test_scores_are_the_sums_over_single_words_and_the_same_for_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_WORDS", 20_000)
+    monkeypatch.setattr(lm_score, "GROUP_PER_OUTPUT", 1)
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.4))}" for _ in range(rnd.randint(0, 400))) for _ in range(300)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = [{r.doc_id: r.log_likelihood for r in lm_score.score(data.repartition(n)).collect()} for n in (2, 64)]
+    assert all(abs(scores[0][i] - scores[1][i]) <= 0.001 * len(t.split()) for i, t in enumerate(texts))
+    counted = lm_score.counted(data.repartition(2)).cache()
+    counts = {r.word: r.n for r in counted.collect()}
+    outputs = lm_score.Outputs.of(counted, sum(counts.values()))
+    encoded = lm_score.encoded_documents(data.repartition(2), outputs)
+    assert lm_score.dealt(encoded, sum(counts.values()), 1).rdd.getNumPartitions() > 1
+    net = lm_score.trained(encoded, outputs, sum(counts.values()))
+    for i in (0, 7, 100, 250):
+        assert abs(scores[0][i] - plain_sum(net, outputs, texts[i], counts)) < 0.002 * max(1, len(texts[i].split()))
+
+
 def test_content_words_of_a_large_vocabulary_are_predicted(spark):
     rnd, n = random.Random(3), 1500
     drawn = [[rnd.randrange(n) for _ in range(60)] for _ in range(3000)]

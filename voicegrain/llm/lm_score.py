@@ -7,9 +7,11 @@ Outputs form classes of equal sums of the roots of their frequencies. A window n
 class, and within it the output, from the outputs of the two words before and the two after it, each softmax in full.
 A document's score is the sum of the logarithms of these conditional probabilities over all its words.
 
-Training runs in every task over all words of its documents, from the same start; the networks are then averaged
-inside Spark, row of parameters by row, each by its number of uses. The driver holds the own words and one network.
-Counts of the other words never leave Spark: documents' hashes are sent to the shard of the table that counts them.
+Documents are dealt into groups by a hash and read in its order, so training depends on the rows and not on their files.
+A network is trained on all words of each group, from the same start; the networks are then averaged inside Spark, row of
+parameters by row, each by its number of uses. A group grows with the network, so all networks together are
+smaller than the words. The driver holds the own words and one network. Counts of the other words never leave Spark:
+documents' hashes are sent to the shard of the table that counts them.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ BUCKETS = 1 << 12
 CLASSES = 48
 REACH, WIDTH = 2, 16
 
+#: Words of a group: so many for each output of the network, and at least so many.
+GROUP_PER_OUTPUT, GROUP_WORDS = 160, 500_000
+
+#: Words of a step: one for each output of the network, within these bounds.
+STEP_WORDS = (1024, 1 << 14)
+
 #: Words counted together in a task before its counts go to the shuffle.
 COUNTED = 1 << 22
 #: Distinct words in a shard of the table of counts, about; there are never fewer than 64 shards.
@@ -154,13 +162,29 @@ def windows(outputs: np.ndarray) -> np.ndarray:
     return np.stack([padded[REACH + o : REACH + o + len(outputs)] for o in OFFSETS])
 
 
-def exponentials(hidden: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of all ``rows``, their exponentials and the sums of these for each word."""
+def small(rows: np.ndarray) -> bool:
+    """Whether no logit of these rows can be too large for an exponential, as the hidden layer is within -1 and 1."""
+    return not len(rows) or float(np.abs(rows).sum(1).max()) <= 60
+
+
+def exponentials(hidden: np.ndarray, rows: np.ndarray, are_small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits of all ``rows``, but for a factor for each word, and their sums."""
+    powers = hidden @ rows.T
+    if not are_small:
+        powers -= powers.max(1, keepdims=True)
+    np.exp(powers, out=powers)
+    return powers, powers @ np.ones(len(rows), np.float32)
+
+
+def log_chosen(hidden: np.ndarray, rows: np.ndarray, chosen: np.ndarray, are_small: bool) -> np.ndarray:
+    """The logarithm of the chosen row's part of all rows' exponentials, for each word."""
+    if are_small:
+        powers, sums = exponentials(hidden, rows, True)
+        return np.log(powers[np.arange(len(hidden)), chosen] / sums)
     logits = hidden @ rows.T
-    if np.abs(rows).sum(1).max() > 60:  # no logit is larger, as the hidden layer is within -1 and 1
-        logits -= logits.max(1, keepdims=True)
-    powers = np.exp(logits)
-    return logits, powers, powers @ np.ones(len(rows), np.float32)
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(hidden)), chosen]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def hidden_layer(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
@@ -172,13 +196,6 @@ def hidden_layer(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     return hidden
 
 
-def predicted(net: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and the log probabilities of all classes."""
-    hidden = hidden_layer(net, around)
-    logits, _, sums = exponentials(hidden, net["out"])
-    return hidden, logits - np.log(sums)[:, None]
-
-
 def by_class(classes: np.ndarray, first: np.ndarray):
     """Order of the words by class, and for each class of several outputs its words' range there and its outputs'."""
     order = np.argsort(classes.astype(np.int16) if len(first) < 1 << 15 else classes, kind="stable")
@@ -193,14 +210,12 @@ def log_probabilities(net: dict[str, np.ndarray], outputs: Outputs, own: np.ndar
     """Of each word's output, given the words around it."""
     classes = outputs.vocabulary.of_bucket[own]
     hidden = hidden_layer(net, around)
-    logits, _, sums = exponentials(hidden, net["out"])
-    found = logits[np.arange(len(own)), classes] - np.log(sums)
+    found = log_chosen(hidden, net["out"], classes, small(net["out"]))
     order, ranges = by_class(classes, outputs.first)
-    hidden, place = hidden[order], own[order]
+    hidden, place, are_small = hidden[order], own[order], small(net["word"])
     inside = np.zeros(len(own), np.float32)
     for a, b, low, high in ranges:
-        logits, _, sums = exponentials(hidden[a:b], net["word"][low:high])
-        inside[a:b] = logits[np.arange(b - a), place[a:b] - low] - np.log(sums)
+        inside[a:b] = log_chosen(hidden[a:b], net["word"][low:high], place[a:b] - low, are_small)
     found[order] += inside
     return found
 
@@ -223,16 +238,16 @@ class Trainer:
         n, net = len(own), self.net
         classes = self.outputs.vocabulary.of_bucket[own]
         hidden = hidden_layer(net, around)
-        _, error, sums = exponentials(hidden, net["out"])
+        error, sums = exponentials(hidden, net["out"], small(net["out"]))
         error *= (1 / sums)[:, None]
         error[np.arange(n), classes] -= 1
         back = error @ net["out"][:, :WIDTH]
         order, ranges = by_class(classes, self.outputs.first)
-        sorted_hidden, place = hidden[order], own[order]
+        sorted_hidden, place, are_small = hidden[order], own[order], small(net["word"])
         more, grad = np.zeros_like(back), np.zeros_like(net["word"])
         for a, b, low, high in ranges:
             h, word = sorted_hidden[a:b], net["word"][low:high]
-            _, wrong, sums = exponentials(h, word)
+            wrong, sums = exponentials(h, word, are_small)
             wrong *= (1 / sums)[:, None]
             wrong[np.arange(b - a), place[a:b] - low] -= 1
             np.matmul(wrong, word[:, :WIDTH], out=more[a:b])
@@ -243,15 +258,15 @@ class Trainer:
         self.move("word", every, grad)
         self.move("out", every, error.T @ hidden)
         self.move("shift", every, back.sum(0))
-        last = len(net["word"])
+        rows = len(net["word"]) + 1
         for i, side in enumerate(around):
-            side = np.where(side < 0, last, side)
-            order = np.argsort(side.astype(np.uint16) if last < 1 << 16 else side, kind="stable")
-            side = side[order]
-            starts = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
-            rows = side[starts]
-            self.move("embed", (i, rows), np.add.reduceat(back[order], starts, axis=0))
-            self.uses[i, rows] += np.diff(np.append(starts, n))
+            side = np.where(side < 0, rows - 1, side)
+            uses = np.bincount(side, minlength=rows)
+            used = np.flatnonzero(uses)
+            cells = (side[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+            sums = np.bincount(cells, back.ravel(), rows * WIDTH).reshape(rows, WIDTH)
+            self.move("embed", (i, used), sums[used].astype(np.float32))
+            self.uses[i] += uses
         self.class_uses += np.bincount(classes, minlength=len(self.class_uses))
         self.words += n
 
@@ -264,7 +279,7 @@ class Trainer:
 
 
 #: Rows of parameters that travel together.
-BLOCK = 1 << 12
+BLOCK = 1 << 8
 
 
 def flattened_rest(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -315,48 +330,57 @@ def averaged(parts: DataFrame) -> DataFrame:
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, value binary, used binary")
 
 
-def trained(encoded: DataFrame, outputs: Outputs, rounds: int, batch_words: int) -> dict[str, np.ndarray]:
-    """The average of the networks that all tasks train, each over all words of its documents."""
-    net = fresh_network(outputs.vocabulary)
-    for _ in range(rounds):
-        def run(batches, net=net):
-            trainer = Trainer(net, outputs)
-            owns, around, held = [], [], 0
+def dealt(encoded: DataFrame, total: int, outputs: int) -> DataFrame:
+    """The documents' outputs in groups of about ``GROUP_WORDS``, a partition each, in the order of a hash of the row."""
+    groups = max(1, round(total / max(GROUP_WORDS, GROUP_PER_OUTPUT * outputs)))
+    rows = encoded.select(F.xxhash64("doc_id", "outputs").alias("place"), "outputs")
+    return rows.repartition(groups, "place").sortWithinPartitions("place", "outputs").select("outputs")
 
-            def learn(all_of_it: bool):
-                nonlocal owns, around, held
-                o, a = np.concatenate(owns), np.concatenate(around, 1)
-                end = len(o) if all_of_it else len(o) - len(o) % batch_words
-                for i in range(0, end, batch_words):
-                    trainer.step(o[i : min(i + batch_words, end)], a[:, i : min(i + batch_words, end)])
-                owns, around, held = [o[end:]], [a[:, end:]], len(o) - end
 
-            for batch in batches:
-                for packed in batch.column("outputs").to_pylist():
-                    own = np.frombuffer(packed, np.int32)
-                    if len(own):
-                        owns.append(own)
-                        around.append(windows(own))
-                        held += len(own)
-                    if held >= 8 * batch_words:
-                        learn(False)
-            if held:
-                learn(True)
-            if trainer.words:
-                for block, value, weight in trainer.rows():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int32()), pa.array([value.tobytes()]), pa.array([weight.tobytes()])],
-                        ["block", "value", "weight"],
-                    )
-
-        rows = averaged(encoded.select("outputs").mapInArrow(run, "block int, value binary, weight binary")).toArrow().to_pylist()
-        flat = flattened(net)
-        for r in rows:
-            used = np.frombuffer(r["used"], bool)
-            at = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(used))
-            flat[at] = np.where(used[:, None], np.frombuffer(r["value"], np.float32).reshape(len(used), -1), flat[at])
-        net = unflattened(flat, net)
-    return net
+def trained(encoded: DataFrame, outputs: Outputs, total: int) -> dict[str, np.ndarray]:
+    """The average of the networks trained on each group, over all words of its documents."""
+    start = fresh_network(outputs.vocabulary)
+    size = len(start["word"])
+    step = min(max(size, STEP_WORDS[0]), STEP_WORDS[1])
+    shared = encoded.sparkSession.sparkContext.broadcast((start, outputs))
+
+    def run(batches):
+        trainer = Trainer(*shared.value)
+        owns, around, held = [], [], 0
+
+        def learn(all_of_it: bool):
+            nonlocal owns, around, held
+            o, a = np.concatenate(owns), np.concatenate(around, 1)
+            end = len(o) if all_of_it else len(o) - len(o) % step
+            for i in range(0, end, step):
+                trainer.step(o[i : min(i + step, end)], a[:, i : min(i + step, end)])
+            owns, around, held = [o[end:]], [a[:, end:]], len(o) - end
+
+        for batch in batches:
+            for packed in batch.column("outputs").to_pylist():
+                own = np.frombuffer(packed, np.int32)
+                if len(own):
+                    owns.append(own)
+                    around.append(windows(own))
+                    held += len(own)
+                if held >= 4 * step:
+                    learn(False)
+        if held:
+            learn(True)
+        if trainer.words:
+            for block, value, weight in trainer.rows():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([value.tobytes()]), pa.array([weight.tobytes()])],
+                    ["block", "value", "weight"],
+                )
+
+    parts = dealt(encoded, total, size).mapInArrow(run, "block int, value binary, weight binary")
+    flat = flattened(start)
+    for r in averaged(parts).toArrow().to_pylist():  # one network
+        used = np.frombuffer(r["used"], bool)
+        at = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(used))
+        flat[at] = np.where(used[:, None], np.frombuffer(r["value"], np.float32).reshape(len(used), -1), flat[at])
+    return unflattened(flat, start)
 
 
 def encoded_documents(slim: DataFrame, outputs: Outputs) -> DataFrame:
@@ -459,8 +483,8 @@ def log_likelihoods(net: dict[str, np.ndarray], outputs: Outputs, texts: list[np
     return out
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 1, batch_words: int = 4096) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, per_word`` for every row of ``docs``.
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_words, log_likelihood, per_word`` for every row of ``docs``; the same for any layout of its files.
 
     Null, empty and white texts have no words, a sum of 0 and a null mean. Null and repeated ids are rows of their own;
     other columns are left out.
@@ -475,9 +499,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         return slim.select("doc_id", F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("log_likelihood"), nothing.alias("per_word"))
     outputs = Outputs.of(counts, size.total)
     encoded = encoded_documents(slim, outputs)
-    net = trained(encoded, outputs, rounds, batch_words)
+    fitted = docs.sparkSession.sparkContext.broadcast((trained(encoded, outputs, size.total), outputs))
 
     def run(batches):
+        net, outputs = fitted.value
         for batch in batches:
             packed = [np.frombuffer(b, np.int32) for b in batch.column("outputs").to_pylist()]
             yield pa.RecordBatch.from_arrays([
