@@ -404,4 +404,6 @@ ORACLES = {
       SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, profile_id) AS rank FROM (
       SELECT a.vec_id AS question_id, b.vec_id AS profile_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity
       FROM embeddings a JOIN embeddings b ON a.label < 5 AND b.label >= 5)) WHERE rank <= 5""",
+    "semantic_recall": """SELECT n_questions, n_questions * least(5, n_profiles) AS n_pairs, true AS recall_reached FROM
+      (SELECT count(*) FILTER (label < 5) AS n_questions, count(*) FILTER (label >= 5) AS n_profiles FROM embeddings)""",
 }

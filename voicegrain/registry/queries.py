@@ -8,7 +8,7 @@ from voicegrain import templates
 from voicegrain.functions import json_replies, replies, text
 from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC, PASS_THROUGH_PROMPT
 from voicegrain.operators import (
-    batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft,
+    batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft, vector_index,
 )
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
 from voicegrain.registry import views
@@ -500,7 +500,21 @@ def metrics_history(spark, folder) -> DataFrame:
 
 def semantic_profiles(spark, folder) -> DataFrame:
     asked, known = views.vectors(spark, folder)
-    return rounded(retrieval.nearest_profiles(asked, known, 5), ["similarity"]).withColumn("rank", c("rank").cast("bigint"))
+    found = vector_index.search(asked, vector_index.build_index(known, SEED), 5)
+    return rounded(found, ["similarity"]).withColumn("rank", c("rank").cast("bigint"))
+
+
+def semantic_recall(spark, folder) -> DataFrame:
+    """Whether the probes chosen on a sample of questions reach their recall for all questions, against all pairs."""
+    asked, known = views.vectors(spark, folder)
+    index = vector_index.build_index(known, SEED)
+    probes, _ = vector_index.probes_for(asked, index, 5, 0.97)
+    found = vector_index.search_probes(asked, index, 5, probes)
+    true = retrieval.nearest_profiles(asked, known, 5)
+    hits = true.join(found.select("question_id", "profile_id", F.lit(1).alias("hit")), ["question_id", "profile_id"], "left")
+    return hits.agg(
+        F.count_distinct("question_id").alias("n_questions"), F.count(F.lit(1)).alias("n_pairs"),
+        (F.count("hit") >= F.count(F.lit(1)) * 0.95).alias("recall_reached"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -512,5 +526,5 @@ QUERIES = {f.__name__: f for f in (
     author_self_positives, author_user_negatives, author_post_negatives, author_useful_only, author_accuracy,
     profile_qa_accuracy, perspective_first_n, perspective_related, perspective_repeat, answers_by_k,
     answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, hit_rates, iterative_hits,
-    rating_error, variant_f1, metrics_history, semantic_profiles,
+    rating_error, variant_f1, metrics_history, semantic_profiles, semantic_recall,
 )}
