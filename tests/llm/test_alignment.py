@@ -101,7 +101,8 @@ def test_groups_as_text(spark, files, tool):
 def test_stretches_are_the_common_ends(made):
     n, x, y, alike = made
     a, b = sorted(x | {n}), sorted((x if alike else y) | {n})
-    found = alignment.stretches(a, b)
+    flat = alignment.stretches(a, b)
+    found = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
     at = [(i + k, j + k) for i, j, m in found for k in range(m)]
     assert [a[i] for i, _ in at] == [b[j] for _, j in at] == sorted(set(a) & set(b))
     assert all(i + m < p or j + m < q for (i, j, m), (p, q, _) in zip(found, found[1:], strict=False))
@@ -116,17 +117,43 @@ def test_long_one_to_one_stretches_take_few_probes():
             return list.__getitem__(self, i)
 
     ends = list(range(1, 100_001))
-    assert alignment.stretches(Counted(ends), Counted([*ends[:500], *ends[501:]])) == [(0, 0, 500), (501, 500, 99_499)]
+    assert alignment.stretches(Counted(ends), Counted([*ends[:500], *ends[501:]])) == [0, 0, 500, 501, 500, 99_499]
     assert Counted.looks < 200
 
 
-def test_pieces_of_long_texts_give_the_same_tokens(tool, monkeypatch):
-    text = " ".join(t for t in odd_texts() if "▁" not in t)
-    whole = direct(tool, text)
-    for size in (10, 100, 1000):
+def test_tokens_are_those_of_the_whole_texts(tool, monkeypatch):
+    texts = odd_texts()
+    texts += ["".join(random.Random(i).choices(["a", " ", "  ", "\n", "é", "1", "'s", "\u3000", "\x1c", ".", "The"], k=30)) for i in range(500)]
+    texts.append(" ".join(t for t in texts if "▁" not in t))
+    assert all(tool.pieces(t) == [t] for t in texts)
+    want = [direct(tool, t) for t in texts]
+    for size in (5, 100, 1000, alignment.PIECE_CHARS):
         monkeypatch.setattr(alignment, "PIECE_CHARS", size)
-        assert len(tool.pieces(text)) > 3
-        assert tuple(x.tolist() for x in tool.tokens(text)) == whole
+        assert [([], []) if f is None else tuple(x.tolist() for x in f) for f in map(tool.tokens, texts)] == want
+
+
+def test_encoders_that_disagree_on_a_character_are_told_apart(files):
+    tool = alignment.Aligner(*files)
+    tool.agreed["é"] = False
+    asked = []
+    whole = tool.first.encode
+
+    class Noted:
+        def encode(self, text, **more):
+            asked.append(text)
+            return whole(text, **more)
+
+    tool.first = Noted()
+    assert [x.tolist() for x in tool.tokens("brown fox")] == list(direct(tool, "brown fox"))
+    del asked[:]
+    tool.tokens("café brown fox")
+    assert asked == [" café brown fox"]
+
+
+def test_every_possible_pair_has_its_place(tool):
+    a, b = tool.links // len(tool.sizes[1]), tool.links % len(tool.sizes[1])
+    assert (tool.place(a, b) == alignment.np.arange(len(a))).all()
+    assert len(tool.place(a[:0], b[:0])) == 0
 
 
 def test_links_stay_within_the_vocabularies(tool):

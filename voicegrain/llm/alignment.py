@@ -14,7 +14,6 @@ import hashlib
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +74,9 @@ def possible_links(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(pairs), np.int64)
 
 
-def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """``i, j, n``: the tokens i to i + n - 1 of one side and j to j + n - 1 of the other end together, one by one.
+def stretches(a: list[int], b: list[int]) -> list[int]:
+    """``i, j, n`` for each stretch, one after the other: the tokens i to i + n - 1 of one side and j to j + n - 1 of the
+    other end together, one by one.
 
     ``a`` and ``b`` are rising ends whose last ones are equal. Stretches come in order; between them nothing ends together.
     """
@@ -104,7 +104,7 @@ def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
                 if a[i + n : i + n + width] == b[j + n : j + n + width]:
                     n += width
             n = min(n, left)
-        out.append((i, j, n))
+        out += (i, j, n)
         i, j = i + n, j + n
     return out
 
@@ -137,31 +137,33 @@ class Aligner:
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         self.bytes = byte_level_bytes(byte_file), piece_bytes(self.second)
-        special = [i for i in range(self.second.get_piece_size()) if self.second.is_control(i) or self.second.is_unknown(i)]
         plain = [p for p in map(self.second.id_to_piece, range(self.second.get_piece_size())) if p.strip(SPACE_MARK)]
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in plain):
             raise ValueError("a piece holds a space after another character: texts cannot be cut at spaces")
-        usable = [b"" if i in special else raw for i, raw in enumerate(self.bytes[1])]
-        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.bytes[0], usable)]
-        self.links = possible_links(self.bytes[0], usable) if links is None else links
-        n = len(self.sizes[0]), len(self.sizes[1])
-        self.marked = [  # tokens as text with what follows: inside a group, at the end of its side
-            [f"{i}{end}" for end in ends for i in range(k)] for k, ends in zip(n, (",|", ",;"), strict=True)
-        ]
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in self.bytes]
+        if not all(x.all() for x in self.sizes):
+            raise ValueError("a token without bytes: ends do not rise")
+        self.links = possible_links(*self.bytes) if links is None else links
+        self.slots = slots_of(self.links)
+        ids = [list(map(str, range(len(x)))) for x in self.sizes]
+        # tokens as text with what follows: of either side inside a group, then at the end of their side
+        self.marked = [i + "," for i in ids[0]] + [i + "|" for i in ids[0]] + [i + "," for i in ids[1]] + [i + ";" for i in ids[1]]
         self.fast = fast_encoder(byte_file, self.bytes[0])
         self.agreed: dict[str, bool] = {}
+        self.ascii_agrees = self.fast is not None and self.agree(set(map(chr, range(128))))
+        self.first_is_whole = {bytes([b]) for b in range(256)} <= set(self.bytes[0])
 
-    def agree(self, text: str) -> bool:
-        """Whether both encoders put each character of the text into the same class. Characters are tried once."""
-        new = set(text) - self.agreed.keys()
-        for c in new:
+    def agree(self, characters: set[str]) -> bool:
+        """Whether both encoders put each character into the same class. Characters are tried once."""
+        for c in characters - self.agreed.keys():
             probe = f"a{c}a 1{c}1 {c}!{c}  {c} {c}{c}\n{c}"
             self.agreed[c] = self.fast.encode_ordinary(probe) == self.first.encode(probe, add_special_tokens=False).ids
-        return all(map(self.agreed.__getitem__, set(text)))
+        return all(map(self.agreed.__getitem__, characters))
 
     def first_ids(self, piece: str) -> list[int]:
         """By ranks where that gives the same ids, else by the library that the file is made for."""
-        if self.fast is not None and self.agree(piece) and not _LONG_WORD.search(piece):
+        fits = self.fast is not None and (self.ascii_agrees and piece.isascii() or self.agree(set(piece)))
+        if fits and not (len(piece) >= LONG_WORD and _LONG_WORD.search(piece)):
             return self.fast.encode_ordinary(" " + piece)
         return self.first.encode(" " + piece, add_special_tokens=False).ids
 
@@ -174,28 +176,26 @@ class Aligner:
                 break
             out.append(text[start : cut.start()])
             start = cut.end()
-        return [*out, text[start:]]
+        return [*out, text[start:]] if out else [text]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both tokenizers; None where a side's bytes are not a space and the text."""
         if not text:
             return None
-        pieces = self.pieces(text)
-        first = chain.from_iterable(map(self.first_ids, pieces))
-        second = chain.from_iterable(self.second.encode(p) for p in pieces)
-        ids = [np.fromiter(x, np.int32) for x in (first, second)]
-        raw = (" " + text).encode()
-        for side, x in zip(self.bytes, ids, strict=True):
-            if b"".join(map(side.__getitem__, x.tolist())) != raw:
-                return None
-        return ids[0], ids[1]
+        ids = [[], []]
+        for piece in self.pieces(text):
+            raw = (" " + piece).encode()
+            for side, found in enumerate((self.first_ids(piece), self.second.encode(piece))):
+                # every byte is a token of the first vocabulary, so that its tokens give back any text
+                if (side or not self.first_is_whole) and b"".join(map(self.bytes[side].__getitem__, found)) != raw:
+                    return None
+                ids[side].append(np.array(found, np.int32))
+        return np.concatenate(ids[0]), np.concatenate(ids[1])
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The last token of each group on both sides."""
-        ends = [np.cumsum(sizes[ids]) for sizes, ids in zip(self.sizes, (a, b), strict=True)]
-        if any((self.sizes[side][ids] == 0).any() for side, ids in enumerate((a, b))):
-            raise ValueError("a token without bytes: ends do not rise")
-        found = np.array(stretches(ends[0].tolist(), ends[1].tolist()), np.int64).reshape(-1, 3)
+        ends = [np.cumsum(sizes[ids]).tolist() for sizes, ids in zip(self.sizes, (a, b), strict=True)]
+        found = np.array(stretches(*ends), np.int64).reshape(-1, 3)
         inside = np.arange(found[:, 2].sum()) - np.repeat(np.cumsum(found[:, 2]) - found[:, 2], found[:, 2])
         return np.repeat(found[:, 0], found[:, 2]) + inside, np.repeat(found[:, 1], found[:, 2]) + inside
 
@@ -204,21 +204,46 @@ class Aligner:
         per_a, per_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         place_a = np.arange(len(a)) + np.repeat(last_b + 1 - per_b, per_a)
         place_b = np.arange(len(b)) + np.repeat(last_a + 1, per_b)
-        kind_a, kind_b = a.astype(np.int64), b.astype(np.int64)
-        kind_a[last_a] += len(self.sizes[0])
-        kind_b[last_b] += len(self.sizes[1])
-        text = np.empty(len(a) + len(b), object)
-        text[place_a] = [self.marked[0][i] for i in kind_a.tolist()]
-        text[place_b] = [self.marked[1][i] for i in kind_b.tolist()]
-        return "".join(text.tolist())[:-1]
+        most, other = map(len, self.sizes)
+        shown_a, shown_b = a.astype(np.int64), b + np.int64(2 * most)
+        shown_a[last_a] += most
+        shown_b[last_b] += other
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[place_a] = shown_a
+        shown[place_b] = shown_b
+        return "".join(map(self.marked.__getitem__, shown.tolist()))[:-1]
 
     def place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Positions of linked pairs among the possible ones."""
         pairs = a.astype(np.int64) * len(self.sizes[1]) + b
-        at = np.searchsorted(self.links, pairs)
-        if len(pairs) and not (self.links[np.minimum(at, len(self.links) - 1)] == pairs).all():
-            raise ValueError("tokens end together of which neither ends the other")
-        return at.astype(np.int32)
+        out, left = np.empty(len(pairs), np.int32), np.arange(len(pairs))
+        slot = first_slot(pairs, len(self.slots))
+        while len(left):
+            found = self.slots[slot]
+            right = self.links[found] == pairs[left]
+            out[left[right]] = found[right]
+            if (found[~right] < 0).any():
+                raise ValueError("tokens end together of which neither ends the other")
+            left, slot = left[~right], (slot[~right] + 1) % len(self.slots)
+        return out
+
+
+def first_slot(pairs: np.ndarray, slots: int) -> np.ndarray:
+    """Where the search for a pair starts; ``slots`` is a power of two."""
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def slots_of(links: np.ndarray) -> np.ndarray:
+    """Places of pairs, each in the first slot from its own on that was free; -1 in empty ones. A quarter is used at most."""
+    slots = np.full(1 << max(4, (4 * len(links) - 1).bit_length()), -1, np.int32)
+    left = np.arange(len(links))
+    slot = first_slot(links, len(slots))
+    while len(left):
+        free = slots[slot] < 0
+        slots[slot[free]] = left[free]  # of several that want a slot one gets it
+        waits = slots[slot] != left
+        left, slot = left[waits], (slot[waits] + 1) % len(slots)
+    return slots
 
 
 ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary"
