@@ -31,7 +31,7 @@ CLASSES = 48
 REACH, WIDTH = 2, 16
 
 #: Words of a group: so many for each output of the network, and at least so many.
-GROUP_PER_OUTPUT, GROUP_WORDS = 160, 500_000
+GROUP_PER_OUTPUT, GROUP_WORDS = 400, 500_000
 
 #: Words of a step: one for each output of the network, within these bounds.
 STEP_WORDS = (1024, 1 << 14)
@@ -39,7 +39,7 @@ STEP_WORDS = (1024, 1 << 14)
 #: Words counted together in a task before its counts go to the shuffle.
 COUNTED = 1 << 22
 #: Distinct words in a shard of the table of counts, about; there are never fewer than 64 shards.
-SHARD_WORDS = 250_000
+SHARD_WORDS = 20_000
 
 #: Offsets of the window's words; the word itself is masked.
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
