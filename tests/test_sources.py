@@ -1,12 +1,13 @@
 """Readers, column checks and file order."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from voicegrain import schemas
-from voicegrain.sources import sinks, tables
+from voicegrain.sources import quoted_csv, sinks, tables
 
 
 def test_file_order_over_many_splits(spark, tmp_path):
@@ -22,6 +23,83 @@ def test_file_order_over_many_splits(spark, tmp_path):
     assert [r.ord for r in rows] == list(range(903)) and rows[0].user == "a"
 
 
+def split_by(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+def whole_files(spark):
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_no_job_runs_before_the_rows_are_asked_for(spark, tmp_path):
+    frame = spark.range(3000).selectExpr("concat('u', id % 7) AS author", "concat('t', id) AS text").repartitionByRange(4, "text").sortWithinPartitions("text")
+    frame.write.mode("overwrite").parquet(f"{tmp_path}/posts")
+    frame.write.mode("overwrite").json(f"{tmp_path}/lines")
+    for part in os.listdir(f"{tmp_path}/lines"):
+        if part.endswith(".json"):
+            os.link(f"{tmp_path}/lines/{part}", f"{tmp_path}/lines/{part}l")
+    raw = spark.read.parquet(f"{tmp_path}/posts")  # this looks into a footer
+    spark.sparkContext.setJobGroup("planning", "")
+    ordered = tables.with_row_order(raw)
+    posts = tables.read_posts_json(spark, f"{tmp_path}/lines")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setJobGroup("reading", "")
+    in_files = [r.text for f in sorted(os.listdir(f"{tmp_path}/posts")) if f.endswith(".parquet") for r in spark.read.parquet(f"{tmp_path}/posts/{f}").collect()]
+    split_by(spark, 4000)
+    try:
+        assert [r.text for r in ordered.orderBy("ord").collect()] == in_files
+        rows = sorted(posts.collect(), key=lambda r: r.ord)
+        assert [r.ord for r in rows] == list(range(3000)) and [r.tweet for r in rows] == in_files
+    finally:
+        whole_files(spark)
+
+
+def csv_text(rnd, n, end):
+    fields = ["plain", "two words", "é 日本", 'say ""hi""', "a,b", "line\nbreak", "\n\n", "x\r\ny", "", '""', "tail\n", 'q""\n""q', " sp "]
+    out = ["a,b,c"]
+    for _ in range(n):
+        row = [rnd.choice(fields) for _ in range(3)]
+        out.append(",".join(f'"{f}"' if set(f) & set('",\n\r') or rnd.random() < 0.2 else f for f in row))
+        if rnd.random() < 0.05:
+            out.append("")
+    return end.join(out) + (end if rnd.random() < 0.5 else "")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_splits_of_any_size_give_the_records_of_whole_files(spark, tmp_path, end):
+    rnd = random.Random(3)
+    for name, n in (("0", 0), ("1", 60), ("2", 40), ("3", 1)):
+        (tmp_path / f"{name}.csv").write_bytes(csv_text(rnd, n, end).encode())
+    (tmp_path / "4.csv").write_bytes(b"")
+    (tmp_path / "5.csv").write_bytes(('a,b,c' + end + '"' + "long\n" * 300 + '",x,y').encode())
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("a string, b string, c string")
+    want = [tuple(r) for f in sorted(os.listdir(tmp_path)) for r in whole.csv(f"{tmp_path}/{f}").collect()]
+    assert len(want) == 102
+    for size in (29, 200, 1 << 20):
+        split_by(spark, size)
+        try:
+            got = sorted(quoted_csv.read_records(spark, f"{tmp_path}/*.csv", ["a", "b", "c"]).collect(), key=lambda r: r._ord)
+        finally:
+            whole_files(spark)
+        assert [tuple(r)[:3] for r in got] == want and [r._ord for r in got] == list(range(102))
+        assert {(os.path.basename(r._file), r._line) for r in got if r._line == 0} == {(f"{i}.csv", 0) for i in (1, 2, 3, 5)}
+
+
+def test_post_ids_of_labelled_posts_do_not_depend_on_splits(spark, tmp_path):
+    for user in ("ann", "bob"):
+        (tmp_path / f"inference_results_user_{user}.csv").write_text("User,Tweet,Prompt,Response\n" + "".join(f'z,"t{i}\nx",p,r\n' for i in range(50)))
+    found = []
+    for size in (64, 1 << 20):
+        split_by(spark, size)
+        try:
+            found.append(sorted(tuple(r) for r in tables.read_labelled_posts(spark, str(tmp_path)).collect()))
+        finally:
+            whole_files(spark)
+    assert found[0] == found[1] and [r[-1] for r in sorted(found[0], key=lambda r: r[-1])] == list(range(100))
+
+
 def test_csv_with_line_breaks_and_both_profile_schemas(spark, tmp_path):
     for name, header in (("new", "user_id,user_profile"), ("old", "UserName,UserProfile")):
         (tmp_path / f"{name}.csv").write_text(header + "\n" + "".join(f'u{i},"line\nwith ""quotes"" {i}"\n' for i in range(9)))

@@ -10,30 +10,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from voicegrain import schemas
 from voicegrain.functions.text import item_display
 from voicegrain.lookups import DATASET_ATTRIBUTES, DEFAULT_ATTRIBUTES
-from voicegrain.operators.skew import lookup_join
+from voicegrain.sources.quoted_csv import read_records
 
 
 def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """Add a dense ordinal that follows file name, then position in the file.
 
     Splits of a file are read in any order, so each row's place in its split is added to the number
-    of rows in earlier splits. The running sum sees one row per split. ``df`` must come straight from
-    a file reader: a filter before this would change the ordinals.
+    of rows in earlier splits, which are counted without reading a column. The running sum sees one row per split, and
+    no job runs before the result is asked for. ``df`` must come straight from a file reader: a filter before this would
+    change the ordinals.
     """
     columns = df.columns
-    placed = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+    file, block = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        placed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-        .drop("_size")
-    )
-    return lookup_join(placed, splits, ["_file", "_block"]).select(
-        *columns, (F.col("_start") + F.col("_row") - F.col("_first")).cast("bigint").alias(name)
+        df.select(file, block, F.monotonically_increasing_id().alias("_row"))
+        .groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
+        .select("_file", "_block", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
+    placed = df.select("*", file, block, F.monotonically_increasing_id().alias("_row"))
+    return placed.join(splits, ["_file", "_block"]).select(
+        *columns, (F.col("_row") + F.col("_shift")).cast("bigint").alias(name))
+
+
+def with_row_order(df: DataFrame, name: str = "ord") -> DataFrame:
+    """As ``with_file_order`` for parquet, whose files know each row's place; only rows per file are counted."""
+    columns = df.columns
+    file = F.col("_metadata.file_path").alias("_file")
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.select(file).groupBy("_file").agg(F.count(F.lit(1)).alias("_size")).select(
+        "_file", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    placed = df.select("*", file, F.col("_metadata.row_index").alias("_row"))
+    return placed.join(starts, "_file").select(*columns, (F.col("_row") + F.col("_start")).cast("bigint").alias(name))
 
 
 def post_columns(df: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def with_post_id(posts: DataFrame) -> DataFrame:
 
 
 def read_posts_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    return with_post_id(with_file_order(post_columns(spark.read.parquet(os.path.join(folder, "*.parquet")))))
+    return with_post_id(with_row_order(post_columns(spark.read.parquet(os.path.join(folder, "*.parquet")))))
 
 
 def copy_post_columns(df: DataFrame) -> DataFrame:
@@ -63,32 +72,36 @@ def copy_post_columns(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str | None = None, required: list[str] | None = None
+    spark: SparkSession, path: str, schema: str | None = None, required: list[str] | None = None, order: str | None = None
 ) -> DataFrame:
-    """CSV with a header and quoted fields that hold line breaks and doubled quotes.
+    """CSV with a header and quoted fields that hold line breaks and doubled quotes, read in splits.
 
-    ``required`` columns are checked and only they are kept. Columns are matched by name.
+    ``required`` columns are checked and only they are kept, by the names in the header of the first file; with ``order``
+    also the records' dense ordinal, by file name and place.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.csv(path)
+    found = header_of(spark, path)
     if required is None:
-        required = [f.name for f in spark.createDataFrame([], schema).schema.fields] if schema else df.columns
-    return schemas.require_columns(df, required).select(*[F.col(f"`{c}`") for c in required])
+        required = [f.name for f in spark.createDataFrame([], schema).schema.fields] if schema else found
+    rows = schemas.require_columns(read_records(spark, path, found), required)
+    return rows.select(*[F.col(f"`{c}`") for c in required], *([F.col("_ord").alias(order)] if order else []))
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names in the first record of the first file; Spark reads no more of it."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
 
 
 def read_interest(spark: SparkSession, path: str) -> DataFrame:
-    return with_file_order(read_csv(spark, path, required=["user_name", "item_description", "response"]))
+    return read_csv(spark, path, required=["user_name", "item_description", "response"], order="ord")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    df = schemas.normalise_profiles(with_file_order(spark.read.option("header", True).option("multiLine", True)
-                                                    .option("escape", '"').csv(path)))
-    return df.select("ord", "user_id", "user_profile")
+    return schemas.normalise_profiles(read_csv(spark, path, order="ord")).select("ord", "user_id", "user_profile")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions in file order; ``ord`` and ``position`` are the same number."""
-    return with_file_order(read_csv(spark, path, schema=schemas.QUESTIONS)).withColumn("position", F.col("ord"))
+    return read_csv(spark, path, schema=schemas.QUESTIONS, order="ord").withColumn("position", F.col("ord"))
 
 
 def item_pool(items: DataFrame, dataset: str) -> DataFrame:
@@ -100,7 +113,7 @@ def item_pool(items: DataFrame, dataset: str) -> DataFrame:
 
 def read_items(spark: SparkSession, base: str, dataset: str) -> DataFrame:
     """Item catalogue of one dataset; missing or empty is an error."""
-    pool = item_pool(with_file_order(spark.read.parquet(os.path.join(base, dataset, "items.parquet")), "item_id"),
+    pool = item_pool(with_row_order(spark.read.parquet(os.path.join(base, dataset, "items.parquet")), "item_id"),
                      dataset)
     if pool.isEmpty():
         raise ValueError(f"item pool of {dataset} is empty")
@@ -108,17 +121,17 @@ def read_items(spark: SparkSession, base: str, dataset: str) -> DataFrame:
 
 
 def user_of_file(path: Column) -> Column:
-    return F.regexp_extract(path, r"inference_results_user_(.*)\.csv$", 1)
+    return F.regexp_extract(path, r"inference_results_user_([^/]*)\.csv$", 1)
 
 
 def read_labelled_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """One CSV per user; the file name carries the user. All files in one scan, ordered per file."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.schema(schemas.USEFUL_LABELS).csv(os.path.join(folder, "*.csv"))
-    return with_post_id(df.select(
-        user_of_file(F.url_decode(F.col("_metadata.file_name"))).alias("user"),
-        F.col("Tweet").alias("tweet"), F.col("Response").alias("response"),
-        F.monotonically_increasing_id().alias("ord"),
+    """One CSV per user; the file name carries the user. All files in one scan; ``ord`` counts their records by file name
+    and place, so it is the same however the files are split."""
+    names = [f.name for f in spark.createDataFrame([], schemas.USEFUL_LABELS).schema.fields]
+    rows = read_records(spark, os.path.join(folder, "*.csv"), names)
+    return with_post_id(rows.select(
+        user_of_file(F.url_decode(F.col("_file"))).alias("user"), F.col("Tweet").alias("tweet"),
+        F.col("Response").alias("response"), F.col("_ord").alias("ord"),
     ))
 
 
