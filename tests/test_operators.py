@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from voicegrain.operators import batching, inference, metrics, pairing, retrieval, sampling
+from voicegrain.operators import batching, inference, metrics, pairing, post_store, retrieval, sampling
+from voicegrain.operators.post_store import write_store
 from voicegrain.operators.drawing import draw, draw_others
 from voicegrain.operators.ranking import hash_positions, hash_slice, key_hash, position_in_group, top_k
 from voicegrain.operators.skew import BROADCAST_ROWS, lookup_join, skew_join
@@ -117,9 +118,9 @@ def author_tables(spark):
 
 def test_author_negatives_never_belong_to_the_user(spark):
     posts, people = author_tables(spark)
-    places, users = pairing.post_tables(posts)
+    store = write_store(posts, 3)
     owner = {r.post_id: r.user for r in posts.collect()}
-    mine = pairing.self_positives(people, places, 10, 3, 1)
+    mine = pairing.self_positives(people, store, 10, 3, 1)
     kept = {r.post_id for r in mine.collect()}
     assert all(owner[p] in ("u0", "u3") for p in kept)
     firsts = {u: sorted(p for p, o in owner.items() if o == u)[:10] for u in ("u0", "u3")}
@@ -127,16 +128,56 @@ def test_author_negatives_never_belong_to_the_user(spark):
     counted = pairing.positive_counts(people, mine)
     user = {1: "u0", 2: "u3", 3: "gone"}
     wanted = {r.profile_id: 8 - r.n_positive for r in counted.collect()}
-    by_post = pairing.other_posts(counted, users, places, 8, 1).collect()
+    by_post = store.fetch(pairing.other_posts(counted, store.users, 8, 1, width=5), "other").collect()
     for p, name in user.items():
         posts_of = [r.post_id for r in by_post if r.profile_id == p]
         assert len(set(posts_of)) == len(posts_of) == wanted[p] and all(owner[x] != name for x in posts_of)
-    pairs = pairing.other_users(counted, users, 8, 2, 1)
-    drawn = pairing.posts_of_others(pairs, places, 2, 1).collect()
+    pairs = pairing.other_users(counted, store.users, 8, 2, 1)
+    drawn = store.fetch(pairing.posts_of_others(pairs, 2, 1), "other").collect()
     for p, name in user.items():
         others = {r.other for r in drawn if r.profile_id == p}
         assert len(others) == min(wanted[p] // 2, 7 - (name != "gone")) and name not in others
-    assert all(owner[r.post_id] == r.other for r in drawn)
+    assert all(owner[r.post_id] == r.other and r.tweet == f"post {r.post_id}" for r in drawn)
+
+
+def scanned(df):
+    """Rows that the parquet scans of a plan gave, after it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    rows, todo = 0, [leaves.apply(i) for i in range(leaves.size())]
+    while todo:
+        leaf = todo.pop()
+        if leaf.nodeName().startswith("Scan parquet"):
+            rows += leaf.metrics().apply("numOutputRows").value()
+        elif hasattr(leaf, "plan") and "QueryStage" in leaf.getClass().getSimpleName():
+            inner = leaf.plan().collectLeaves()
+            todo += [inner.apply(i) for i in range(inner.size())]
+        elif leaf.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            inner = leaf.executedPlan().collectLeaves()
+            todo += [inner.apply(i) for i in range(inner.size())]
+    return rows
+
+
+def test_fetching_few_posts_reads_few(spark, monkeypatch):
+    total = 200_000
+    posts = spark.range(total).select(
+        F.col("id").alias("post_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 500)).alias("user"),
+        F.concat(F.lit("post "), F.sha2(F.col("id").cast("string"), 512), F.sha2((F.col("id") + 1).cast("string"), 512)).alias("tweet"), F.col("id").alias("ord"))
+    monkeypatch.setattr(post_store, "ROW_GROUP", 1 << 16)
+    store = write_store(posts, 8)
+    wanted = [("hot", 7), ("hot", 60_000), ("u1", 3), ("u2", 10_000), ("nobody", 0)]
+    picks = spark.createDataFrame(wanted, "user string, position bigint")
+    assert "PartitionFilters" in store.fetch(picks)._jdf.queryExecution().toString()
+    got = {(r.user, r.position): r.post_id for r in store.fetch(picks).collect()}
+    places = {("hot", 7): 21, ("hot", 60_000): 180_000}
+    assert {k: v for k, v in got.items() if k[0] == "hot"} == places and set(got) == {("hot", 7), ("hot", 60_000), ("u1", 3)}
+    assert scanned(store.fetch(picks)) < total / 10
+    many = store.places.where("post_id % 50 = 0").select("user", "position")
+    monkeypatch.setattr(post_store, "FEW", 10)
+    found = store.fetch(many)
+    assert sorted(r.post_id for r in found.collect()) == list(range(0, total, 50))
+    assert store.of_users(spark.createDataFrame([("u7",), ("u8",), ("u8",)], "user string")).groupBy("user").count().count() == 2
 
 
 def test_batches_and_pages(spark):

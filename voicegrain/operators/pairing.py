@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voicegrain.operators.batching import in_order
 from voicegrain.operators.drawing import draw, draw_others
+from voicegrain.operators.post_store import PostStore
 from voicegrain.operators.ranking import (
-    bucket_starts, hash_bucket, hash_number, hash_positions, key_hash, position_in_group, top_k,
+    bucket_starts, hash_bucket, hash_number, key_hash, top_k,
 )
-from voicegrain.operators.skew import BROADCAST_ROWS, lookup_join, skew_join
+from voicegrain.operators.skew import lookup_join, skew_join
 from voicegrain.session import checkpoint
 
+#: Posts of a stretch of the line of all posts; a stretch holds no more users.
+LINE_WIDTH = 1024
+
 
 def pair_with_first(many: DataFrame, few: DataFrame, n: int) -> DataFrame:
     """Every row of ``many`` with the first ``n`` rows of ``few`` by its dense ``position``.
@@ -101,43 +105,20 @@ def user_blocks(users: DataFrame) -> DataFrame:
     )
 
 
-def post_tables(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(posts with their position within the user, users with ``n_posts, user_position``).
-
-    Texts are left out: they are joined at the end, for chosen posts only. Both tables are kept on
-    reliable storage, because positives and negatives each read them.
-    """
-    users = posts.groupBy("user").agg(F.count(F.lit(1)).alias("n_posts"))
-    return post_places(posts), checkpoint(hash_positions(users, "users", ["user"], "user_position"))
-
-
-def post_places(posts: DataFrame) -> DataFrame:
-    """Posts with their position within the user, kept; the first of ``post_tables``."""
-    return checkpoint(position_in_group(posts.select("user", "ord", "post_id"), ["user"], "ord"))
-
-
-def with_texts(picks: DataFrame, posts: DataFrame, picks_at_most: int | None) -> DataFrame:
-    """Fetch the text of the picked posts. Few picks travel to the scan of the posts, many are shuffled."""
-    texts = posts.select("post_id", "tweet")
-    if picks_at_most is not None and picks_at_most <= BROADCAST_ROWS:
-        return texts.join(F.broadcast(picks), "post_id")
-    return texts.join(picks, "post_id")
-
-
 def self_positives(
-    profiles: DataFrame, places: DataFrame, exclude: int, most: int, seed, eligible: DataFrame | None = None
+    profiles: DataFrame, store: PostStore, exclude: int, most: int, seed, eligible: DataFrame | None = None
 ) -> DataFrame:
     """Up to ``most`` own posts of each profile's user behind the first ``exclude``, in hash order (``rank``).
 
-    ``places`` has posts with their position; ``eligible`` further limits them by ``post_id``, after
-    the prefix was excluded. ``profiles`` has ``profile_id, user``. The result, a few keys per profile,
-    is kept on reliable storage: it is both counted and joined to its texts.
+    Only places of the profiles' users are ranked, without their texts. ``eligible`` further limits them by
+    ``post_id``, after the prefix was excluded, and its other columns come along. ``profiles`` has ``profile_id, user``. The
+    result, a few places per profile, is kept on reliable storage: it is both counted and fetched.
     """
-    later = places.where(F.col("position") >= exclude).join(profiles.select("user").distinct(), "user", "left_semi")
+    later = store.of_users(profiles).where(F.col("position") >= exclude)
     if eligible is not None:
-        later = later.join(eligible.select("post_id"), "post_id", "left_semi")
+        later = later.join(eligible, "post_id")
     hashed = later.withColumn("_hash", key_hash(seed, "post_id"))
-    best = top_k(hashed, ["user"], ["_hash", "post_id"], most).select("user", "post_id", "rank")
+    best = top_k(hashed, ["user"], ["_hash", "post_id"], most).drop("_hash", "ord")
     return checkpoint(profiles.select("profile_id", "user").join(best, "user"))
 
 
@@ -163,22 +144,21 @@ def other_users(profiles: DataFrame, users: DataFrame, total: int, per_query: in
     return lookup_join(drawn, others, "user_position").drop("user_position")
 
 
-def posts_of_others(pairs: DataFrame, places: DataFrame, n, seed) -> DataFrame:
-    """``min(n, posts)`` random posts of each pair's other user, numbered ``post_no`` from 0."""
-    drawn = pairs.select(
+def posts_of_others(pairs: DataFrame, n, seed) -> DataFrame:
+    """The places of ``min(n, posts)`` random posts of each pair's other user, numbered ``post_no`` from 0."""
+    return checkpoint(pairs.select(
         "*", F.posexplode(draw(seed, F.col("n_posts"), n, "profile_id", "other")).alias("post_no", "position")
-    )
-    return drawn.join(places.withColumnRenamed("user", "other").select("other", "position", "post_id"),
-                      ["other", "position"]).drop("position", "n_posts")
+    ).drop("n_posts"))
 
 
-def other_posts(profiles: DataFrame, users: DataFrame, places: DataFrame, total: int, seed) -> DataFrame:
-    """Each profile with ``total - positives`` different posts of anybody else.
+def other_posts(profiles: DataFrame, users: DataFrame, total: int, seed, width: int = LINE_WIDTH) -> DataFrame:
+    """The places of ``total - positives`` different posts of anybody else for each profile.
 
     All posts lie in one line, user after user. A profile's own block ``[b, b + n)`` is skipped by
-    drawing from the other ``M - n`` places and counting on from the block's end.
+    drawing from the other ``M - n`` places and counting on from the block's end. The line is cut into stretches of
+    ``width`` posts; a drawn place meets only the users whose blocks reach into its stretch, never a post.
     """
-    blocks = user_blocks(users.select("user", "n_posts"))
+    blocks = checkpoint(user_blocks(users.select("user", "n_posts")))
     m = users.agg(F.sum("n_posts")).scalar()
     own = profiles.join(blocks, "user", "left").select(
         "profile_id", (F.lit(total) - F.col("n_positive")).alias("_wanted"), m.alias("_all"),
@@ -188,17 +168,20 @@ def other_posts(profiles: DataFrame, users: DataFrame, places: DataFrame, total:
         draw(seed, F.col("_all") - F.col("_own"), F.col("_wanted"), "profile_id"),
         lambda d: (F.col("_block") + F.col("_own") + d) % F.col("_all"),
     )
-    drawn = own.select("profile_id", F.posexplode(line).alias("post_no", "place"))
-    lined = skew_join(places, blocks.select("user", "block"), "user", ["post_id"]).select(
-        (F.col("block") + F.col("position")).alias("place"), "post_id", F.col("user").alias("other")
+    drawn = own.select("profile_id", F.posexplode(line).alias("post_no", "place")).withColumn("_stretch", F.expr(f"place div {width}"))
+    reached = blocks.select(
+        F.col("user").alias("other"), "block", "n_posts",
+        F.explode(F.sequence(F.expr(f"block div {width}"), F.expr(f"(block + n_posts - 1) div {width}"))).alias("_stretch"),
     )
-    return drawn.join(lined, "place").drop("place")
+    found = drawn.join(reached, "_stretch").where("place >= block and place < block + n_posts")
+    return checkpoint(found.select("profile_id", "post_no", "other", (F.col("place") - F.col("block")).alias("position")))
 
 
-def query_batches(picked: DataFrame, group: list[str], number: str, size: int) -> DataFrame:
-    """Posts of each group in batches of ``size`` by their number; the last may be short.
+def query_batches(picked: DataFrame, group: list[str], number: str, size: int, *more: str) -> DataFrame:
+    """Posts of each group in batches of ``size`` by their number; the last may be short. ``more`` columns become arrays too.
 
     Groups hold at most the number of posts drawn for one profile.
     """
     batch = F.floor((F.col(number)) / size).cast("bigint").alias("batch")
-    return picked.groupBy(*group, batch).agg(in_order(number, "tweet").alias("tweets"))
+    lists = [in_order(number, name).alias(name) for name in more]
+    return picked.groupBy(*group, batch).agg(in_order(number, "tweet").alias("tweets"), *lists)

@@ -16,6 +16,7 @@ from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC,
 from voicegrain.operators import (
     batching, grading, inference, metrics, pairing, parsing, sampling, sft,
 )
+from voicegrain.operators.post_store import write_store
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
 from voicegrain.session import checkpoint
 from voicegrain.sources.tables import constant_prompts, ranking_columns, yes_no_columns
@@ -208,19 +209,16 @@ def predict_author(
     """
     people_rows = sampling.first_rows(profiles, "ord", people).select(
         c("ord").alias("profile_id"), c("user_id").alias("user"), "user_profile")
-    bound = None if people is None or people < 0 else people * total
-    places, users = pairing.post_tables(posts)
-    mine = pairing.self_positives(people_rows, places, exclude, total // 2, seed)
+    store = write_store(posts)
+    mine = pairing.self_positives(people_rows, store, exclude, total // 2, seed)
     counted = pairing.positive_counts(people_rows, mine)
     if by_post:
-        picked, keys = pairing.other_posts(counted, users, places, total, seed), ["profile_id", "other", "post_id"]
-        size = 1
+        places, keys, size = pairing.other_posts(counted, store.users, total, seed), ["profile_id", "other", "post_id"], 1
     else:
-        pairs = pairing.other_users(counted, users, total, per_query, seed)
-        picked, keys = pairing.posts_of_others(pairs, places, per_query, seed), ["profile_id", "other"]
-        size = per_query
-    negatives = pairing.query_batches(pairing.with_texts(picked, posts, bound), keys, "post_no", size).drop("post_id")
-    own = pairing.with_texts(mine, posts, bound).withColumns({"other": c("user"), "number": c("rank") - 1})
+        pairs = pairing.other_users(counted, store.users, total, per_query, seed)
+        places, keys, size = pairing.posts_of_others(pairs, per_query, seed), ["profile_id", "other"], per_query
+    negatives = pairing.query_batches(store.fetch(places, "other"), keys, "post_no", size).drop("post_id")
+    own = store.fetch(mine, columns=("tweet",)).withColumns({"other": c("user"), "number": c("rank") - 1})
     positives = pairing.query_batches(own, ["profile_id", "other"], "number", per_query)
     rows = positives.withColumn("truth", F.lit(True)).unionByName(negatives.withColumn("truth", F.lit(False)))
     return _ask_author(rows, people_rows, run, template)
@@ -230,27 +228,29 @@ def predict_author_from_useful(
     profiles: DataFrame, labelled: DataFrame, run: Run, total: int = 5, per_query: int = 1, exclude: int = 100,
     ratio: float = 0.5, people: int | None = 200, seed=42, template: str = templates.AUTHOR,
 ) -> DataFrame:
-    """As ``predict_author`` over posts labelled useful, for profiles whose user has labelled posts.
+    """As ``predict_author`` over posts labelled useful, for profiles whose user has labelled posts, with what the labels
+    tell about the user as ``user_information``, an entry for each post.
 
     ``labelled`` has ``post_id, user, ord, tweet, response``.
     """
-    useful = checkpoint(parsing.useful_posts(labelled).select("post_id", "user", "ord", "tweet"))
-    known = labelled.select("user").distinct()
+    useful = checkpoint(parsing.useful_posts(labelled).select("post_id", "user", "ord", "tweet", c("description").alias("user_information")))
+    store, useful_store = write_store(labelled.select("post_id", "user", "ord", "tweet")), write_store(useful)
+    known = store.users.select("user")
     named = profiles.join(known.withColumnRenamed("user", "user_id"), "user_id", "left_semi")
     people_rows = sampling.first_rows(named, "ord", people).select(
         c("ord").alias("profile_id"), c("user_id").alias("user"), "user_profile")
-    places = pairing.post_places(labelled)
-    mine = pairing.self_positives(people_rows, places, exclude, int(total * ratio), seed, eligible=useful)
-    useful_places, useful_users = pairing.post_tables(useful)
+    eligible = useful.select("post_id", "user_information")
+    mine = pairing.self_positives(people_rows, store, exclude, int(total * ratio), seed, eligible=eligible)
     everyone = hash_positions(known, "users", ["user"], "user_position").join(
-        useful_users.select("user", "n_posts"), "user", "left").na.fill(0, ["n_posts"])
+        useful_store.users.select("user", "n_posts"), "user", "left").na.fill(0, ["n_posts"])
     pairs = pairing.other_users(pairing.positive_counts(people_rows, mine), everyone, total, per_query, seed)
-    others = pairing.posts_of_others(pairs, useful_places, F.lit(total) - c("n_positive"), seed)
-    negatives = pairing.with_texts(others, useful, None).select(
-        "profile_id", "other", c("post_no").cast("bigint").alias("batch"), F.array("tweet").alias("tweets"), F.lit(False).alias("truth"))
-    own = pairing.with_texts(mine, useful, None).withColumns({"other": c("user"), "number": c("rank") - 1})
-    positives = pairing.query_batches(own, ["profile_id", "other"], "number", per_query).withColumn("truth", F.lit(True))
-    return _ask_author(positives.unionByName(negatives), people_rows, run, template)
+    others = pairing.posts_of_others(pairs, F.lit(total) - c("n_positive"), seed)
+    negatives = useful_store.fetch(others, "other", ("post_id", "tweet", "user_information")).select(
+        "profile_id", "other", c("post_no").cast("bigint").alias("batch"), F.array("tweet").alias("tweets"),
+        F.array("user_information").alias("user_information"), F.lit(False).alias("truth"))
+    own = store.fetch(mine, columns=("tweet",)).withColumns({"other": c("user"), "number": c("rank") - 1})
+    positives = pairing.query_batches(own, ["profile_id", "other"], "number", per_query, "user_information")
+    return _ask_author(positives.withColumn("truth", F.lit(True)).unionByName(negatives), people_rows, run, template)
 
 
 def _ask_author(rows: DataFrame, people: DataFrame, run: Run, template: str) -> DataFrame:

@@ -328,9 +328,9 @@ ORACLES = {
         theirs=batches("drawn", "profile_id, other", "post_no")),
     "author_post_negatives": select("post_negatives", f"""SELECT profile_id, post_id, other, 1::BIGINT AS n_tweets, {AUTHOR_PROMPT} AS prompt
       FROM (SELECT *, 'Tweet 1: ' || tweet AS listed FROM post_negatives) JOIN people p USING (profile_id)"""),
-    "author_useful_only": select("people places labelled", f"""SELECT profile_id, other, post_id, p."user" = other AS truth, tweet FROM (
-      SELECT profile_id, "user" AS other, post_id, tweet FROM positives UNION ALL SELECT profile_id, other, post_id, tweet FROM drawn)
-      JOIN people p USING (profile_id)""",
+    "author_useful_only": select("people places labelled", f"""SELECT profile_id, other, post_id, p."user" = other AS truth, x.tweet, l.info AS user_information FROM (
+      SELECT profile_id, "user" AS other, post_id, tweet FROM positives UNION ALL SELECT profile_id, other, post_id, tweet FROM drawn) x
+      JOIN people p USING (profile_id) JOIN labelled l USING (post_id)""",
         users=f"""SELECT "user", coalesce(n, 0) AS n_posts, row_number() OVER (ORDER BY {h('users', '"user"')}, "user") - 1 AS user_position
           FROM (SELECT DISTINCT "user" FROM labelled) LEFT JOIN (SELECT "user", count(*) AS n FROM labelled WHERE useful GROUP BY 1) USING ("user")""",
         useful_places="""SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ord) - 1 AS position FROM labelled WHERE useful""",

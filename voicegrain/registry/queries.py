@@ -10,6 +10,7 @@ from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC,
 from voicegrain.operators import (
     batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft, vector_index,
 )
+from voicegrain.operators.post_store import write_store
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
 from voicegrain.registry import views
 from voicegrain.session import checkpoint
@@ -270,15 +271,8 @@ def sft_format(spark, folder) -> DataFrame:
 TOTAL, PER_QUERY, EXCLUDE = 10, 2, 20
 
 
-def _author_people(spark, folder):
-    posts = views.posts_wide(spark, folder)
-    return posts, views.profiles(spark, folder).select(c("ord").alias("profile_id"), "user", "user_profile")
-
-
-def _author_tables(spark, folder):
-    posts, people = _author_people(spark, folder)
-    places, users = pairing.post_tables(posts)
-    return posts, people, places, users
+def _author_people(spark, folder) -> DataFrame:
+    return views.profiles(spark, folder).select(c("ord").alias("profile_id"), "user", "user_profile")
 
 
 def _author_prompt(rows: DataFrame, people: DataFrame, *keys: str) -> DataFrame:
@@ -289,60 +283,60 @@ def _author_prompt(rows: DataFrame, people: DataFrame, *keys: str) -> DataFrame:
             ("TEMPLATE_TWEETS", listed)).alias("prompt"))
 
 
+def _own_posts(store, mine: DataFrame) -> DataFrame:
+    return store.fetch(mine, columns=("tweet",)).withColumns({"other": c("user"), "number": c("rank") - 1})
+
+
 def author_self_positives(spark, folder) -> DataFrame:
-    posts, people = _author_people(spark, folder)
-    mine = pairing.self_positives(people, pairing.post_places(posts), EXCLUDE, TOTAL // 2, SEED)
-    mine = pairing.with_texts(mine, posts, None).withColumn("number", c("rank") - 1)
+    store, people = write_store(views.posts_wide(spark, folder)), _author_people(spark, folder)
+    mine = _own_posts(store, pairing.self_positives(people, store, EXCLUDE, TOTAL // 2, SEED))
     return _author_prompt(pairing.query_batches(mine, ["profile_id"], "number", PER_QUERY), people, "profile_id", "batch")
 
 
 def author_user_negatives(spark, folder) -> DataFrame:
-    posts, people, places, users = _author_tables(spark, folder)
-    mine = pairing.self_positives(people, places, EXCLUDE, TOTAL // 2, SEED)
-    counted = pairing.positive_counts(people, mine)
-    pairs = pairing.other_users(counted, users, TOTAL, PER_QUERY, SEED)
-    picked = pairing.with_texts(pairing.posts_of_others(pairs, places, PER_QUERY, SEED), posts, None)
-    negatives = pairing.query_batches(picked, ["profile_id", "other"], "post_no", PER_QUERY).withColumn("truth", F.lit(False))
-    own = pairing.with_texts(mine, posts, None).withColumns({"other": c("user"), "number": c("rank") - 1})
-    positives = pairing.query_batches(own, ["profile_id", "other"], "number", PER_QUERY).withColumn("truth", F.lit(True))
+    store, people = write_store(views.posts_wide(spark, folder)), _author_people(spark, folder)
+    mine = pairing.self_positives(people, store, EXCLUDE, TOTAL // 2, SEED)
+    pairs = pairing.other_users(pairing.positive_counts(people, mine), store.users, TOTAL, PER_QUERY, SEED)
+    picked = store.fetch(pairing.posts_of_others(pairs, PER_QUERY, SEED), "other")
+    keys = ["profile_id", "other"]
+    negatives = pairing.query_batches(picked, keys, "post_no", PER_QUERY).withColumn("truth", F.lit(False))
+    positives = pairing.query_batches(_own_posts(store, mine), keys, "number", PER_QUERY).withColumn("truth", F.lit(True))
     return _author_prompt(positives.unionByName(negatives), people, "profile_id", "other", "batch", "truth")
 
 
-def _post_negatives(spark, folder):
-    posts, people, places, users = _author_tables(spark, folder)
-    mine = pairing.self_positives(people, places, EXCLUDE, TOTAL // 2, SEED)
-    counted = pairing.positive_counts(people, mine)
-    return posts, people, mine, pairing.other_posts(counted, users, places, TOTAL, SEED)
+def _post_negatives(spark, folder, *columns: str):
+    store, people = write_store(views.posts_wide(spark, folder)), _author_people(spark, folder)
+    mine = pairing.self_positives(people, store, EXCLUDE, TOTAL // 2, SEED)
+    others = pairing.other_posts(pairing.positive_counts(people, mine), store.users, TOTAL, SEED)
+    return people, mine, store.fetch(others, "other", columns)
 
 
 def author_post_negatives(spark, folder) -> DataFrame:
-    posts, people, _, others = _post_negatives(spark, folder)
-    rows = pairing.with_texts(others, posts, None).withColumn("tweets", F.array("tweet"))
-    return _author_prompt(rows, people, "profile_id", "post_id", "other")
+    people, _, others = _post_negatives(spark, folder, "post_id", "tweet")
+    return _author_prompt(others.withColumn("tweets", F.array("tweet")), people, "profile_id", "post_id", "other")
 
 
 def author_useful_only(spark, folder) -> DataFrame:
-    posts, people = _author_people(spark, folder)
-    useful = checkpoint(parsing.useful_posts(views.labelled_posts(spark, folder)).select("post_id", "user", "ord", "tweet"))
-    places = pairing.post_places(posts)
-    labelled = views.labelled_posts(spark, folder).select("user").distinct()
-    people = people.join(labelled, "user", "left_semi")
-    mine = pairing.self_positives(people, places, EXCLUDE, int(TOTAL * 0.5), SEED, eligible=useful)
-    useful_places, users = pairing.post_tables(useful)
+    labelled = views.labelled_posts(spark, folder)
+    useful = checkpoint(parsing.useful_posts(labelled).select("post_id", "user", "ord", "tweet", c("description").alias("user_information")))
+    store, useful_store = write_store(views.posts_wide(spark, folder)), write_store(useful)
+    known = store.users.select("user")  # every user has labelled posts here
+    people = _author_people(spark, folder).join(known, "user", "left_semi")
+    eligible = useful.select("post_id", "user_information")
+    mine = pairing.self_positives(people, store, EXCLUDE, int(TOTAL * 0.5), SEED, eligible=eligible)
     # users are all labelled ones, also those without a useful post
-    everyone = hash_positions(labelled, "users", ["user"], "user_position").join(
-        users.select("user", "n_posts"), "user", "left").na.fill(0, ["n_posts"])
-    counted = pairing.positive_counts(people, mine)
-    pairs = pairing.other_users(counted, everyone, TOTAL, PER_QUERY, SEED)
-    rest = F.lit(TOTAL) - c("n_positive")
-    negatives = pairing.posts_of_others(pairs, useful_places, rest, SEED).select("profile_id", "other", "post_id")
-    picked = mine.select("profile_id", c("user").alias("other"), "post_id").unionByName(negatives)
-    return pairing.with_texts(picked, useful, None).join(people.select("profile_id", "user"), "profile_id").select(
-        "profile_id", "other", "post_id", (c("user") == c("other")).alias("truth"), "tweet")
+    everyone = hash_positions(known, "users", ["user"], "user_position").join(
+        useful_store.users.select("user", "n_posts"), "user", "left").na.fill(0, ["n_posts"])
+    pairs = pairing.other_users(pairing.positive_counts(people, mine), everyone, TOTAL, PER_QUERY, SEED)
+    others = pairing.posts_of_others(pairs, F.lit(TOTAL) - c("n_positive"), SEED)
+    shown = ["profile_id", "other", "post_id", "tweet", "user_information"]
+    negatives = useful_store.fetch(others, "other", ("post_id", "tweet", "user_information")).select(*shown)
+    rows = _own_posts(store, mine).select(*shown).unionByName(negatives)
+    return rows.join(people.select("profile_id", "user"), "profile_id").select(*shown, (c("user") == c("other")).alias("truth"))
 
 
 def author_accuracy(spark, folder) -> DataFrame:
-    _, people, mine, others = _post_negatives(spark, folder)
+    _, mine, others = _post_negatives(spark, folder, "post_id")
     asked = mine.select("profile_id", "post_id", F.lit(True).alias("truth")).unionByName(
         others.select("profile_id", "post_id", F.lit(False).alias("truth")))
     lot = (c("profile_id") * 31 + c("post_id") * 17) % 10
