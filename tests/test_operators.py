@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from voicegrain.operators import batching, inference, metrics, pairing, post_store, retrieval, sampling
+from voicegrain.operators import batching, inference, metrics, pairing, post_store, ranking, retrieval, sampling
 from voicegrain.operators.post_store import write_store
 from voicegrain.operators.drawing import draw, draw_others
 from voicegrain.operators.ranking import hash_positions, hash_slice, key_hash, position_in_group, top_k
@@ -31,6 +31,24 @@ def test_hash_positions_and_slices_equal_a_global_sort(spark, skewed):
     assert hash_slice(skewed, 1, ["id"], 0, 99999).count() == 6000
 
 
+@pytest.mark.parametrize("one_pass", [10, 100_000])
+def test_samples_of_one_pass_and_of_buckets_are_the_same(skewed, monkeypatch, one_pass):
+    monkeypatch.setattr(ranking, "ONE_PASS", one_pass)
+    order = hashed_order(range(6000), 1)
+    assert {r.id: r.p for r in ranking.hash_sample(skewed, 1, ["id"], 300, "p").collect()} == {k: i for i, k in enumerate(order[:300])}
+    assert {r.id for r in hash_slice(skewed, 1, ["id"], 40, 65).collect()} == set(order[40:65])
+    assert ranking.hash_sample(skewed, 1, ["id"], 9000).count() == 6000
+    assert ranking.hash_sample(skewed.where("id < 0"), 1, ["id"], 5).count() == 0
+
+
+def test_a_sample_reads_its_input_once(spark, tmp_path, monkeypatch):
+    spark.range(20_000).repartition(6).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    assert scanned(ranking.hash_sample(ids, 1, ["id"], 50)) == 20_000
+    monkeypatch.setattr(ranking, "ONE_PASS", 10)
+    assert scanned(ranking.hash_sample(ids, 1, ["id"], 50)) > 20_000
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 64])
 def test_draws_do_not_depend_on_partitions(spark, skewed, partitions):
     got = {r.id for r in hash_slice(skewed.repartition(partitions), 7, ["id"], 0, 25).collect()}

@@ -141,10 +141,15 @@ def test_items_results_metrics_and_few_zero(spark, tmp_path):
         tables.read_items(spark, base, "cds")
     sinks.write_results(frame, f"{base}/out", csv=True)
     assert spark.read.parquet(f"{base}/out").count() == spark.read.option("header", True).csv(f"{base}/out_csv").count() == 3
-    for step in (200, 100):
-        sinks.append_metrics(spark.createDataFrame([(step / 1000,)], "accuracy double"), f"{base}/metrics", "yes", step)
+    for tag, step, accuracy in (("yes", 200, 0.9), ("yes", 100, 0.1), ("no", 200, 0.5), ("yes", 200, 0.2)):  # 200 runs twice
+        sinks.put_metrics(spark.createDataFrame([(accuracy,)], "accuracy double"), f"{base}/metrics", tag, step)
     history = sinks.metrics_history(spark, f"{base}/metrics", "yes", "accuracy double, tag string, step bigint").collect()
     assert [(r.step, r.accuracy) for r in history] == [(100, 0.1), (200, 0.2)]
+    both = spark.createDataFrame([("yes", 100, 0.7), ("no", 300, 0.8)], "tag string, step bigint, accuracy double")
+    sinks.put_metrics(both, f"{base}/metrics")
+    history = sinks.metrics_history(spark, f"{base}/metrics", "yes", "accuracy double, tag string, step bigint").collect()
+    assert [(r.step, r.accuracy) for r in history] == [(100, 0.7), (200, 0.2)]
+    assert sinks.metrics_history(spark, f"{base}/metrics", "no", "accuracy double, tag string, step bigint").count() == 2
     (tmp_path / "eval.jsonl").write_text('{"prompt":"p","target":"t","few_zero":"few","task":"direct"}\n{"prompt":"q","target":"t","few_zero":"zero","task":"direct"}\n')
     assert [r.prompt for r in tables.read_few_zero(spark, f"{base}/eval.jsonl", "zero", "direct").collect()] == ["q"]
     assert tables.constant_prompts(spark, "p", 3, 7).agg(F.sum("seed")).first()[0] == 24

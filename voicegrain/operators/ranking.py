@@ -19,6 +19,9 @@ RUNS_TOGETHER = 1 << 12
 # A group's rows are first pruned in this many independent slices.
 SLICES = 64
 
+# Samples up to this size are the rows of lowest hash that tasks keep in one pass, as many as they may be, and merge.
+ONE_PASS = 100_000
+
 
 def key_hash(seed, *keys) -> Column:
     """md5 of ``seed|key|key...`` as hex text; the order of hash ranks."""
@@ -66,9 +69,11 @@ def hash_positions(df: DataFrame, seed, keys: list[str], position: str = "positi
 def hash_slice(df: DataFrame, seed, keys: list[str], first: int, end) -> DataFrame:
     """Rows whose hash position lies in ``first <= position < end``, exactly.
 
-    Buckets inside the range pass as they are; only the two buckets at its ends are ranked.
-    ``end`` may be a number or a column over the total, which is offered as ``_total``.
+    Buckets inside the range pass as they are; only the two buckets at its ends are ranked. A range near the front
+    needs one pass only. ``end`` may be a number or a column over the total, which is offered as ``_total``.
     """
+    if isinstance(end, int) and end <= ONE_PASS:
+        return lowest_by_hash(df, seed, keys, end, "_rank").where(F.col("_rank") > first).drop("_rank")
     return split_by_hash(df, seed, keys, first, end, "_in").where("_in").drop("_in")
 
 
@@ -98,9 +103,23 @@ def split_by_hash(df: DataFrame, seed, keys: list[str], first, end, flag: str) -
     return placed.where(F.col(flag).isNotNull()).select(columns).unionByName(edge.select(columns))
 
 
-def hash_sample(df: DataFrame, seed, keys: list[str], n: int) -> DataFrame:
-    """The first ``min(n, rows)`` rows in hash order."""
-    return hash_slice(df, seed, keys, 0, n)
+def lowest_by_hash(df: DataFrame, seed, keys: list[str], n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows in hash order with their 1-based ``rank``, in one pass over ``df``.
+
+    Every task keeps its ``n`` rows of lowest hash, slices of tasks merge theirs, and the last step sees ``SLICES * n``
+    rows at most: a bottom-k sketch of the hash that carries its rows.
+    """
+    hashed = df.withColumn("_hash", key_hash(seed, *keys))
+    return top_k(hashed, [], ["_hash", *keys], n, rank).drop("_hash")
+
+
+def hash_sample(df: DataFrame, seed, keys: list[str], n: int, position: str | None = None) -> DataFrame:
+    """The first ``min(n, rows)`` rows in hash order; with ``position`` also their place in it, from 0."""
+    if n > ONE_PASS:
+        found = hash_slice(df, seed, keys, 0, n)
+        return hash_positions(found, seed, keys, position) if position else found
+    found = lowest_by_hash(df, seed, keys, n, "_rank")
+    return (found.withColumn(position, (F.col("_rank") - 1).cast("bigint")) if position else found).drop("_rank")
 
 
 def position_in_group(

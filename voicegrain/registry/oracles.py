@@ -62,13 +62,13 @@ VIEWS = {
     "profiles": """SELECT c_custkey AS ord, c_name AS user_id, c_custkey::VARCHAR AS "user",
       c_name || ' lives in ' || n_name || ' and follows ' || c_mktsegment AS user_profile
       FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "questions": """SELECT *, row_number() OVER (ORDER BY ord) - 1 AS position FROM (
-      SELECT conv_id * 4096 + turn AS ord, text AS question,
+    "questions": """SELECT *, ord AS position FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord FROM (
+      SELECT conv_id, turn, text AS question,
       lead(text) OVER w AS reference_ans, lead(role) OVER w AS next_role, role,
       ['Leisure', 'Ask_for_Advice', 'Seek_Creativity'][conv_id % 3 + 1] AS user_intent,
       CASE WHEN conv_id % 5 = 0 THEN 'ZH' ELSE 'EN' END AS language
       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-      WHERE role = 'user' AND next_role = 'assistant'""",
+      WHERE role = 'user' AND next_role = 'assistant')""",
     "pool": f"""SELECT *, row_number() OVER (ORDER BY {h('pool', 'item_id')}, item_id) - 1 AS position FROM (
       SELECT p_partkey AS item_id, 'Title: ' || p_name || ', Year: ' || p_size AS item_description FROM part)""",
     "interest": f"""SELECT *, {wrapped('payload', 'shape')} AS response FROM (
@@ -404,6 +404,8 @@ ORACLES = {
       SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, profile_id) AS rank FROM (
       SELECT a.vec_id AS question_id, b.vec_id AS profile_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity
       FROM embeddings a JOIN embeddings b ON a.label < 5 AND b.label >= 5)) WHERE rank <= 5""",
+    "profiles_from_csv": "SELECT doc_id AS user_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
+    "questions_from_json": select("ranking", """SELECT o_orderkey, target FROM ranking WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0"""),
     "semantic_recall": """SELECT n_questions, n_questions * least(5, n_profiles) AS n_pairs, true AS recall_reached FROM
       (SELECT count(*) FILTER (label < 5) AS n_questions, count(*) FILTER (label >= 5) AS n_profiles FROM embeddings)""",
 }

@@ -13,7 +13,7 @@ from voicegrain.operators import (
 from voicegrain.operators.post_store import write_store
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
 from voicegrain.registry import views
-from voicegrain.session import checkpoint
+from voicegrain.session import checkpoint, shared_folder
 from voicegrain.sources import sinks, tables
 from voicegrain.sources.tables import item_pool
 
@@ -187,8 +187,8 @@ def profile_question_pairs(spark, folder) -> DataFrame:
 def question_profile_pairs(spark, folder) -> DataFrame:
     asked = views.questions(spark, folder).where("user_intent = 'Leisure' and language = 'EN'")
     asked = hash_sample(asked, SEED, ["ord"], 50).drop("position")
-    people = hash_sample(views.profiles(spark, folder), SEED, ["user_id"], 20).select("user_id", "user_profile")
-    people = hash_positions(people, SEED, ["user_id"])
+    people = views.profiles(spark, folder).select("user_id", "user_profile")
+    people = hash_sample(people, SEED, ["user_id"], 20, "position")
     return pairing.pair_with_first(asked, people, 20).select(
         "ord", "user_id", text.fill_template(
             templates.QUESTION_FOR_USER, ("TEMPLATE_USER_NAME", c("user_id")), ("TEMPLATE_USER_PROFILE", c("user_profile")),
@@ -235,6 +235,26 @@ def repeated_candidates(spark, folder) -> DataFrame:
     return played.select("o_orderkey", F.array_join("recommendations", "|").alias("taken"), F.size("prompts").cast("bigint").alias("n_prompts"))
 
 
+def profiles_from_csv(spark, folder) -> DataFrame:
+    """Texts written as quoted CSV with their line breaks, and read back in splits, in file order."""
+    rows = views.table(spark, folder, "documents").select(c("doc_id").alias("user_id"), F.coalesce("text", F.lit("")).alias("user_profile"))
+    path = shared_folder(spark)
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    found = tables.read_profiles(spark, path)
+    return found.select(c("user_id").cast("bigint").alias("user_id"), F.md5(F.coalesce("user_profile", F.lit(""))).alias("digest"),
+                        F.length(F.coalesce("user_profile", F.lit(""))).cast("bigint").alias("n_chars"))
+
+
+def questions_from_json(spark, folder) -> DataFrame:
+    """Evaluation rows written as JSON lines; those of one setting and task are read."""
+    rows = views.ranking_eval(spark, folder).select(
+        c("o_orderkey").cast("string").alias("prompt"), "target", F.when(c("o_orderkey") % 3 == 0, "few").otherwise("zero").alias("few_zero"),
+        F.when(c("o_orderkey") % 2 == 0, "direct").otherwise("sequential").alias("task"))
+    path = shared_folder(spark)
+    rows.write.json(path)
+    return tables.read_few_zero(spark, path, "zero", "direct").select(c("prompt").cast("bigint").alias("o_orderkey"), "target")
+
+
 def interest_clean(spark, folder) -> DataFrame:
     return sft.clean_interest(views.interest_replies(spark, folder)).select(
         "row_key", "user_name", "item_description", "justification", "is_interested")
@@ -488,8 +508,15 @@ def variant_f1(spark, folder) -> DataFrame:
 
 
 def metrics_history(spark, folder) -> DataFrame:
+    """Metrics of four steps written by step, the third of them twice, and read back."""
     rows = _said(spark, folder).withColumn("step", c("doc_id") % 4 * 100)
-    return rounded(metrics.yes_no_metrics(rows, "said", "target", ["step"]), ROUNDED).orderBy("step")
+    found = checkpoint(rounded(metrics.yes_no_metrics(rows, "said", "target", ["step"]), ROUNDED))
+    path = shared_folder(spark)
+    spoilt = found.where("step = 200").withColumn("accuracy", F.lit(-1.0))
+    for records in (found.where("step <> 200").unionByName(spoilt), found.where("step = 200")):
+        sinks.put_metrics(records, path, "yes-no")
+    fields = ", ".join(f"{name} {kind}" for name, kind in found.dtypes)
+    return sinks.metrics_history(spark, path, "yes-no", f"{fields}, tag string").drop("tag")
 
 
 def semantic_profiles(spark, folder) -> DataFrame:
@@ -516,7 +543,8 @@ QUERIES = {f.__name__: f for f in (
     reply_parse_stage, reply_fields, prompt_length_guard, chat_messages, batch_inference_stub, resume_pending,
     post_batches, user_descriptions, profile_scrub, constant_prompts, profile_item_pairs, profile_question_pairs,
     question_profile_pairs, synthetic_histories, finetuned_prompts,
-    finetuned_sample, sft_cut, default_topic_prompts, repeated_candidates, interest_clean, sft_pairs, sft_split, sft_format,
+    finetuned_sample, sft_cut, default_topic_prompts, repeated_candidates, profiles_from_csv,
+    questions_from_json, interest_clean, sft_pairs, sft_split, sft_format,
     author_self_positives, author_user_negatives, author_post_negatives, author_useful_only, author_accuracy,
     profile_qa_accuracy, perspective_first_n, perspective_related, perspective_repeat, answers_by_k,
     answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, hit_rates, iterative_hits,

@@ -84,17 +84,18 @@ def profiles(spark, folder) -> DataFrame:
 
 
 def questions(spark, folder) -> DataFrame:
-    """User turns answered by the assistant in the next turn, with their dense position."""
+    """User turns answered by the assistant in the next turn, numbered by conversation and turn: ``ord`` and ``position``."""
     turns = table(spark, folder, "conversations")
+    longest = turns.agg(F.coalesce(F.max("turn"), F.lit(0)).cast("bigint") + 1).scalar()  # so turns of two conversations never meet
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference_ans"))
     intent = F.element_at(F.array(*[F.lit(i) for i in ("Leisure", "Ask_for_Advice", "Seek_Creativity")]),
                           (F.col("conv_id") % 3 + 1).cast("int"))
     rows = asked.join(said, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 4096 + F.col("turn")).alias("ord"), "question", "reference_ans",
+        (F.col("conv_id") * longest + F.col("turn")).alias("_place"), "question", "reference_ans",
         intent.alias("user_intent"), F.when(F.col("conv_id") % 5 == 0, "ZH").otherwise("EN").alias("language"),
     )
-    return position_in_group(rows, [], "ord")
+    return position_in_group(rows, [], "_place").drop("_place").withColumn("ord", F.col("position"))
 
 
 def items(spark, folder) -> DataFrame:

@@ -39,10 +39,17 @@ def write_splits(cleaned: DataFrame, sft: DataFrame, base: str) -> None:
     sft.write.mode("overwrite").partitionBy("split").parquet(f"{base}/sft")
 
 
-def append_metrics(metrics: DataFrame, path: str, tag: str, step: int) -> None:
-    """One row per (tag, step)."""
-    metrics.withColumns({"tag": F.lit(tag), "step": F.lit(step).cast("bigint")}).write.mode("append").json(path)
+def put_metrics(metrics: DataFrame, path: str, tag: str | None = None, step: int | None = None) -> None:
+    """Metric records by ``tag`` and ``step``: those given as arguments, or columns of the table.
+
+    A tag's step is a folder of its own, and writing it again replaces what is there and nothing else, so a step that
+    runs twice leaves its last records only.
+    """
+    given = {name: F.lit(value).cast(kind) for name, value, kind in (("tag", tag, "string"), ("step", step, "bigint")) if value is not None}
+    rows = metrics.withColumns(given) if given else metrics
+    rows.repartition("tag", "step").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tag", "step").json(path)
 
 
-def metrics_history(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
+def metrics_history(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """A tag's records by step. ``schema`` names the metrics' columns, ``tag`` and ``step`` among them."""
     return spark.read.schema(schema).json(path).where(F.col("tag") == tag).orderBy("step")
