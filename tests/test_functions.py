@@ -1,6 +1,8 @@
 """Scalar functions and the reply parser on small tables with their edge cases."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,58 @@ def test_bracket_search_is_linear():
     assert balanced_spans("{" * 20_000) == [] and balanced_spans("{ it's " * 5_000) == []
     assert time.time() - start < 10
     assert balanced_spans("a {b {c} d} [e] {f") == ["{b {c} d}", "{c}", "[e]"]
+
+
+def made_replies(n):
+    """Replies from pieces that are JSON, nearly JSON, Python or neither, in all kinds of places."""
+    rnd = random.Random(11)
+    texts = ['"x"', "'x'", '"it\'s"', "'a: True, b'", '"a,}"', "'{'", '"}"', "'q\\n'", '""', "''", "'é'", '"\\u00e9"', "'say \"hi\"'"]
+    words = ["true", "false", "null", "True", "False", "None", "1", "-2", "01", "1.50", "1e3", "NaN", "-Infinity", "12345678901234567890", "maybe"]
+
+    def value(depth):
+        kind = rnd.random()
+        if depth and kind < 0.12:
+            return "[" + ", ".join(value(depth - 1) for _ in range(rnd.randint(0, 3))) + rnd.choice(["", "", ",", " , "]) + "]"
+        if depth and kind < 0.24:
+            return pairs(depth - 1)
+        return rnd.choice(texts if kind < 0.7 else words)
+
+    def pairs(depth):
+        quote = rnd.choice(["'", '"'])
+        inner = [f"{quote}{rnd.choice('abcab')}{quote}{rnd.choice([':', ': ', ' : '])}{value(depth)}" for _ in range(rnd.randint(0, 3))]
+        return "{" + rnd.choice([", ", ","]).join(inner) + rnd.choice(["", "", "", ",", ", ", "\n"]) + rnd.choice(["}", "}", "}", "}", " }", ""])
+
+    frames = ["{}", "{}", "{}", "{}", "```json\n{}\n```", "```{}```", "Here: {} Hope it's fine.", "Look {} and {}", "is it {}?", "1. {}", "the [list] {}",
+              "true {}", "({})", "# {}", "```\nnope\n``` then ```json {} ```", "say \"{}\"", "so {}", "x {} [", "{} tail", "a ` {}"]
+    out = []
+    for _ in range(n):
+        out.append(re.sub(r"\{\}", lambda _: pairs(2) if rnd.random() < 0.8 else value(2), rnd.choice(frames)))
+    return out + ["", "   ", "true", "nul", "{", "}", "{}", "[]", "{'a': 1, 'a': 2}", '{"a": 1, "a": 2}', "{'a': null}", "so {'a': null, 'b': 'x'} ok"]
+
+
+def test_replies_are_read_as_the_lenient_parser_reads_them(spark):
+    texts = made_replies(6000)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, response string").repartition(8)
+    found = parsing.read_json(frame, "response").select("i", "_text", "_read.json", "_read.stage", F.to_json("_read.value").alias("value")).collect()
+    kinds = set()
+    for r in found:
+        want, stage = json_replies.parse_text(r._text) if r._text else (None, "raw")
+        assert r.stage == stage, (texts[r.i], r, want, stage)
+        if want is not None:
+            assert json.loads(r.value) == json.loads(want) and r.json[:1] == want[:1], (texts[r.i], r, want)
+        kinds.add(stage)
+    assert kinds == {"whole", "fence", "balanced", "raw"}
+
+
+def test_common_shapes_do_not_reach_python(spark):
+    payload = '{"a": "x y", "b": true, "c": null, "n": 12}'
+    python = "{'a': 'x y', 'b': True, 'c': None, 'n': 12}"
+    shapes = [payload, "```json\n" + payload + "\n```", python, payload[:-1] + ",}", f"Here is my view: {payload} Hope it helps.",
+              payload.replace('"', "'"), f"I say {python} now", "thinking assistantfinal" + payload]
+    frame = spark.createDataFrame(list(enumerate(shapes)), "i int, response string")
+    text = json_replies.without_markers(F.col("response"))
+    piece = json_replies.plain_piece(text)["piece"]
+    value = json_replies.strict_json(json_replies.maybe_strict(json_replies.as_strict(piece)))
+    rows = frame.select("i", value.isNotNull().alias("read"), json_replies.unreadable(text).alias("hopeless")).orderBy("i").collect()
+    assert [r.read or r.hopeless for r in rows] == [True] * len(shapes)
+    assert [r.i for r in rows if r.hopeless] == [5]

@@ -1,8 +1,8 @@
 """Reading JSON out of noisy replies.
 
-Replies are settled by Spark expressions where one strict JSON value is the whole text, or the first
-fenced block. Only the others carry their text to a Pandas UDF, which repairs commas, reads Python
-literals and looks for balanced brackets.
+Replies are settled by Spark expressions where the whole text, the first fenced block, or the only pair of braces in
+prose is one JSON value, JSON with commas before closing brackets, or a flat Python dict; and where it is clear that nothing
+can be read. Each such text is parsed once. Only the others carry their text to a Pandas UDF, which tries every place and reader.
 """
 
 from __future__ import annotations
@@ -32,7 +32,42 @@ _ONE_PAIR = r"\A\s*\{[^{}]*\}\s*\z"
 def maybe_strict(text: Column) -> Column:
     """The text unless its first or last characters rule out strict JSON."""
     ending = F.right(text, F.lit(40))
-    return F.when(~text.rlike(_NOT_STRICT) & ~ending.rlike(_COMMA_END), text)
+    open_end = text.rlike(r"\A\s*\{") & ~ending.rlike(r"\}\s*\z")
+    return F.when(~text.rlike(_NOT_STRICT) & ~open_end & ~ending.rlike(_COMMA_END), text)
+
+
+# A dict as Python writes it, of one level: texts in single quotes, without other quotes, escapes or control characters
+_TEXT = r"'[^'\"\\\x00-\x1f]*'"
+_FLAT_DICT = rf"\A\{{\s*{_TEXT}\s*:\s*VALUE(?:\s*,\s*{_TEXT}\s*:\s*VALUE)*\s*,?\s*\}}\z".replace(
+    "VALUE", rf"(?:{_TEXT}|-?(?:0|[1-9][0-9]{{0,17}})|True|False|None)")
+_PYTHON_NAMES = {"True": "true", "False": "false", "None": "null"}
+
+
+def outside_quotes(text: Column, change) -> Column:
+    """The text with ``change`` applied outside of single quotes, which become double ones."""
+    parts = F.transform(F.split(text, "'"), lambda part, i: F.when(i % 2 == 0, change(part)).otherwise(part))
+    return F.array_join(parts, '"')
+
+
+def as_strict(piece: Column) -> Column:
+    """The strict JSON text that a piece stands for: a flat Python dict or commas before closing brackets written anew,
+    any other piece as it is."""
+    def renamed(part: Column) -> Column:
+        for name, word in _PYTHON_NAMES.items():
+            part = F.replace(part, F.lit(name), F.lit(word))
+        return part
+
+    return (
+        F.when(piece.rlike(_FLAT_DICT), outside_quotes(piece, renamed))
+        .when(F.right(piece, F.lit(40)).rlike(_COMMA_END), F.regexp_replace(piece, r",\s*([}\]])", "$1"))
+        .otherwise(piece)
+    )
+
+
+def unreadable(text: Column) -> Column:
+    """Whether a text in one pair of braces is neither JSON nor Python: single quotes, and JSON's words outside of them."""
+    words = outside_quotes(text, lambda part: F.when(part.rlike(r"\b(?:null|true|false)\b"), "\x00").otherwise(""))
+    return text.rlike(r"\A\{[^{}\[\]`\"\\]*\}\z") & F.contains(text, F.lit("'")) & F.contains(words, F.lit("\x00"))
 
 
 def strict_json(text: Column) -> Column:
@@ -72,22 +107,34 @@ def without_markers(reply: Column) -> Column:
 _FENCE = r"```(?:json)?\s*(.*?)```"
 
 
+# Prose that begins with a letter and has one pair of braces, no other brackets and no fence
+_ONE_IN_PROSE = r"\A[A-Za-z][^{}\[\]`]*(\{[^{}\[\]`]*\})[^{}\[\]`]*\z"
+
+
 def plain_piece(text: Column) -> Column:
-    """The part of a text without markers that may be strict JSON: all of it behind a bracket, or the
-    first block when the text starts with a fence; null for all others."""
-    return F.when(F.substring(text, 1, 1).isin("{", "["), text).when(
-        F.startswith(text, F.lit("```")), strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)))
+    """Struct ``piece, stage`` of a text without markers: the part that may be read and where it lies. All of it behind a
+    bracket, the first block when the text starts with a fence, or the only braces in prose; null for all others."""
+    inner = blank_as_null(F.regexp_extract(text, _ONE_IN_PROSE, 1))
+
+    def found(piece: Column, stage: str) -> Column:
+        return F.struct(piece.alias("piece"), F.lit(stage).alias("stage"))
+
+    return (
+        F.when(F.substring(text, 1, 1).isin("{", "["), found(text, "whole"))
+        .when(F.startswith(text, F.lit("```")), found(strip(F.regexp_extract(text, "(?is)" + _FENCE, 1)), "fence"))
+        .when(inner.isNotNull(), found(inner, "balanced"))
+    )
 
 
-def plain_result(text: Column, piece: Column, value: Column) -> Column:
-    """Struct ``value, json, stage`` of a piece and its strict value, which may be null."""
-    stage = F.when(F.startswith(text, F.lit("```")), "fence").otherwise("whole")
-    return F.struct(value.alias("value"), piece.alias("json"), stage.alias("stage"))
+def plain_result(strict: Column, stage: Column, value: Column) -> Column:
+    """Struct ``value, json, stage`` of a strict text and its value, which may be null."""
+    return F.struct(value.alias("value"), strict.alias("json"), stage.alias("stage"))
 
 
 def parse_rest(text: Column, plain: Column) -> Column:
     """The plain result where there is one, else what the lenient parser finds, else stage raw."""
-    slow = parse_leniently(F.when(plain["value"].isNull() & (text != ""), text))
+    hopeless = unreadable(text)
+    slow = parse_leniently(F.when(plain["value"].isNull() & (text != "") & ~hopeless, text))
     found = F.struct(F.try_parse_json(slow["json"]).alias("value"), slow["json"].alias("json"),
                      F.coalesce(slow["stage"], F.lit("raw")).alias("stage"))
     return F.when(plain["value"].isNotNull(), plain).when(text.isNotNull(), found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.functions.json_replies import (
-    in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, reread, scoring_text, strict_json, text_fields, unsettled,
+    as_strict, in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, reread, scoring_text, strict_json, text_fields, unsettled,
     without_markers,
 )
 from voicegrain.lookups import ANSWER_KEYS
@@ -29,9 +29,10 @@ def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read"
     """Adds the reply without markers and its ``value, json, stage``, found in any of the known places."""
     df = compute_once(df, text, without_markers(F.col(reply)))
     df = compute_once(df, "_piece", plain_piece(F.col(text)))
-    df = read_strict(df, [F.col("_piece")], "_value")
-    df = compute_once(df, "_plain", plain_result(F.col(text), F.col("_piece"), F.col("_value")))
-    return compute_once(df, out, parse_rest(F.col(text), F.col("_plain"))).drop("_piece", "_value", "_plain")
+    df = compute_once(df, "_json", as_strict(F.col("_piece")["piece"]))
+    df = read_strict(df, [F.col("_json")], "_value")
+    plain = plain_result(F.col("_json"), F.col("_piece")["stage"], F.col("_value"))
+    return compute_once(df, out, parse_rest(F.col(text), plain)).drop("_piece", "_json", "_value")
 
 
 def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
