@@ -31,9 +31,11 @@ _ONE_PAIR = r"\A\s*\{[^{}]*\}\s*\z"
 
 def maybe_strict(text: Column) -> Column:
     """The text unless its first or last characters rule out strict JSON."""
-    ending = F.right(text, F.lit(40))
-    open_end = text.rlike(r"\A\s*\{") & ~ending.rlike(r"\}\s*\z")
-    return F.when(~text.rlike(_NOT_STRICT) & ~open_end & ~ending.rlike(_COMMA_END), text)
+    last = F.right(F.rtrim(text, F.lit(" \t\r\n")), F.lit(1))
+    first = F.left(F.ltrim(text, F.lit(" \t\r\n")), F.lit(1))
+    closed = F.when(first == "{", last == "}").when(first == "[", last == "]").otherwise(True)
+    comma = last.isin("}", "]") & F.right(text, F.lit(40)).rlike(_COMMA_END)
+    return F.when(closed & ~comma & ~text.rlike(_NOT_STRICT), text)
 
 
 # A dict as Python writes it, of one level: texts in single quotes, without other quotes, escapes or control characters
@@ -101,7 +103,11 @@ def field_kind(variant: Column, name: str) -> Column:
 def without_markers(reply: Column) -> Column:
     """Text after the last final-channel marker, then after the last analysis marker, any case."""
     text = F.regexp_replace(reply, r"(?is)\A.*assistantfinal", "")
-    return strip(F.regexp_replace(text, r"(?is)\A.*assistantanalysis", ""))
+    behind = strip(F.regexp_replace(text, r"(?is)\A.*assistantanalysis", ""))
+    # most replies have neither markers nor white space at an end, and are not searched by a pattern
+    ends = F.concat(F.left(reply, F.lit(1)), F.right(reply, F.lit(1)))
+    return F.when(F.contains(F.lower(reply), F.lit("assistant")), behind).when(
+        ends.rlike(r"[^\x21-\x7e]"), strip(reply)).otherwise(reply)
 
 
 _FENCE = r"```(?:json)?\s*(.*?)```"
@@ -174,10 +180,16 @@ def finite(value):
     return {k: finite(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-@F.pandas_udf(StringType())
-def reread(texts: pd.Series) -> pd.Series:
-    """Strict JSON text of what Python's reader accepts: also NaN, infinities and repeated keys, the last of which counts."""
-    return pd.Series([None if t is None else reread_text(t) for t in texts], dtype=object)
+_BOTH = StructType([StructField("first", StringType()), StructField("second", StringType())])
+
+
+@F.pandas_udf(_BOTH)
+def reread(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """Strict JSON texts of what Python's reader accepts: also NaN, infinities and repeated keys, the last of which counts."""
+    return pd.DataFrame({
+        name: pd.Series([None if t is None else reread_text(t) for t in texts], dtype=object)
+        for name, texts in (("first", first), ("second", second))
+    })
 
 
 def reread_text(text: str) -> str | None:
@@ -269,12 +281,10 @@ def as_it_is(reply: Column) -> list[Column]:
     return [reply]
 
 
-def text_fields(variant: Column, names: list[str]) -> Column:
-    """Struct with the text of each named field and, as ``kinds``, their JSON types."""
-    return F.struct(
-        *[field(variant, name).alias(name) for name in names],
-        F.struct(*[field_kind(variant, name).alias(name) for name in names]).alias("kinds"),
-    )
+def text_fields(variant: Column, names: list[str], kinds: bool = True) -> Column:
+    """Struct with the text of each named field and, as ``kinds``, their JSON types, which cost as much again."""
+    texts = [field(variant, name).alias(name) for name in names]
+    return F.struct(*texts, *([F.struct(*[field_kind(variant, name).alias(name) for name in names]).alias("kinds")] if kinds else []))
 
 
 def all_or_nothing(fields: Column, names: list[str], missing: str = "N/A") -> dict[str, Column]:

@@ -13,16 +13,18 @@ from voicegrain.operators.once import compute_once
 
 
 def read_strict(df: DataFrame, texts: list[Column], out: str) -> DataFrame:
-    """Adds the variant of the first of the texts that is JSON, else null.
+    """Adds the variant of the first of one or two texts that is JSON, else null.
 
     The few texts that look strict but are not, because of a repeated key or a number like NaN, are read again in Python.
     """
     names = [f"t{i}" for i in range(len(texts))]
-    df = compute_once(df, "_texts", F.struct(*[t.alias(n) for t, n in zip(texts, names)]))
+    df = compute_once(df, "_texts", F.struct(*[t.alias(n) for t, n in zip(texts, names, strict=True)]))
     df = compute_once(df, "_maybe", F.struct(*[maybe_strict(F.col("_texts")[n]).alias(n) for n in names]))
     df = compute_once(df, "_strict", F.struct(*[strict_json(F.col("_maybe")[n]).alias(n) for n in names]))
-    tried = [F.coalesce(F.col("_strict")[n], F.try_parse_json(reread(unsettled(F.col("_maybe")[n], F.col("_strict")[n])))) for n in names]
-    return compute_once(df, out, F.coalesce(*tried)).drop("_texts", "_maybe", "_strict")
+    rest = [unsettled(F.col("_maybe")[n], F.col("_strict")[n]) for n in names]
+    df = df.withColumn("_again", reread(rest[0], rest[1] if len(rest) > 1 else F.lit(None).cast("string")))
+    tried = [c for n, again in zip(names, ("first", "second")) for c in (F.col("_strict")[n], F.try_parse_json(F.col("_again")[again]))]
+    return compute_once(df, out, F.coalesce(*tried)).drop("_texts", "_maybe", "_strict", "_again")
 
 
 def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read") -> DataFrame:
@@ -30,33 +32,34 @@ def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read"
     df = compute_once(df, text, without_markers(F.col(reply)))
     df = compute_once(df, "_piece", plain_piece(F.col(text)))
     df = compute_once(df, "_json", as_strict(F.col("_piece")["piece"]))
-    df = read_strict(df, [F.col("_json")], "_value")
+    df = compute_once(df, "_maybe", maybe_strict(F.col("_json")))
+    df = compute_once(df, "_value", strict_json(F.col("_maybe")))
     plain = plain_result(F.col("_json"), F.col("_piece")["stage"], F.col("_value"))
-    return compute_once(df, out, parse_rest(F.col(text), plain)).drop("_piece", "_json", "_value")
+    return compute_once(df, out, parse_rest(F.col(text), plain)).drop("_piece", "_json", "_maybe", "_value")
 
 
-def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
-    """Adds a struct ``out``: the named fields as text, their ``kinds``, and the parse ``stage``.
+def parse_replies(df: DataFrame, names: list[str], reply: str = "response", out: str = "parsed", kinds: bool = True) -> DataFrame:
+    """Adds a struct ``out``: the named fields as text, their ``kinds`` if asked for, and the parse ``stage``.
 
     The stage tells where the value was found: whole, fence or balanced brackets; raw when nowhere.
     """
     read = read_json(df, reply)
-    return with_fields(read, F.col("_read.value"), names, out, stage=F.col("_read.stage")).drop("_read", "_text")
+    return with_fields(read, F.col("_read.value"), names, out, kinds, stage=F.col("_read.stage")).drop("_read", "_text")
 
 
-def with_fields(df: DataFrame, value: Column, names: list[str], out: str, **more: Column) -> DataFrame:
+def with_fields(df: DataFrame, value: Column, names: list[str], out: str, kinds: bool = True, **more: Column) -> DataFrame:
     """Adds the named fields of a variant as struct ``out``."""
-    fields = text_fields(value, names)
+    fields = text_fields(value, names, kinds)
     extra = [column.alias(name) for name, column in more.items()]
-    return compute_once(df, out, F.struct(
-        *[fields[n].alias(n) for n in names], fields["kinds"].alias("kinds"), value.isNotNull().alias("found"), *extra))
+    shown = [*names, "kinds"] if kinds else names
+    return compute_once(df, out, F.struct(*[fields[n].alias(n) for n in shown], value.isNotNull().alias("found"), *extra))
 
 
-def parse_by(df: DataFrame, rule, names: list[str], reply: str = "response", out: str = "parsed") -> DataFrame:
+def parse_by(df: DataFrame, rule, names: list[str], reply: str = "response", out: str = "parsed", kinds: bool = True) -> DataFrame:
     """Like ``parse_replies`` with one of the simple rules (``in_last_braces``, ``from_last_brace``,
     ``in_final_channel``, ``as_it_is``); ``found`` is false where the rule finds no JSON."""
     read = read_strict(df, rule(F.col(reply)), "_read")
-    return with_fields(read, F.col("_read"), names, out).drop("_read")
+    return with_fields(read, F.col("_read"), names, out, kinds).drop("_read")
 
 
 def with_scoring_text(df: DataFrame, reply: str = "response", out: str = "scoring_text") -> DataFrame:

@@ -72,7 +72,7 @@ def question_filter_sample(spark, folder) -> DataFrame:
 
 
 def reply_parse_stage(spark, folder) -> DataFrame:
-    rows = parsing.parse_replies(views.interest_replies(spark, folder), ["IsInterested"])
+    rows = parsing.parse_replies(views.interest_replies(spark, folder), ["IsInterested"], kinds=False)
     return rows.groupBy(
         c("shape").cast("bigint").alias("shape"), c("parsed.stage").alias("stage"), c("parsed.IsInterested").alias("label"),
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -82,7 +82,7 @@ def reply_fields(spark, folder) -> DataFrame:
     rows, names = views.interest_replies(spark, folder), ["Justification", "IsInterested"]
     for out, rule in (("last_braces", json_replies.in_last_braces), ("from_brace", json_replies.from_last_brace),
                       ("final_channel", json_replies.in_final_channel), ("strict", json_replies.as_it_is)):
-        rows = parsing.parse_by(rows, rule, names, out=out)
+        rows = parsing.parse_by(rows, rule, names, out=out, kinds=out == "strict")
     batch = json_replies.all_or_nothing(c("strict"), names)
     return rows.select(
         "row_key", *[c(out)["IsInterested"].alias(out) for out in ("last_braces", "from_brace", "final_channel")],
