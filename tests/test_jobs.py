@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voicegrain.operators import grading, inference
 from voicegrain.plans import jobs
+from voicegrain.plans.counts import counting
 from voicegrain.registry import views
 from voicegrain.sources import sinks, tables
 
@@ -169,3 +170,21 @@ def test_files_to_results(spark, tmp_path):
     rows = jobs.predict_author(people, posts, says('{"IsFromUser": true}'), total=4, per_query=2, exclude=2, people=3)
     assert rows.count() > 0
     assert jobs.repeated_answers(asked, says("a"), 0).count() == 0
+
+
+def test_stages_are_counted_without_a_job(spark, data):
+    with counting() as counts:
+        said = jobs.question_answers(data["questions"], says("a"), "Leisure", "EN", most=6, profiles=data["profiles"], people=3)
+    plain = jobs.question_answers(data["questions"], says("a"), "Leisure", "EN", most=6, profiles=data["profiles"], people=3)
+    assert said.count() == plain.count() == 18
+    spark.sparkContext.setJobGroup("counts", "")
+    found = {stage: n["rows"] for stage, n in counts.read().items()}
+    counts.check()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counts")) == 0
+    leisure = data["questions"].where("user_intent = 'Leisure' and language = 'EN'").count()
+    assert found == {"questions": data["questions"].count(), "questions of the intent": leisure, "sampled questions": 6, "prompts": 18, "replies": 18}
+    with counting() as counts:
+        none = jobs.question_answers(data["questions"], says("a"), "no such intent", "EN", most=6)
+    none.collect()
+    with pytest.raises(ValueError, match="too few rows"):
+        counts.check()

@@ -1,7 +1,9 @@
 """Ranking, drawing, skew, pairing and inference operators against plain computations."""
 
 import hashlib
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -239,23 +241,62 @@ def test_inference_isolates_failures(spark):
         inference.infer(rows, broken).collect()
 
 
-def test_requests_retry(spark):
-    def make():
-        seen = {}
+def test_requests_retry_in_rounds(spark, tmp_path):
+    folder = str(tmp_path)
 
+    def make():
         def request(prompt):
-            seen[prompt] = seen.get(prompt, 0) + 1
-            if prompt == "later" and seen[prompt] < 3 or prompt == "never":
+            name = os.path.join(folder, prompt)
+            with open(name, "a") as f:
+                f.write(f"{time.time()}\n")
+            times = len(open(name).readlines())
+            if prompt == "later" and times < 3 or prompt == "never":
                 raise inference.RetryLater()
             if prompt == "no":
                 raise inference.GiveUp("400")
+            if prompt == "odd" and times < 2 or prompt == "broken":
+                raise ValueError("odd")
             return prompt.upper()
         return request
 
-    rows = spark.createDataFrame([("later",), ("never",), ("no",), ("ok",)], "prompt string")
-    got = {r.prompt: (r.response, r.status, r.attempts) for r in inference.infer_requests(rows.coalesce(1), make, delay=0.001).collect()}
-    assert got["later"] == ("LATER", "ok", 3) and got["ok"] == ("OK", "ok", 1)
-    assert got["never"][:2] == ("[ERROR: Max retries exceeded]", "error") and got["no"] == ("[ERROR: 400]", "error", 1)
+    waited = []
+    rows = spark.createDataFrame([(p, 2**60 + 1) for p in ("later", "never", "no", "ok", "odd", "broken")], "prompt string, n bigint")
+    done = inference.infer_requests(rows.repartition(2), make, delay=0.2, wait=lambda s: (waited.append(s), time.sleep(s)))
+    got = {r.prompt: (r.response, r.status, r.attempts) for r in done.collect()}
+    assert got["later"] == ("LATER", "ok", 3) and got["ok"] == ("OK", "ok", 1) and got["odd"] == ("ODD", "ok", 2)
+    assert got["never"] == ("[ERROR: Max retries exceeded]", "error", 3) and got["no"] == ("[ERROR: 400]", "error", 1)
+    assert got["broken"] == ("[ERROR: odd]", "error", 3)
+    assert done.columns == ["prompt", "n", "response", "status", "error", "attempts"] and {r.n for r in done.collect()} == {2**60 + 1}
+    times = {p: [float(t) for t in open(os.path.join(folder, p))] for p in got}
+    assert {p: len(t) for p, t in times.items()} == {"later": 3, "never": 3, "no": 1, "ok": 1, "odd": 2, "broken": 3}
+    assert len(waited) == 2 and times["later"][1] - times["later"][0] >= 0.2 and times["later"][2] - times["later"][1] >= 0.4
+
+
+def test_a_stopped_run_over_files_answers_every_prompt_once(spark, tmp_path):
+    prompts, path, mark = f"{tmp_path}/prompts", f"{tmp_path}/out", tmp_path / "mended"
+    spark.range(40).selectExpr("id AS prompt_id", "concat('p', id) AS prompt").repartitionByRange(4, "prompt_id").write.parquet(prompts)
+    broken = str(mark)
+
+    def make():
+        def model(batch):
+            if "p25" in batch and not os.path.exists(broken):
+                raise RuntimeError("the machine is gone")
+            return [p.upper() for p in batch]
+        return model
+
+    def run(rows):
+        return inference.infer(rows, make, recoverable=[])
+
+    schema = "prompt_id bigint, prompt string"
+    with pytest.raises(Exception, match="machine is gone"):
+        inference.infer_files(spark, prompts, schema, run, path)
+    before = spark.read.parquet(f"{path}/replies").count()
+    assert 0 < before < 40
+    mark.write_text("x")
+    spark.range(40, 45).selectExpr("id AS prompt_id", "concat('p', id) AS prompt").write.mode("append").parquet(prompts)
+    done = inference.infer_files(spark, prompts, schema, run, path).collect()
+    assert sorted((r.prompt_id, r.response) for r in done) == [(i, f"P{i}") for i in range(45)]
+    assert inference.infer_files(spark, prompts, schema, run, path).count() == 45
 
 
 def test_resume_asks_only_for_missing_replies(spark, tmp_path):

@@ -9,10 +9,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from voicegrain.functions.text import as_column
 from voicegrain.functions.replies import allowed_input, estimated_tokens, too_long_reply
@@ -107,39 +108,56 @@ def with_replies(batch: pa.RecordBatch, replies: list[tuple]) -> pa.RecordBatch:
 def infer_requests(
     prompts: DataFrame, make_request: Callable[[], Callable[[str], str]], batch_size: int = 32,
     workers: int = 8, tries: int = 3, delay: float = 1.0, spread_by: list[str] = (),
+    clock: Callable[[], float] = time.time, wait: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """Like ``infer`` for a function of one prompt, with threads inside a task and retries.
+    """Like ``infer`` for a function of one prompt, with threads inside a task and retries in later rounds.
 
-    ``RetryLater`` waits ``delay * 2^attempt`` and, when tries run out, leaves a sentinel reply.
-    ``GiveUp`` fails at once. Other errors wait ``delay`` and fail at the last try. A failed prompt
-    becomes an error row and does not end the job.
+    ``RetryLater`` is due again after ``delay * 2^attempt`` and, when tries run out, leaves a sentinel reply.
+    ``GiveUp`` fails at once. Other errors are due after ``delay`` and fail at the last try. A failed prompt
+    becomes an error row and does not end the job. No task waits: a round's rows are kept with the time they are due, the
+    driver lets that pass, and the next round asks for them alone. Replies kept are never asked for again. Runs when called.
     """
-    prompts = spread(prompts, spread_by)
-
-    def ask(request, prompt: str) -> tuple:
-        for attempt in range(1, tries + 1):
-            try:
-                return request(prompt).strip(), "ok", None, attempt
-            except RetryLater:
-                time.sleep(delay * 2 ** (attempt - 1))
-            except GiveUp as error:
-                return f"[ERROR: {error}]", "error", str(error), attempt
-            except Exception as error:
-                if attempt == tries:
-                    return f"[ERROR: {error}]", "error", str(error), attempt
-                time.sleep(delay)
-        return RETRIES_EXHAUSTED_REPLY, "error", "retries exhausted", tries
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        request = None
-        with ThreadPoolExecutor(workers) as pool:
-            for part in parts:
-                request = request or make_request()
-                for start in range(0, part.num_rows, batch_size):
-                    batch = part.slice(start, batch_size)
-                    yield with_replies(batch, list(pool.map(lambda p: ask(request, p), batch.column("prompt").to_pylist())))
+    schema = StructType([*prompts.schema.fields, *REPLY_FIELDS, StructField("_due", DoubleType())])
+    names = [f.name for f in REPLY_FIELDS]
 
-    return prompts.mapInArrow(run, StructType(prompts.schema.fields + REPLY_FIELDS))
+    def ask_once(request, prompt: str, attempt: int) -> tuple:
+        try:
+            return request(prompt).strip(), "ok", None, attempt, None
+        except RetryLater:
+            if attempt == tries:
+                return RETRIES_EXHAUSTED_REPLY, "error", "retries exhausted", attempt, None
+            return None, "due", None, attempt, time.time() + delay * 2 ** (attempt - 1)
+        except GiveUp as error:
+            return f"[ERROR: {error}]", "error", str(error), attempt, None
+        except Exception as error:
+            if attempt == tries:
+                return f"[ERROR: {error}]", "error", str(error), attempt, None
+            return None, "due", str(error), attempt, time.time() + delay
+
+    def round_of(attempt: int):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            request = None
+            with ThreadPoolExecutor(workers) as pool:
+                for part in parts:
+                    request = request or make_request()
+                    for start in range(0, part.num_rows, batch_size):
+                        batch = part.slice(start, batch_size)
+                        found = list(pool.map(lambda p: ask_once(request, p, attempt), batch.column("prompt").to_pylist()))
+                        done = with_replies(batch, [f[:4] for f in found])
+                        yield done.append_column("_due", pa.array([f[4] for f in found], pa.float64()))
+        return run
+
+    todo, settled = spread(prompts, spread_by), []
+    for attempt in range(1, tries + 1):
+        asked = checkpoint(todo.mapInArrow(round_of(attempt), schema))
+        settled.append(asked.where(F.col("_due").isNull()).drop("_due"))
+        again = asked.where(F.col("_due").isNotNull())
+        due = again.agg(F.max("_due")).first()[0]
+        if due is None:
+            break
+        wait(max(0.0, due - clock()))
+        todo = spread(again.drop("_due", *names), spread_by)
+    return reduce(DataFrame.unionByName, settled)
 
 
 def guard_length(prompts: DataFrame, max_tokens, context, tokens: Column | None = None) -> DataFrame:
@@ -188,6 +206,27 @@ def infer_resumable(
     return saved_replies(spark, path, run_id)
 
 
+def infer_files(
+    spark: SparkSession, folder: str, schema: str, run: Callable[[DataFrame], DataFrame], path: str, files_per_batch: int = 1
+) -> DataFrame:
+    """Answer all prompt files of a folder, a few files at a time, and read the replies back.
+
+    The files are a stream with its progress in a checkpoint, and replies are written by a sink that shows those of
+    finished batches only. A run that stops in the middle is taken up at the file it stopped at, files that came since
+    are answered too, and every prompt has one reply. ``run`` may not aggregate or sort.
+    """
+    prompts = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    query = (
+        run(prompts).writeStream.format("parquet").option("path", f"{path}/replies")
+        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    )
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{path}/replies")
+
+
 def attach(prompts: DataFrame, replies: DataFrame) -> DataFrame:
     """Replies stored apart from their prompts are joined back by ``prompt_id``."""
     return prompts.join(replies.select("prompt_id", "response", "status"), "prompt_id")

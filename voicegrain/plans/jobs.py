@@ -18,6 +18,7 @@ from voicegrain.operators import (
 )
 from voicegrain.operators.post_store import write_store
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
+from voicegrain.plans.counts import counted
 from voicegrain.session import checkpoint
 from voicegrain.sources.tables import constant_prompts, ranking_columns, yes_no_columns
 
@@ -30,6 +31,11 @@ def with_prompt(rows: DataFrame, prompt: Column, *keys: str) -> DataFrame:
     return rows.withColumns({"prompt_id": F.md5(F.to_json(F.struct(*keys))), "prompt": prompt})
 
 
+def ask(run: Run, prompts: DataFrame) -> DataFrame:
+    """The replies; prompts and replies are stages of the job (see ``counts``)."""
+    return counted(run(counted(prompts, "prompts", at_least=1)), "replies", at_least=1)
+
+
 def extract_from_posts(
     posts: DataFrame, run: Run, users: int = 20, minimum: int = 10, most: int = 100, start: int = -1, seed=42,
     template: str = templates.USEFUL_POST,
@@ -38,7 +44,7 @@ def extract_from_posts(
     chosen = sampling.pick_users(sampling.users_above(sampling.posts_per_user(posts), minimum), seed, users, start)
     first = batching.first_posts(posts, chosen, most, users_at_most=users)
     prompt = text.fill_template(template, ("TEMPLATE_USER_NAME", c("user")), ("TEMPLATE_TWEET", c("tweet")))
-    return run(with_prompt(first.drop("rank"), prompt, "user", "ord"))
+    return ask(run, with_prompt(first.drop("rank"), prompt, "user", "ord"))
 
 
 def extract_from_batches(
@@ -53,7 +59,7 @@ def extract_from_batches(
     listed = text.numbered(c("tweets"), "User Tweet ", ": ", joint="", end="\n")
     prompt = text.fill_template(template, ("TEMPLATE_USER_NAME", c("user")), ("TEMPLATE_USER_TWEETS", listed))
     names = ["UsefulInformation", "Justification", "UserInformation"]
-    answered = parsing.parse_by(run(with_prompt(batches, prompt, "user", "batch")), json_replies.as_it_is, names)
+    answered = parsing.parse_by(ask(run, with_prompt(batches, prompt, "user", "batch")), json_replies.as_it_is, names)
     return answered.withColumns(json_replies.all_or_nothing(c("parsed"), names)).drop("parsed")
 
 
@@ -70,7 +76,7 @@ def merge_descriptions(
     tags, done, round_ = batching.distinct_tags(parsing.useful_posts(labelled)), None, 0
     while True:
         pages = batching.tag_pages(tags, max(2, most_tags)).withColumn("round", F.lit(round_))
-        asked = run(with_prompt(pages, prompt, "user", "page", "round"))
+        asked = ask(run, with_prompt(pages, prompt, "user", "page", "round"))
         merged = checkpoint(parsing.parse_replies(asked, ["user_id", "user_profile"]))
         split = merged.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("user")
         whole = merged.join(split, "user", "left_anti")
@@ -84,7 +90,7 @@ def merge_descriptions(
 
 def fictional_profiles(spark: SparkSession, run: Run, n: int, seed: int = 42, template: str = templates.FICTIONAL_PROFILE) -> DataFrame:
     """The same prompt ``n`` times with different seeds; equal prompts stay separate rows."""
-    return run(constant_prompts(spark, template, n, seed))
+    return ask(run, constant_prompts(spark, template, n, seed))
 
 
 def profile_interest(
@@ -100,7 +106,7 @@ def profile_interest(
         template, ("TEMPLATE_ITEM_DESCRIPTION", c("item_description")), ("TEMPLATE_USER_NAME", c("user_id")),
         ("TEMPLATE_USER_PROFILE", c("user_profile")), ("TEMPLATE_ITEM_TYPE", kind), ("TEMPLATE_TOPIC", topic))
     rows = with_prompt(pairs.withColumn("dataset", F.lit(dataset)), prompt, "user_id", "item_no")
-    return run(rows.withColumn("user_name", c("user_id")))
+    return ask(run, rows.withColumn("user_name", c("user_id")))
 
 
 def fictional_interactions(
@@ -114,7 +120,7 @@ def fictional_interactions(
     prompt = text.fill_template(
         template, ("TEMPLATE_TOPIC", topic), ("TEMPLATE_USER_INTERACTIONS", text.numbered(c("history"))),
         ("TEMPLATE_CANDIDATE_NEWS_ARTICLE", c("candidate")), ("TEMPLATE_CANDIDATE_ITEM", c("candidate")))
-    return run(with_prompt(made, prompt, "history_id"))
+    return ask(run, with_prompt(made, prompt, "history_id"))
 
 
 def interest_to_sft(
@@ -144,7 +150,7 @@ def personal_answers(
     prompt = text.fill_template(
         template, ("TEMPLATE_USER_PROFILE", c("user_profile")), ("TEMPLATE_QUESTION", c("question")),
         ("TEMPLATE_REFERENCE_ANSWER", c("reference_answer")))
-    return run(with_prompt(pairs, prompt, "ord", "position"))
+    return ask(run, with_prompt(pairs, prompt, "ord", "position"))
 
 
 def question_answers(
@@ -152,8 +158,8 @@ def question_answers(
     people: int = 0, seed=42, template: str | None = None,
 ) -> DataFrame:
     """Sampled questions of one intent and language, plain or for each of the sampled profiles."""
-    asked = questions.where((c("user_intent") == intent) & (c("language") == language))
-    asked = hash_sample(asked, seed, ["ord"], most).drop("position")
+    asked = counted(questions, "questions").where((c("user_intent") == intent) & (c("language") == language))
+    asked = counted(hash_sample(counted(asked, "questions of the intent"), seed, ["ord"], most), "sampled questions").drop("position")
     keys = ["ord"]
     fields = [("TEMPLATE_QUESTION", c("question"))]
     if profiles is not None:
@@ -162,13 +168,13 @@ def question_answers(
         keys.append("user_id")
         fields = [("TEMPLATE_USER_NAME", c("user_id")), ("TEMPLATE_USER_PROFILE", c("user_profile")), *fields]
     template = template or (templates.QUESTION if profiles is None else templates.QUESTION_FOR_USER)
-    return run(with_prompt(asked, text.fill_template(template, *fields), *keys))
+    return ask(run, with_prompt(asked, text.fill_template(template, *fields), *keys))
 
 
 def finetuned_answers(rows: DataFrame, run: Run, most: int = 0, seed=42) -> DataFrame:
     """System prompt and question in one prompt; all rows unless ``most`` is positive."""
     rows = sampling.sample_if_positive(rows, seed, ["ord"], most)
-    return run(with_prompt(rows, F.concat("system_prompt", F.lit("\n"), "question"), "ord"))
+    return ask(run, with_prompt(rows, F.concat("system_prompt", F.lit("\n"), "question"), "ord"))
 
 
 def judge(
@@ -179,7 +185,7 @@ def judge(
     template = template or (templates.GRADE_BY_PROFILE if with_profile else templates.GRADE_BY_REFERENCE)
     rows = grading.with_rubric(answers, rubric_table, strict)
     asked = with_prompt(rows, grading.grading_prompt(template, with_profile), key).withColumnRenamed("response", "answer")
-    scored = run(asked.drop("rubric")).withColumn("scores", replies.judge_scores(c("response")))
+    scored = ask(run, asked.drop("rubric")).withColumn("scores", replies.judge_scores(c("response")))
     return scored.withColumn("overall", replies.overall_score(c("scores")))
 
 
@@ -258,7 +264,7 @@ def _ask_author(rows: DataFrame, people: DataFrame, run: Run, template: str) ->
     prompt = text.fill_template(template, ("TEMPLATE_USER_NAME", c("user")), ("TEMPLATE_USER_PROFILE", c("user_profile")),
                                 ("TEMPLATE_TWEETS", listed))
     asked = with_prompt(rows.join(people, "profile_id"), prompt, "profile_id", "other", "batch", "truth", "tweets")
-    answered = parsing.parse_replies(run(asked), ["IsFromUser"])
+    answered = parsing.parse_replies(ask(run, asked), ["IsFromUser"])
     return answered.withColumn("said", parsing.flag(c("parsed"), "IsFromUser")).drop("parsed")
 
 
@@ -268,7 +274,7 @@ def profile_questions(rows: DataFrame, run: Run, most: int, seed=42, template: s
     prompt = text.fill_template(template, ("TEMPLATE_USER_NAME", c("user_name")), ("TEMPLATE_USER_PROFILE", c("user_profile")),
                                 ("TEMPLATE_QUESTION", c("question")))
     asked = with_prompt(hash_sample(rows, seed, ["ord"], most), prompt, "ord")
-    return parsing.parse_replies(run(asked), ["Answer"]).withColumn("said", c("parsed.Answer")).drop("parsed")
+    return parsing.parse_replies(ask(run, asked), ["Answer"]).withColumn("said", c("parsed.Answer")).drop("parsed")
 
 
 def _answer_columns(questions: DataFrame) -> DataFrame:
@@ -281,7 +287,7 @@ def perspectives_of_first(profiles: DataFrame, questions: DataFrame, run: Run, n
     people = position_in_group(profiles.select("ord", "user_profile"), [], "ord").drop("ord")
     pairs = pairing.pair_with_first(_answer_columns(questions).drop("position"), people, n)
     prompt = text.fill_template(template, ("TEMPLATE_USER_PROFILE", c("user_profile")), ("TEMPLATE_QUESTION", c("question")))
-    return run(with_prompt(pairs, prompt, "ord", "position"))
+    return ask(run, with_prompt(pairs, prompt, "ord", "position"))
 
 
 def perspectives_of_related(
@@ -296,7 +302,7 @@ def perspectives_of_related(
         annotation = parsing.parse_replies(annotation, ["MatchUserProfile"]).where(c("parsed.MatchUserProfile") == "YES")
     pairs = pairing.related_profiles(_answer_columns(questions), annotation, n, cap, seed)
     prompt = text.fill_template(template, ("TEMPLATE_USER_PROFILE", c("user_profile")), ("TEMPLATE_QUESTION", c("question")))
-    return run(with_prompt(pairs, prompt, "ord", "user_profile"))
+    return ask(run, with_prompt(pairs, prompt, "ord", "user_profile"))
 
 
 def repeated_answers(
@@ -310,7 +316,7 @@ def repeated_answers(
         "seed": F.lit(seed) + c("sample_idx") * total + c("position"),
         "sampling_temperature": F.coalesce(F.lit(temperature).cast("double"), F.lit(float(model_temperature))),
     })
-    return run(with_prompt(rows, text.fill_template(template, ("TEMPLATE_QUESTION", c("question"))), "ord", "sample_idx"))
+    return ask(run, with_prompt(rows, text.fill_template(template, ("TEMPLATE_QUESTION", c("question"))), "ord", "sample_idx"))
 
 
 def aggregate_answers(
