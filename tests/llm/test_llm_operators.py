@@ -224,6 +224,26 @@ def test_mix(docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.training_order(nothing).count() == 0
 
 
+def test_training_order_keeps_every_column_of_rows_told_apart_by_them(spark):
+    rows = [(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (1, "a b c", "s", "y"), (2, "d e", "t", None), (3, None, "t", "z"), (3, "", "t", "z")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, source string, name string")
+    found = collections.Counter(tuple(r) for r in mixing.training_order(data).collect())
+    assert set(found) == {rows[0], rows[1], rows[3]}
+    assert found[rows[1]] >= found[rows[0]]
+    again = collections.Counter(tuple(r) for r in mixing.training_order(data.repartition(3)).collect())
+    assert again == found
+    only = data.select("doc_id", "text", "source")
+    assert mixing.training_order(only).columns == only.columns
+
+
+def test_the_labelled_sample_is_bounded_in_documents(spark):
+    many = spark.range(3000).selectExpr("if(id < 2900, 7, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(3000).selectExpr("if(id < 2900, 7, id) AS doc_id", "cast(id % 2 AS int) AS toxic").distinct()
+    assert toxicity.labelled_sample(many, labels, "doc_id", "text", 5).groupBy("toxic").count().where("count > 5").count() == 0
+    gone = toxicity.without_toxic(many.limit(0), labels)
+    assert gone.count() == 0 and gone.columns == many.columns
+
+
 def test_schedule_is_inverted(spark):
     knots = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(w).alias("weight")) for a, w in [(0.0, 1.0), (0.5, 3.0), (1.0, 0.0)]])
     shares = [0.0, 0.1, 0.4, 0.5714285714, 0.8, 0.99, 1.0]

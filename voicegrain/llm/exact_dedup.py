@@ -131,7 +131,11 @@ def verdicts(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns. Only rows that may go meet the list of those that go."""
+    """The rows of ``docs`` that stay, with its columns. Only rows that may go meet the list of those that go.
+
+    Null texts count as empty, and all texts that are empty but for white space are one group. Rows that are equal in
+    every column are a group too, of which one stays; an empty table gives no rows.
+    """
     content, placed = dedup_exact(docs, **options)
     gone = stored(placed.where(~F.col("kept")).select("row"))
     flagged = with_maybe(content.select("row", "doc"), "row", bit_set(gone, "row"), "_maybe")

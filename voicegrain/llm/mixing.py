@@ -121,16 +121,19 @@ def assign(
     }).drop("_copies", "curve")
 
 
-def narrow(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``doc_id, source, words, name``; ``name`` stands for a row's id, source and text. Stored, so words are counted once."""
+def narrow(docs: DataFrame, key: str, text: str, source: str, name: Column) -> DataFrame:
+    """``doc_id, source, words, name`` of each row. Stored, so words are counted once."""
     return stored(docs.select(
         F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
-        n_words(F.col(f"`{text}`")).alias("words"), name_of(key, text, source).alias("name"),
+        n_words(F.col(f"`{text}`")).alias("words"), name.alias("name"),
     ))
 
 
-def name_of(key: str, text: str, source: str) -> Column:
+def name_of(key: str, text: str, source: str, others: list[str] = ()) -> Column:
+    """What tells a row from others: its id, source and text, and its ``others`` columns."""
     parts = [F.col(f"`{key}`").cast("string"), F.col(f"`{source}`").cast("string"), F.sha2(text_of(F.col(f"`{text}`")), 256)]
+    if others:
+        parts.append(F.to_json(F.struct(F.col(f"`{text}`").isNull().alias("_no_text"), *[F.col(f"`{c}`") for c in others])))
     return F.sha2(F.to_json(F.array(*parts)), 256)
 
 
@@ -139,7 +142,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     A null text has no words. Null and repeated ids are rows of their own; other columns are left out.
     """
-    placed = assign(narrow(docs, key, text, source), ["name"], F.col("words"), **options)
+    placed = assign(narrow(docs, key, text, source, name_of(key, text, source)), ["name"], F.col("words"), **options)
     # documents that are not taken come after all positions, spread by their hash
     behind = 1 + F.pmod(F.xxhash64("name"), F.lit(1 << 20)) / (1 << 20)
     placed = placed.withColumn("_first", F.coalesce(F.get("positions", 0), behind))
@@ -153,13 +156,15 @@ def training_order(
 ) -> DataFrame:
     """The rows of ``docs``, one for each copy taken (whole texts), range-sorted by training position.
 
-    Keeps the columns of ``docs`` only; other names cannot clash, as they travel in one struct. Rows of equal id,
-    source and text are taken for the same row, repeated.
+    Keeps the columns of ``docs`` only; other names cannot clash, as they travel in one struct. Rows that
+    are equal in every column are taken for the same row, repeated. Null and empty texts have no words and are never taken; an
+    empty table gives no rows.
     """
-    placed = assign(narrow(docs, key, text, source), ["name"], F.col("words"), **options)
+    name = name_of(key, text, source, [c for c in docs.columns if c not in (key, text, source)])
+    placed = assign(narrow(docs, key, text, source, name), ["name"], F.col("words"), **options)
     copies = stored(placed.select("name", "doc_id", F.explode("positions").alias("_at")))
     whole = docs.select(
-        name_of(key, text, source).alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+        name.alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     ).groupBy("name").agg(F.any_value("_doc").alias("_doc"))
     rows = whole.join(copies, "name").select("_doc", "doc_id", "_at")
     return rows.repartitionByRange("_at").sortWithinPartitions("_at", F.asc_nulls_last("doc_id")).select("_doc.*")

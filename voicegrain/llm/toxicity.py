@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.llm.shared import bounded_batches, stored, text_of
+from voicegrain.operators.ranking import top_k
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 18
@@ -60,7 +61,7 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, per_class: int) -> DataFrame:
-    """``text, toxic`` of at most ``per_class`` documents of each class outside the held-out part."""
+    """``text, toxic`` of at most ``per_class`` documents of each class outside the held-out part, however many share an id."""
     known = labels.select(F.col(key).alias("_id"), F.col("toxic")).where(
         "toxic is not null and _id is not null"
     ).groupBy("_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out("_id"))
@@ -71,7 +72,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, per
     found = docs.select(F.col(f"`{key}`").alias("_id"), text_of(F.col(f"`{text}`")).alias("text")).join(
         F.broadcast(picks), "_id"  # bounded by per_class
     )
-    return stored(found.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")).repartition(8))
+    classed = found.withColumn("toxic", (F.col("toxic") == 1).cast("int"))
+    first = top_k(classed, ["toxic"], [*order, F.xxhash64("text"), "text"], per_class)
+    return stored(first.select("text", "toxic").repartition(8))
 
 
 def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +175,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject.
+
+    Null texts are scored as empty ones. Null and repeated ids are rows of their own; an empty table gives no rows.
+    Labels count as in ``judge``.
+    """
     model = fit(docs, labels, key, text, **options)
     return docs.where(score(model, F.col(f"`{text}`")) < 0.5)
