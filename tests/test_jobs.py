@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicegrain.operators import grading, inference
-from voicegrain.plans import jobs
+from voicegrain.plans import evaluation, jobs
 from voicegrain.plans.counts import counting
 from voicegrain.registry import views
 from voicegrain.sources import sinks, tables
@@ -188,3 +188,25 @@ def test_stages_are_counted_without_a_job(spark, data):
     none.collect()
     with pytest.raises(ValueError, match="too few rows"):
         counts.check()
+
+
+def test_evaluations_keep_records_and_totals(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "yes", "YES sir"), (2, "a", "no", "YES"), (3, "b", "no", "NO"), (4, "b", "yes", "maybe"), (5, None, "yes", "no")],
+        "id int, source string, answer string, response string")
+    found = evaluation.yes_no(rows, ["source"])
+    records = {r.id: (r.prediction, r.target, r.is_right, r.response) for r in found.records.collect()}
+    assert records[1] == ("YES", "YES", True, "YES sir") and records[2][:3] == ("YES", "NO", False) and records[4][:3] == (None, "YES", None)
+    got = {(r.source, r.is_total): (r.num_samples, r.true_positives, r.accuracy) for r in found.metrics.collect()}
+    assert got == {("a", False): (2, 1, 0.5), ("b", False): (2, 0, 1.0), (None, False): (1, 0, 0.0), (None, True): (5, 1, 0.5)}
+    assert evaluation.yes_no(rows).metrics.first().is_total
+    listed = evaluation.lists(spark.createDataFrame([("x", "['y', 'x']"), ("x", "none")], "target string, response string"))
+    assert sorted((r.place or 0, r.response) for r in listed.records.collect()) == [(0, "none"), (2, "['y', 'x']")]
+    assert listed.metrics.first().hit_rate_at_top_5 == 1.0
+    rated = evaluation.ratings(spark.createDataFrame([(4.0, "(3 stars, 50%)", "u"), (4.0, "?", "v")], "target double, response string, user string"), ["user"])
+    assert {(r.user, r.error) for r in rated.records.collect()} == {("u", 1.0), ("v", None)}
+    assert {(r.user, r.is_total): r.num_valid for r in rated.metrics.collect()} == {("u", False): 1, ("v", False): 0, (None, True): 1}
+    ranking = spark.createDataFrame([("B", "['A', 'B']", "h"), ("Z", "['A', 'B']", "h")], "target string, candidates string, interaction_history string")
+    played = evaluation.rounds(ranking, lambda: lambda prompts: ["B" for _ in prompts], n=2, by=["interaction_history"])
+    assert all(r.recommendations == ["B"] and len(r.prompts) == len(r.responses) == 2 for r in played.records.collect())
+    assert {(r.is_total, r.num_samples, r.hit_rate_at_top_5) for r in played.metrics.collect()} == {(False, 2, 0.5), (True, 2, 0.5)}

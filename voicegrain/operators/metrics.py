@@ -9,11 +9,22 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def yes_no_metrics(df: DataFrame, predicted: str, target: str, by: list[str] = ()) -> DataFrame:
+def aggregated(df: DataFrame, by: list[str], total: bool, *columns: Column) -> DataFrame:
+    """One aggregate by ``by``; with ``total`` also over all rows, in one pass, marked by ``is_total``."""
+    if not total:
+        return df.groupBy(*by).agg(*columns)
+    if not by:
+        return df.agg(*columns).withColumn("is_total", F.lit(True))
+    keys = [F.col(name) for name in by]
+    return df.groupingSets([keys, []], *keys).agg(*columns, (F.grouping_id() > 0).alias("is_total"))
+
+
+def yes_no_metrics(df: DataFrame, predicted: str, target: str, by: list[str] = (), total: bool = False) -> DataFrame:
     """Confusion counts and rates for YES. A wrong YES is a false positive and a wrong NO a false
     negative, whatever the target says."""
     said, right = F.col(predicted), F.col(predicted) == F.coalesce(F.col(target), F.lit(""))
-    counts = df.groupBy(*by).agg(
+    counts = aggregated(
+        df, by, total,
         F.count(F.lit(1)).alias("num_samples"),
         F.count(said).alias("_valid"),
         F.count_if((said == "YES") & right).alias("true_positives"),
@@ -39,34 +50,42 @@ def hit(items: Column, target: Column, k: int) -> Column:
     return F.coalesce(F.array_contains(F.slice(items, 1, k), target), F.lit(False)).cast("int")
 
 
-def list_metrics(df: DataFrame, items: str, target: str, reply: str, by: list[str] = ()) -> DataFrame:
-    """Hit rates over rows whose list parsed, the share of such rows, and the mean reply length."""
+def list_metrics(
+    df: DataFrame, items: str, target: str, reply: str, by: list[str] = (), total: bool = False, **more: Column
+) -> DataFrame:
+    """Hit rates over rows whose list parsed, the share of such rows, the mean reply length, and ``more`` aggregates."""
     parsed = F.col(items).isNotNull()
     rates = {
         f"hit_rate_at_top_{k}": F.coalesce(F.avg(F.when(parsed, hit(F.col(items), F.col(target), k))), F.lit(0.0))
         for k in (5, 10)
     }
-    return df.groupBy(*by).agg(
+    return aggregated(
+        df, by, total,
         F.count(F.lit(1)).alias("num_samples"),
         F.avg(F.length(reply)).alias("avg_response_length"),
         *[column.alias(name) for name, column in rates.items()],
         F.avg(parsed.cast("int")).alias("valid_response_rate"),
+        *[column.alias(name) for name, column in more.items()],
     )
 
 
-def iterative_metrics(df: DataFrame, items: str, target: str, by: list[str] = ()) -> DataFrame:
+def iterative_metrics(df: DataFrame, items: str, target: str, by: list[str] = (), total: bool = False) -> DataFrame:
     """Hit rates and mean number of recommendations over all rows."""
-    return df.groupBy(*by).agg(
+    return aggregated(
+        df, by, total,
         F.count(F.lit(1)).alias("num_samples"),
         *[F.avg(hit(F.col(items), F.col(target), k)).alias(f"hit_rate_at_top_{k}") for k in (5, 10)],
         F.avg(F.size(items)).alias("avg_recommendations_per_sample"),
     )
 
 
-def rating_metrics(df: DataFrame, stars: str, confidence: str, target: str, by: list[str] = ()) -> DataFrame:
+def rating_metrics(
+    df: DataFrame, stars: str, confidence: str, target: str, by: list[str] = (), total: bool = False
+) -> DataFrame:
     """Mean absolute rating error, and the same weighted by confidence, over rows that parsed."""
     error = F.abs(F.col(target) - F.col(stars))
-    return df.groupBy(*by).agg(
+    return aggregated(
+        df, by, total,
         F.count(F.lit(1)).alias("num_samples"), F.count(F.col(stars)).alias("num_valid"),
         F.avg(error).alias("average_prediction_error"),
         ratio(F.sum(error * F.col(confidence)), F.sum(F.when(F.col(stars).isNotNull(), F.col(confidence))))

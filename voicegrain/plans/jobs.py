@@ -18,6 +18,8 @@ from voicegrain.operators import (
 )
 from voicegrain.operators.post_store import write_store
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
+from voicegrain.operators.once import compute_once
+from voicegrain.plans import evaluation
 from voicegrain.plans.counts import counted
 from voicegrain.session import checkpoint
 from voicegrain.sources.tables import constant_prompts, ranking_columns, yes_no_columns
@@ -352,18 +354,14 @@ def score_yes_no(rows: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def score_lists(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """Metrics of stored list replies: ``target, response``."""
-    return metrics.list_metrics(rows.withColumn("items", replies.list_reply(c("response"))), "items", "target", "response", by)
+    return metrics.list_metrics(compute_once(rows, "items", replies.list_reply(c("response"))), "items", "target", "response", by)
 
 
 def score_ratings(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """Metrics of stored rating replies: ``target, response``."""
-    stars, share = replies.rating(c("response"))
-    return metrics.rating_metrics(rows.withColumns({"stars": stars, "confidence": share}), "stars", "confidence", "target", by)
+    return metrics.rating_metrics(evaluation.with_rating(rows), "stars", "confidence", "target", by)
 
 
 def recommend_and_score(rows: DataFrame, make_model, rounds: int = 10, by: list[str] = ()) -> DataFrame:
-    """Recommendations round by round, then their metrics; candidates may be a list literal."""
-    rows = ranking_columns(rows)
-    if rows.schema["candidates"].dataType.typeName() == "string":
-        rows = rows.withColumn("candidates", replies.string_list(c("candidates")))
-    return metrics.iterative_metrics(inference.recommend_in_rounds(rows, make_model, rounds), "recommendations", "target", by)
+    """Metrics of recommendations round by round; ``evaluation.rounds`` keeps the records too."""
+    return evaluation.rounds(rows, make_model, rounds, by).metrics.where("is_total" if not by else "not is_total").drop("is_total")

@@ -379,6 +379,9 @@ ORACLES = {
       SELECT [1, 5, 10][ord % 3 + 1]::BIGINT AS k, intent, CASE WHEN ord % 12 BETWEEN 1 AND 10 THEN ord % 12 END AS overall FROM answers)
       GROUP BY GROUPING SETS ((k, intent), (k))"""),
     "yesno_metrics": select("yesno", rates(), said="SELECT * FROM yesno"),
+    "evaluation_records": select("yesno", "SELECT doc_id, source, said AS prediction, target, said = target AS is_right FROM yesno JOIN documents USING (doc_id)"),
+    "evaluation_totals": select("yesno", rates("source, is_total"), said="""SELECT y.*, source, false AS is_total FROM yesno y JOIN documents USING (doc_id)
+      UNION ALL SELECT *, NULL, true FROM yesno"""),
     "hit_rates": select("ranking", """SELECT task, count(*) AS num_samples, round(avg(length(response)), 6) AS avg_response_length,
       round(coalesce(avg(list_contains(candidates[1:5], target)::INT) FILTER (WHERE lot > 0), 0), 6) AS hit_rate_at_top_5,
       round(coalesce(avg(list_contains(candidates[1:10], target)::INT) FILTER (WHERE lot > 0), 0), 6) AS hit_rate_at_top_10,

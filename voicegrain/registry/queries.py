@@ -10,8 +10,10 @@ from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC,
 from voicegrain.operators import (
     batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft, vector_index,
 )
+from voicegrain.operators.once import compute_once
 from voicegrain.operators.post_store import write_store
 from voicegrain.operators.ranking import hash_positions, hash_sample, position_in_group
+from voicegrain.plans import evaluation
 from voicegrain.registry import views
 from voicegrain.session import checkpoint, shared_folder
 from voicegrain.sources import sinks, tables
@@ -464,16 +466,28 @@ def yesno_metrics(spark, folder) -> DataFrame:
     return rounded(metrics.yes_no_metrics(_said(spark, folder), "said", "target"), ROUNDED)
 
 
+def _evaluated(spark, folder) -> evaluation.Evaluation:
+    return evaluation.yes_no(tables.yes_no_columns(views.yesno_eval(spark, folder)).drop("question"), ["source"])
+
+
+def evaluation_records(spark, folder) -> DataFrame:
+    return _evaluated(spark, folder).records.select("doc_id", "source", "prediction", "target", "is_right")
+
+
+def evaluation_totals(spark, folder) -> DataFrame:
+    return rounded(_evaluated(spark, folder).metrics, ROUNDED)
+
+
 def hit_rates(spark, folder) -> DataFrame:
     rows = views.ranking_eval(spark, folder).withColumn("task", F.when(c("o_orderkey") % 2 == 0, "direct").otherwise("sequential"))
     lot = c("o_orderkey") % 5
     listed = F.concat(F.lit("['"), F.array_join(F.slice("candidates", 1, 10), "', '"), F.lit("']"))
     reply = F.when(lot == 0, "nothing fits").when(lot == 1, F.concat(F.lit("> thinking [x] assistantfinal "), listed)).otherwise(listed)
-    rows = rows.withColumn("response", reply).withColumn("items", replies.list_reply(c("response")))
+    rows = compute_once(rows.withColumn("response", reply), "items", replies.list_reply(c("response")))
     rows = rows.withColumn("first_match", replies.match_item(F.upper(F.element_at("candidates", 3)), c("candidates")))
-    out = metrics.list_metrics(rows, "items", "target", "response", ["task"])
-    matched = rows.groupBy("task").agg(F.count_if(c("first_match") == c("candidates")[2]).alias("n_matched"))
-    return rounded(out.join(matched, "task"), ["avg_response_length", "hit_rate_at_top_5", "hit_rate_at_top_10", "valid_response_rate"])
+    matched = F.count_if(c("first_match") == c("candidates")[2])
+    out = metrics.list_metrics(rows, "items", "target", "response", ["task"], n_matched=matched)
+    return rounded(out, ["avg_response_length", "hit_rate_at_top_5", "hit_rate_at_top_10", "valid_response_rate"])
 
 
 def last_candidate_model():
@@ -494,8 +508,7 @@ def rating_error(spark, folder) -> DataFrame:
     pair = F.concat(F.lit("("), stars, F.lit(" stars, "), share, F.lit("%)"))
     reply = F.when(lot == 0, "unsure").when(lot == 1, F.concat(F.lit("(a) assistantfinal "), pair)).otherwise(F.concat(F.lit("I say "), pair))
     rows = views.table(spark, folder, "lineitem").withColumns({"response": reply, "target": (c("l_partkey") % 5 + 1).cast("double")})
-    s, p = replies.rating(c("response"))
-    out = metrics.rating_metrics(rows.withColumns({"stars": s, "confidence": p}), "stars", "confidence", "target", ["l_returnflag"])
+    out = metrics.rating_metrics(evaluation.with_rating(rows), "stars", "confidence", "target", ["l_returnflag"])
     return rounded(out, ["average_prediction_error", "weighted_average_prediction_error"])
 
 
@@ -547,6 +560,6 @@ QUERIES = {f.__name__: f for f in (
     questions_from_json, interest_clean, sft_pairs, sft_split, sft_format,
     author_self_positives, author_user_negatives, author_post_negatives, author_useful_only, author_accuracy,
     profile_qa_accuracy, perspective_first_n, perspective_related, perspective_repeat, answers_by_k,
-    answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, hit_rates, iterative_hits,
+    answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, evaluation_records, evaluation_totals, hit_rates, iterative_hits,
     rating_error, variant_f1, metrics_history, semantic_profiles, semantic_recall,
 )}
