@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voicegrain.functions import json_replies, replies, text
-from voicegrain.operators import grading, parsing
+from voicegrain.operators import grading, parsing, scrubbing
 
 
 def values(spark, rows, expression, name="t"):
@@ -91,9 +91,12 @@ def test_summary_answer(spark):
 
 
 def test_scrub_counts_each_kind(spark):
-    out = text.scrub(F.col("t"))
-    got = values(spark, ["see http://a.b/c?x=1 @joe me@x.org +44 1234 567 890"], F.struct(*[e.alias(n) for n, e in out.items()]))
-    assert tuple(got[0]) == ("see [URL] [HANDLE] [EMAIL] [PHONE]", 1, 1, 1, 1)
+    rows = spark.createDataFrame([("see http://a.b/c?x=1 @joe me@x.org +44 1234 567 890",), (None,), ("",)], "t string")
+    out = scrubbing.scrub(rows, "t")
+    got = {r.t: (r.scrubbed, r.n_url, r.n_email, r.n_phone, r.n_handle) for r in out.collect()}
+    assert got == {rows.first().t: ("see [URL] [HANDLE] [EMAIL] [PHONE]", 1, 1, 1, 1), None: (None,) * 5, "": ("", 0, 0, 0, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 4  # each kind is replaced once
 
 
 REPLIES = [

@@ -109,12 +109,3 @@ SCRUB_PATTERNS = [
     ("phone", r"\+?[0-9][0-9() .-]{7,}[0-9]", "[PHONE]"),
     ("handle", r"@[A-Za-z0-9_.]+", "[HANDLE]"),
 ]
-
-
-def scrub(text: Column) -> dict[str, Column]:
-    """Remove URLs, e-mail addresses, phone numbers and handles; count each kind."""
-    out = {}
-    for kind, pattern, mark in SCRUB_PATTERNS:
-        out[f"n_{kind}"] = F.regexp_count(text, F.lit(pattern)).cast("bigint")
-        text = F.regexp_replace(text, pattern, mark)
-    return {"scrubbed": text, **out}

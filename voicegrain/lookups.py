@@ -41,6 +41,12 @@ DEFAULT_TOPIC = "items"
 DEFAULT_ITEM_TYPE = "Item"
 DEFAULT_ATTRIBUTES = ["title"]
 
+
+def topic_of(dataset: str) -> tuple[str, str]:
+    """Topic and item type of an item catalogue, those for any catalogue where it is not known."""
+    return DATASET_TOPICS.get(dataset, (DEFAULT_TOPIC, DEFAULT_ITEM_TYPE))
+
+
 # Display labels of item attributes.
 ATTRIBUTE_LABELS = {
     "title": "Title",

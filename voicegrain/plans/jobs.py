@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voicegrain import templates
 from voicegrain.functions import json_replies, replies, text
-from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC, PASS_THROUGH_PROMPT, SCORED_INTENTS
+from voicegrain.lookups import PASS_THROUGH_PROMPT, SCORED_INTENTS, topic_of
 from voicegrain.operators import (
     batching, grading, inference, metrics, pairing, parsing, sampling, sft,
 )
@@ -103,7 +103,7 @@ def profile_interest(
     end = F.lit(True) if most is None else c("ord") < start + most
     pool = hash_positions(items.select("item_id", "item_description"), seed, ["item_id"])
     pairs = pairing.pair_with_items(profiles.where((c("ord") >= start) & end), pool, per_profile, seed)
-    topic, kind = DATASET_TOPICS.get(dataset, (DEFAULT_TOPIC, DEFAULT_ITEM_TYPE))
+    topic, kind = topic_of(dataset)
     prompt = text.fill_template(
         template, ("TEMPLATE_ITEM_DESCRIPTION", c("item_description")), ("TEMPLATE_USER_NAME", c("user_id")),
         ("TEMPLATE_USER_PROFILE", c("user_profile")), ("TEMPLATE_ITEM_TYPE", kind), ("TEMPLATE_TOPIC", topic))
@@ -118,7 +118,7 @@ def fictional_interactions(
     """Random histories and candidates of one catalogue, judged by the model."""
     pool = hash_positions(items.select("item_id", "item_description"), seed, ["item_id"])
     made = pairing.synthetic_histories(spark.range(n).withColumnRenamed("id", "history_id"), pool, low, high, seed)
-    topic = DATASET_TOPICS.get(dataset, (DEFAULT_TOPIC, DEFAULT_ITEM_TYPE))[0]
+    topic = topic_of(dataset)[0]
     prompt = text.fill_template(
         template, ("TEMPLATE_TOPIC", topic), ("TEMPLATE_USER_INTERACTIONS", text.numbered(c("history"))),
         ("TEMPLATE_CANDIDATE_NEWS_ARTICLE", c("candidate")), ("TEMPLATE_CANDIDATE_ITEM", c("candidate")))

@@ -379,6 +379,19 @@ ORACLES = {
       SELECT [1, 5, 10][ord % 3 + 1]::BIGINT AS k, intent, CASE WHEN ord % 12 BETWEEN 1 AND 10 THEN ord % 12 END AS overall FROM answers)
       GROUP BY GROUPING SETS ((k, intent), (k))"""),
     "yesno_metrics": select("yesno", rates(), said="SELECT * FROM yesno"),
+    "item_matches": select("ranking", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN (SELECT first(x ORDER BY i) FROM (
+        SELECT unnest(candidates) AS x, generate_subscripts(candidates, 1) AS i) WHERE lower(x) = lower(candidates[4]))
+      WHEN o_orderkey % 4 = 2 THEN list_filter(candidates, lambda x: contains(x, trim(substr(candidates[4], 2, 5))))[1] END AS item FROM ranking"""),
+    "attached_replies": select("posts", f"""SELECT prompt_id, "user", n_chars, CASE WHEN n % 7 = 0 THEN
+        '[ERROR: Generation skipped due to recoverable vLLM error]' WHEN n % 11 = 0 THEN '[ERROR: Empty response after inference]'
+        ELSE '{{"UsefulInformation": ' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || '}}' END AS response,
+      CASE WHEN n % 7 = 0 THEN 'error' WHEN n % 11 = 0 THEN 'empty' ELSE 'ok' END AS status
+      FROM (SELECT post_id AS prompt_id, "user", length(tweet) AS n_chars, length({USEFUL_PROMPT}) AS n FROM posts)"""),
+    "results_written": select("yesno", "SELECT doc_id, md5(text) AS digest, coalesce(said, 'none') AS said FROM yesno JOIN documents USING (doc_id)"),
+    "splits_written": select("pairs", f"""SELECT user_id, answer,
+      CASE WHEN row_number() OVER (ORDER BY {h(SEED, 'user_id', 'answer')}) <= round_even(0.9 * count(*) OVER (), 0) THEN 'train' ELSE 'test' END AS split
+      FROM pairs"""),
+    "first_profiles": select("profiles", "SELECT ord, user_id, user_profile FROM profiles ORDER BY ord LIMIT 30"),
     "evaluation_records": select("yesno", "SELECT doc_id, source, said AS prediction, target, said = target AS is_right FROM yesno JOIN documents USING (doc_id)"),
     "evaluation_totals": select("yesno", rates("source, is_total"), said="""SELECT y.*, source, false AS is_total FROM yesno y JOIN documents USING (doc_id)
       UNION ALL SELECT *, NULL, true FROM yesno"""),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voicegrain import templates
+from voicegrain import schemas, templates
 from voicegrain.functions import json_replies, replies, text
-from voicegrain.lookups import DATASET_TOPICS, DEFAULT_ITEM_TYPE, DEFAULT_TOPIC, PASS_THROUGH_PROMPT
+from voicegrain.lookups import DATASET_TOPICS, PASS_THROUGH_PROMPT, topic_of
 from voicegrain.operators import (
-    batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, sft, vector_index,
+    batching, grading, inference, metrics, pairing, parsing, retrieval, sampling, scrubbing, sft, vector_index,
 )
 from voicegrain.operators.once import compute_once
 from voicegrain.operators.post_store import write_store
@@ -157,12 +157,12 @@ def user_descriptions(spark, folder) -> DataFrame:
 
 
 def profile_scrub(spark, folder) -> DataFrame:
-    return views.posts(spark, folder).select("post_id", *[e.alias(n) for n, e in text.scrub(c("tweet")).items()])
+    return scrubbing.scrub(views.posts(spark, folder).select("post_id", "tweet"), "tweet").drop("tweet")
 
 
 def constant_prompts(spark, folder) -> DataFrame:
-    people = position_in_group(views.table(spark, folder, "customer").select("c_custkey"), [], "c_custkey", "prompt_id")
-    return people.select("prompt_id", F.lit(templates.FICTIONAL_PROFILE).alias("prompt"), (c("prompt_id") + SEED).alias("seed"))
+    people = views.table(spark, folder, "customer").count()
+    return tables.constant_prompts(spark, templates.FICTIONAL_PROFILE, people, SEED)
 
 
 def profile_item_pairs(spark, folder) -> DataFrame:
@@ -225,7 +225,7 @@ def sft_cut(spark, folder) -> DataFrame:
 
 
 def default_topic_prompts(spark, folder) -> DataFrame:
-    topic, kind = DATASET_TOPICS.get("a catalogue of our own", (DEFAULT_TOPIC, DEFAULT_ITEM_TYPE))
+    topic, kind = topic_of("a catalogue of our own")
     return views.pool(spark, folder).select("item_id", text.fill_template(
         templates.INTEREST, ("TEMPLATE_ITEM_DESCRIPTION", c("item_description")), ("TEMPLATE_USER_NAME", F.lit("u")),
         ("TEMPLATE_USER_PROFILE", F.lit("p")), ("TEMPLATE_ITEM_TYPE", kind), ("TEMPLATE_TOPIC", topic)).alias("prompt"))
@@ -263,8 +263,12 @@ def interest_clean(spark, folder) -> DataFrame:
 
 
 def _sft_pairs(spark, folder) -> DataFrame:
+    return _pairs_of(sft.clean_interest(views.interest_replies(spark, folder)))
+
+
+def _pairs_of(cleaned: DataFrame) -> DataFrame:
     return sft.build_pairs(
-        sft.clean_interest(views.interest_replies(spark, folder)), ["row_key"], sampling.history_bounds("netflix", {"netflix": (1, 100)}),
+        cleaned, ["row_key"], sampling.history_bounds("netflix", {"netflix": (1, 100)}),
         "netflix", "base", templates.RECOMMENDER_SYSTEM, templates.RECOMMENDER_USER, SEED)
 
 
@@ -466,6 +470,45 @@ def yesno_metrics(spark, folder) -> DataFrame:
     return rounded(metrics.yes_no_metrics(_said(spark, folder), "said", "target"), ROUNDED)
 
 
+def item_matches(spark, folder) -> DataFrame:
+    """Replies that are an item, hold one, or are part of one."""
+    rows = views.ranking_eval(spark, folder)
+    item = F.element_at("candidates", 4)
+    reply = F.when(c("o_orderkey") % 4 == 0, F.upper(item)).when(c("o_orderkey") % 4 == 1, F.concat(F.lit("<think>x</think> I take "), item, F.lit("!"))).when(
+        c("o_orderkey") % 4 == 2, F.substring(item, 2, 5)).otherwise("nothing of it")
+    return rows.select("o_orderkey", replies.match_item(reply, c("candidates")).alias("item"))
+
+
+def attached_replies(spark, folder) -> DataFrame:
+    """Replies kept apart from their prompts, joined back."""
+    prompts = views.posts(spark, folder).select(c("post_id").alias("prompt_id"), "user", F.length("tweet").cast("bigint").alias("n_chars"))
+    kept = batch_inference_stub(spark, folder)
+    return inference.attach(prompts, kept)
+
+
+def results_written(spark, folder) -> DataFrame:
+    """A result table written as parquet and quoted CSV, read back from the CSV."""
+    rows = _said(spark, folder).select(c("doc_id").cast("string").alias("doc_id"), "question", F.coalesce("said", F.lit("none")).alias("said"))
+    path = shared_folder(spark)
+    sinks.write_results(rows, path, csv=True)
+    found = tables.read_csv(spark, f"{path}_csv", required=["doc_id", "question", "said"])
+    return found.select(c("doc_id").cast("bigint").alias("doc_id"), F.md5("question").alias("digest"), "said")
+
+
+def splits_written(spark, folder) -> DataFrame:
+    """Cleaned replies and both splits written, the splits read back."""
+    cleaned = checkpoint(sft.clean_interest(views.interest_replies(spark, folder)))
+    keys, path = ["user_id", "answer"], shared_folder(spark)
+    sinks.write_splits(cleaned, sampling.split_exact(checkpoint(_pairs_of(cleaned).select(*keys)), SEED, keys, 0.9), path)
+    return spark.read.parquet(f"{path}/sft").select(*keys, "split")
+
+
+def first_profiles(spark, folder) -> DataFrame:
+    """Profiles of the old column names, the first thirty."""
+    old = views.profiles(spark, folder).select("ord", c("user_id").alias("UserName"), c("user_profile").alias("UserProfile"))
+    return sampling.first_rows(schemas.normalise_profiles(old), "ord", 30)
+
+
 def _evaluated(spark, folder) -> evaluation.Evaluation:
     return evaluation.yes_no(tables.yes_no_columns(views.yesno_eval(spark, folder)).drop("question"), ["source"])
 
@@ -479,7 +522,7 @@ def evaluation_totals(spark, folder) -> DataFrame:
 
 
 def hit_rates(spark, folder) -> DataFrame:
-    rows = views.ranking_eval(spark, folder).withColumn("task", F.when(c("o_orderkey") % 2 == 0, "direct").otherwise("sequential"))
+    rows = tables.ranking_columns(views.ranking_eval(spark, folder)).withColumn("task", F.when(c("o_orderkey") % 2 == 0, "direct").otherwise("sequential"))
     lot = c("o_orderkey") % 5
     listed = F.concat(F.lit("['"), F.array_join(F.slice("candidates", 1, 10), "', '"), F.lit("']"))
     reply = F.when(lot == 0, "nothing fits").when(lot == 1, F.concat(F.lit("> thinking [x] assistantfinal "), listed)).otherwise(listed)
@@ -560,6 +603,7 @@ QUERIES = {f.__name__: f for f in (
     questions_from_json, interest_clean, sft_pairs, sft_split, sft_format,
     author_self_positives, author_user_negatives, author_post_negatives, author_useful_only, author_accuracy,
     profile_qa_accuracy, perspective_first_n, perspective_related, perspective_repeat, answers_by_k,
-    answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, evaluation_records, evaluation_totals, hit_rates, iterative_hits,
+    answers_pass_through, rubric_prompts, scoring_text, judge_scores, yesno_metrics, item_matches, attached_replies, results_written,
+    splits_written, first_profiles, evaluation_records, evaluation_totals, hit_rates, iterative_hits,
     rating_error, variant_f1, metrics_history, semantic_profiles, semantic_recall,
 )}
