@@ -300,6 +300,13 @@ def test_nothing_to_spare(spark):
     assert links_kept(small, lambda i: i // 3) >= 0.8 * 256
 
 
+def test_a_group_of_most_rows_fills_more_shards_than_twelve(spark):
+    texts = [(i, "same" if i < 70 else f"t{i}") for i in range(80)]
+    found = sharding.shard_documents(spark.createDataFrame(rows_of(texts), SCHEMA), 16).collect()
+    assert set(collections.Counter(r.shard for r in found).values()) == {5}
+    assert links_kept([r for r in found if r.doc_id < 70], lambda i: 0) >= 0.9 * 14 * 5 * 4
+
+
 def test_links_through_several_hubs(spark):
     rows = spark.range(40).withColumnRenamed("id", "row")
     edges = [(i, f"{i}-{i + 1}") for i in range(0, 40, 2)] + [(i + 1, f"{i}-{i + 1}") for i in range(0, 40, 2)]

@@ -50,12 +50,23 @@ def _pick(values: list[int], column: str):
     return F.element_at(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), F.col(column) + 1)
 
 
-def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12) -> DataFrame:
+def kept_links(known: DataFrame) -> int:
+    """Pairs of a row and another row of its hubs in the same shard, both ways."""
+    near = F.get("near", F.col("shard")) - F.col("hubs")
+    return known.agg(F.coalesce(F.sum(near), F.lit(0))).first()[0]
+
+
+#: Rounds without a gain in kept links after which propagation ends.
+PATIENCE = 2
+
+
+def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
     """``row, shard`` for every row of ``rows`` (a unique ``row`` each); counts of shards are at most one apart.
 
     ``members`` holds ``row, hub``; rows without a hub are moved only to make room. Rows start evenly dealt by
-    hash. Only shards with rows to spare are asked for, so a group too large for one shard goes on to the next.
-    Rounds end when nobody asks. An empty table gives no rows.
+    hash. Only shards with rows to spare are asked for, so a group too large for one shard goes on to the next, about a
+    shard a round. Rounds end when nobody moves, when ``PATIENCE`` rounds have kept no more links than those before, or
+    after ``rounds``, by default three for each shard and twelve at least. An empty table gives no rows.
     """
     start = running_total(rows.select("row"), [], ["row"], F.lit(1), "_at")
     linked = members.select("row").distinct().withColumn("linked", F.lit(True))
@@ -63,10 +74,19 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, rounds: int = 12
         linked, "row", "left"
     ).select("row", "shard", F.coalesce("linked", F.lit(False)).alias("linked")))
     capacity = _by_shard(state, shards)
-    for round_ in range(rounds):
+    best, best_state, since = -1, state, 0
+    for round_ in range(max(12, 3 * shards) if rounds is None else rounds):
         known = stored(_neighbours(state.where("linked").select("row", "shard"), members, shards).select(
-            "row", "hub", "shard", "near", (F.get("near", F.col("shard")) <= F.col("hubs")).alias("alone")
+            "row", "hub", "hubs", "shard", "near", (F.get("near", F.col("shard")) <= F.col("hubs")).alias("alone")
         ))
+        kept = kept_links(known)
+        if kept > best:
+            best, best_state, since = kept, state, 0
+        else:
+            since += 1
+            if since == PATIENCE:
+                state = best_state
+                break
         unlinked = _by_shard(state.where(~F.col("linked")), shards)
         spare = [a + b for a, b in zip(unlinked, _by_shard(known.where("alone"), shards), strict=True)]
         wishes = known.withColumn("target", _target(shards, [n > 0 for n in spare], round_)).where("target != shard")
@@ -102,7 +122,7 @@ def _leaving(rows: DataFrame, number: list[int], before: list[int]) -> DataFrame
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", rounds: int = 12
+    docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", rounds: int | None = None
 ) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``.
 
