@@ -213,6 +213,16 @@ def test_batches_and_pages(spark):
     assert len(pages) > 1 and sum(r.n_tags for r in pages) == 50
 
 
+@pytest.mark.parametrize("bound", [None, 3, 10**9])
+def test_first_posts_of_few_and_of_many_users(spark, bound):
+    posts = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 40)).alias("user"), F.col("id").alias("ord"), F.lit("t").alias("tweet"))
+    users = spark.createDataFrame([("hot",), ("u1",), ("u1",), ("gone",)], "user string")
+    got = {(r.user, r.rank): r.ord for r in batching.first_posts(posts.repartition(5), users, 4, bound).collect()}
+    of_u1 = [i for i in range(3000) if i % 3 and i % 40 == 1][:4]
+    assert got == {**{("hot", k + 1): 3 * k for k in range(4)}, **{("u1", k + 1): i for k, i in enumerate(of_u1)}}
+
+
 def test_answers_by_count(spark):
     rows = [("q", i, None if i == 1 else f"a{i}", "I", "R") for i in range(8)] + [("empty", 9, None, "I", "R")]
     frame = spark.createDataFrame(rows, "question string, ord bigint, response string, intent string, reference_answer string")

@@ -7,13 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voicegrain.functions.replies import summary_answer
 from voicegrain.functions.text import strip
 from voicegrain.operators.ranking import top_k
-from voicegrain.operators.skew import lookup_join, skew_join
+from voicegrain.operators.skew import skew_join, small_enough
 from voicegrain.session import checkpoint
 
 
 def first_posts(posts: DataFrame, users: DataFrame, most: int, users_at_most: int | None = None) -> DataFrame:
-    """The first ``most`` posts of each chosen user with their 1-based ``rank``."""
-    chosen = lookup_join(posts, users.select("user"), "user", rows_at_most=users_at_most)
+    """The first ``most`` posts of each chosen user with their 1-based ``rank``.
+
+    So many users as may be broadcast are sent to the posts; beyond that, posts of users who own much of the table are cut into slices.
+    """
+    named = users.select("user").distinct()
+    few = users_at_most is not None and small_enough(named, users_at_most)
+    chosen = posts.join(F.broadcast(named), "user") if few else skew_join(posts, named, "user", ["ord"])
     return top_k(chosen, ["user"], ["ord"], most)
 
 
