@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import random
 
 import pytest
@@ -150,6 +151,17 @@ def test_encoders_that_disagree_on_a_character_are_told_apart(files):
     assert asked == [" café brown fox"]
 
 
+@pytest.mark.parametrize(("part", "name", "value"), [
+    ("pre_tokenizer", "use_regex", False), ("pre_tokenizer", "type", "Whitespace"), ("model", "ignore_merges", True), (None, "normalizer", {"type": "NFC"})])
+def test_files_of_other_rules_are_left_to_their_library(files, tool, tmp_path, part, name, value):
+    with open(files[0], encoding="utf-8") as f:
+        whole = json.load(f)
+    (whole if part is None else whole[part])[name] = value
+    (tmp_path / "other.json").write_text(json.dumps(whole), encoding="utf-8")
+    assert alignment.fast_encoder(files[0], tool.bytes[0]) is not None
+    assert alignment.fast_encoder(str(tmp_path / "other.json"), tool.bytes[0]) is None
+
+
 def test_every_possible_pair_has_its_place(tool):
     a, b = tool.links // len(tool.sizes[1]), tool.links % len(tool.sizes[1])
     assert (tool.place(a, b) == alignment.np.arange(len(a))).all()

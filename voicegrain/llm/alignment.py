@@ -110,12 +110,17 @@ def stretches(a: list[int], b: list[int]) -> list[int]:
 
 
 def fast_encoder(byte_file: str, entries: list[bytes]):
-    """An encoder by ranks for a byte-level file whose merges are numbered in their order, else None."""
+    """An encoder by ranks for a byte-level file of the usual pattern whose merges are numbered in their order, else None."""
     import public_tokenizers
     import tiktoken
 
     with open(byte_file, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, cut = whole["model"], whole["pre_tokenizer"] or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    changed = whole["normalizer"] or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not usual or changed:
+        return None
     vocabulary = model["vocab"]
     first = len(byte_of_letter())
     merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
