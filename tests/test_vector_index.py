@@ -98,3 +98,37 @@ def test_empty_tables_and_few_vectors(spark, tables):
     few = ivf.build_index(tables[1].where("profile_id < 3"))
     assert ivf.search(none_asked, few, 3).count() == 0 and ivf.probes_for(none_asked, few, 3) == (1, 1.0)
     assert ivf.search(tables[0].where("question_id < 5"), few, 9).count() == 15
+
+
+def test_workers_hold_few_cosines_and_give_few_rows_at_once(index, tables, exact, monkeypatch):
+    """Questions of a block are multiplied a few at a time, and a question is repeated for each pack of lists, not for each list."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from voicegrain.operators import retrieval
+
+    held = []
+    whole = retrieval.lowest_in_rows
+    rnd = np.random.default_rng(3)
+    known = pd.DataFrame({"profile_id": range(900), "vector": list(rnd.integers(-1, 2, (900, 3)).astype(float))})
+    asked = pd.DataFrame({"question_id": range(200), "vector": list(rnd.integers(-1, 2, (200, 3)).astype(float))})
+    with monkeypatch.context() as patch:
+        patch.setattr(retrieval, "CELLS", 5000)
+        patch.setattr(retrieval, "lowest_in_rows", lambda negative, k: (held.append(negative.size), whole(negative, k))[1])
+        found = retrieval.best_in_block(asked, known, 6)
+    cosine = np.round(retrieval.unit_rows(asked["vector"]) @ retrieval.unit_rows(known["vector"]).T, 9)
+    best = np.argsort(-cosine, axis=1, kind="stable")[:, :6]
+    assert held and max(held) <= 5000
+    assert found["profile_id"].tolist() == best.ravel().tolist()
+    assert found["similarity"].tolist() == np.take_along_axis(cosine, best, axis=1).ravel().tolist()
+
+    batch = pa.record_batch({"vector": [[1.0]] * 10_000})
+    pieces = list(ivf.few_rows([batch], ivf.MAX_LISTS))
+    assert max(p.num_rows for p in pieces) * ivf.MAX_LISTS <= ivf.CELLS and sum(p.num_rows for p in pieces) == 10_000
+    packs = ivf.packs_of(index.sizes, 400)
+    held = np.bincount(packs, index.sizes)
+    assert all(n <= 400 or (packs == p).sum() == 1 for p, n in enumerate(held)) and len(held) <= 12
+    everything = ivf._wanted(tables[0].where("vector is not null"), index, lambda _, cosine: np.ones(cosine.shape, bool), packs)
+    assert everything.count() == 62 * len(held)
+    assert rows(ivf.search_probes(tables[0], index, 7, len(index.sizes), 1024, 400)) == rows(exact)

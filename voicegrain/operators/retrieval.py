@@ -9,9 +9,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voicegrain.operators.ranking import top_k
 
-# Vectors of one matrix product: these many questions times these many profiles.
-QUESTION_BLOCK = 1024
-PROFILE_BLOCK = 32768
+# Vectors of one task: these many questions times these many profiles. Equal sides repeat the fewest vectors.
+QUESTION_BLOCK = 8192
+PROFILE_BLOCK = 8192
+
+# Cosines that a Python worker holds at once (16 MB), and tasks that blocks are dealt to at most.
+CELLS = 1 << 21
+MOST_TASKS = 4096
 
 # Similarities are rounded so that copies of a vector tie and the lower id wins.
 DECIMALS = 9
@@ -25,16 +29,18 @@ def nearest_profiles(
 
     ``questions`` has ``question_id, vector``; ``profiles`` has ``profile_id, vector``. Both sides are
     cut into blocks of bounded size by the hash of their unique id. A task multiplies one block of
-    each and keeps the best ``k`` per question, so only those are shuffled to the final ranking.
+    each, a few questions at a time, and keeps the best ``k`` per question, so only those are shuffled to the final
+    ranking. Pairs of blocks are dealt to as many tasks, as their work is the product and not the bytes.
     """
-    question_blocks = F.ceil(questions.agg(F.count(F.lit(1))).scalar() / question_block)
-    profile_blocks = F.ceil(profiles.agg(F.count(F.lit(1))).scalar() / profile_block)
+    question_blocks = max(1, -(-questions.count() // question_block))
+    profile_blocks = max(1, -(-profiles.count() // profile_block))
+    tasks = min(question_blocks * profile_blocks, MOST_TASKS)
 
-    def placed(df: DataFrame, key: str, own: str, n_own, other: str, n_other) -> DataFrame:
+    def placed(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return df.select(
-            key, "vector", F.pmod(F.xxhash64(key), n_own).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), n_other - 1)).alias(other),
-        )
+            key, "vector", F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))).alias(other),
+        ).repartition(tasks, "_q", "_p")
 
     left = placed(questions, "question_id", "_q", question_blocks, "_p", profile_blocks)
     right = placed(profiles, "profile_id", "_p", profile_blocks, "_q", question_blocks)
@@ -56,16 +62,32 @@ def best_in_block(asked: pd.DataFrame, known: pd.DataFrame, k: int) -> pd.DataFr
     if asked.empty or known.empty:
         return pd.DataFrame({"question_id": [], "profile_id": [], "similarity": []})
     known = known.sort_values("profile_id")
-    cosine = np.round(unit_rows(asked["vector"]) @ unit_rows(known["vector"]).T, DECIMALS)
-    k = min(k, cosine.shape[1])
-    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+    profiles, k = unit_rows(known["vector"]).T, min(k, len(known))
+    step, columns, similarities = max(1, CELLS // len(known)), [], []
+    for at in range(0, len(asked), step):
+        column, similarity = lowest_in_rows(-unit_rows(asked["vector"].iloc[at:at + step]) @ profiles, k)
+        columns.append(column)
+        similarities.append(similarity)
     return pd.DataFrame({
         "question_id": np.repeat(asked["question_id"].to_numpy(), k),
-        "profile_id": known["profile_id"].to_numpy()[best].ravel(),
-        "similarity": np.take_along_axis(cosine, best, axis=1).ravel(),
+        "profile_id": known["profile_id"].to_numpy()[np.concatenate(columns)],
+        "similarity": np.concatenate(similarities),
     })
 
 
+def lowest_in_rows(negative: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rounded cosines of the ``k`` lowest negative cosines of each row, in order, ties by column; NaN comes last.
+
+    Only what may be among them after rounding is rounded and sorted.
+    """
+    limit = np.partition(negative, k - 1, axis=1)[:, k - 1, None] + 2 * 10.0**-DECIMALS
+    row, column = np.nonzero(~(negative > limit))
+    similarity = np.round(-negative[row, column], DECIMALS) + 0.0
+    order = np.lexsort((-similarity, row))
+    order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    return column[order], similarity[order]
+
+
 def unit_rows(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack(vectors.to_numpy()).astype("float64")
     length = np.linalg.norm(matrix, axis=1, keepdims=True)

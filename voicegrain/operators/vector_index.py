@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from voicegrain.operators.ranking import hash_sample, key_hash, top_k
-from voicegrain.operators.retrieval import PROFILE_BLOCK, QUESTION_BLOCK, best_in_block, nearest_profiles
+from voicegrain.operators.retrieval import CELLS, MOST_TASKS, PROFILE_BLOCK, QUESTION_BLOCK, best_in_block, nearest_profiles
 from voicegrain.session import checkpoint
 
 #: Lists are about the root of the number of vectors, so many at most; centroids are all that is ever broadcast.
@@ -31,6 +31,9 @@ ROUNDS = 4
 #: Questions that the recall of a number of probes is measured on, against all vectors.
 MEASURED_QUESTIONS = 256
 
+#: Rows that a task gives away at once while it tells which lists are wanted.
+WANTED_ROWS = 8192
+
 #: Cosines this near the bound count as reached, so that rounding never hides a list.
 MARGIN = 1e-6
 
@@ -55,16 +58,23 @@ def units(column: pa.Array) -> np.ndarray:
     return matrix / np.where(length == 0, 1.0, length)
 
 
+def few_rows(batches, lists: int):
+    """Slices of the batches, so small that their cosines to all centroids are ``CELLS`` at most."""
+    step = max(1, CELLS // lists)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def means(sample: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """One round: the mean directions of the vectors nearest to each centroid; an empty list keeps its centroid."""
     def add(batches):
         total, some = np.zeros_like(centroids), np.zeros(len(centroids), bool)
-        for batch in batches:
+        for batch in few_rows(batches, len(centroids)):
             x = units(batch.column("vector"))
-            if len(x):
-                nearest = (x @ centroids.T).argmax(1)
-                np.add.at(total, nearest, x)
-                some[nearest] = True
+            nearest = (x @ centroids.T).argmax(1)
+            np.add.at(total, nearest, x)
+            some[nearest] = True
         at = np.flatnonzero(some)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(total[at]), pa.list_(pa.float64()))], ["list", "total"])
 
@@ -93,9 +103,9 @@ def build_index(profiles: DataFrame, seed=42, lists: int | None = None, rounds:
     schema = StructType([*known.schema.fields, StructField("list", IntegerType()), StructField("cosine", DoubleType())])
 
     def put(batches):
-        for batch in batches:
+        for batch in few_rows(batches, len(centroids)):
             x = units(batch.column("vector"))
-            cosine = x @ centroids.T if len(x) else np.zeros((0, len(centroids)))
+            cosine = x @ centroids.T
             nearest = cosine.argmax(1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(nearest, pa.int32()), pa.array(cosine[np.arange(len(x)), nearest], pa.float64())], schema.names
@@ -109,25 +119,42 @@ def build_index(profiles: DataFrame, seed=42, lists: int | None = None, rounds:
     return Index(rows.drop("cosine"), centroids, widest, sizes)
 
 
-def _wanted(questions: DataFrame, index: Index, choose) -> DataFrame:
-    """``question_id, vector, list``: a row for each list that ``choose`` (batch, cosines to centroids) marks for a question."""
+def packs_of(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The pack of each list: neighbours in the order of lists share one while they hold ``most`` vectors together."""
+    packs, held = np.zeros(len(sizes), np.int32), 0
+    for i, n in enumerate(sizes):
+        opened = i > 0 and held + n > most
+        packs[i] = packs[i - 1] + opened if i else 0
+        held = n if opened else held + n
+    return packs
+
+
+def _wanted(questions: DataFrame, index: Index, choose, packs: np.ndarray | None = None) -> DataFrame:
+    """``question_id, vector, pack, lists``: a row for each pack (each list, unless given) in which ``choose`` (batch, cosines
+    to centroids) marks lists for a question, and those."""
     columns = [questions.schema[c] for c in ("question_id", "vector")]
     centroids, filled = index.centroids, index.sizes > 0
+    packs = np.arange(len(index.sizes), dtype=np.int32) if packs is None else packs
     if not filled.any():
-        return questions.select("question_id", "vector", F.lit(0).alias("list")).where(F.lit(False))
+        return questions.select("question_id", "vector", F.lit(0).alias("pack"), F.array(F.lit(0)).alias("lists")).where(F.lit(False))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marked = choose(batch, units(batch.column("vector")) @ centroids.T) & filled
-            row, at = np.nonzero(marked)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("question_id").take(pa.array(row)), batch.column("vector").take(pa.array(row)), pa.array(at, pa.int32())],
-                ["question_id", "vector", "list"],
-            )
-
-    return questions.mapInArrow(run, StructType([*columns, StructField("list", IntegerType())]))
+        for batch in few_rows(batches, len(centroids)):
+            row, at = np.nonzero(choose(batch, units(batch.column("vector")) @ centroids.T) & filled)
+            new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(packs[at], prepend=-1) != 0))
+            ends = np.append(new, len(row))
+            for i in range(0, len(new), WANTED_ROWS):
+                first = new[i:i + WANTED_ROWS]
+                bounds = ends[i:i + len(first) + 1]
+                lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(at[bounds[0]:bounds[-1]], pa.int32()))
+                asked = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("question_id").take(asked), batch.column("vector").take(asked), pa.array(packs[at[first]], pa.int32()), lists],
+                    ["question_id", "vector", "pack", "lists"],
+                )
+
+    return questions.mapInArrow(run, StructType([
+        *columns, StructField("pack", IntegerType()), StructField("lists", ArrayType(IntegerType()))]))
 
 
 def nearest_lists(cosine: np.ndarray, filled: np.ndarray, probes: int) -> np.ndarray:
@@ -138,35 +165,57 @@ def nearest_lists(cosine: np.ndarray, filled: np.ndarray, probes: int) -> np.nda
     return marked
 
 
-def ranked_in_lists(wanted: DataFrame, index: Index, k: int, question_block: int, profile_block: int) -> DataFrame:
-    """The ``k`` best of each question within each part of a list.
-
-    A list of many vectors, or one that many questions want, is cut into parts of bounded size on either side; a task
-    multiplies one part of the questions by one of the vectors.
+def best_in_lists(some: pd.DataFrame, known: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best for each question of ``some`` in its own ``lists`` among the profiles of ``known``, list by list."""
+    known = known.sort_values("profile_id", ignore_index=True)
+    asked, names = some["question_id"].to_numpy(), known["profile_id"].to_numpy()
+    numbered, known = some.assign(question_id=range(len(some))), known.assign(profile_id=range(len(known)))
+    wanted = np.concatenate([np.empty(0, np.int64), *some["lists"]])
+    row = np.repeat(np.arange(len(some)), some["lists"].str.len())
+    found = [best_in_block(numbered.iloc[row[wanted == at]], there, k) for at, there in known.groupby("list") if (wanted == at).any()]
+    if not found:
+        return best_in_block(some.iloc[:0], known, k)
+    question, profile, similarity = (np.concatenate([f[c].to_numpy() for f in found]) for c in ("question_id", "profile_id", "similarity"))
+    order = np.lexsort((profile, -similarity, question))
+    ranked = question[order]
+    order = order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < k]
+    return pd.DataFrame({"question_id": asked[question[order]], "profile_id": names[profile[order]], "similarity": similarity[order]})
+
+
+def ranked_in_lists(questions: DataFrame, choose, index: Index, k: int, question_block: int, profile_block: int) -> DataFrame:
+    """The ``k`` best of each question within each pack of lists, from the lists that ``choose`` marks for it.
+
+    Small lists share a pack, so a question and its results are repeated for each pack at most and not for each list. A list of
+    many vectors, or a pack that many questions want, is cut into parts of bounded size on either side; a task multiplies one
+    part of the questions by one of the vectors.
     """
-    wanted = checkpoint(wanted)
-    asked = wanted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / question_block).cast("int").alias("_qs"))
-    held = wanted.sparkSession.createDataFrame(
-        [(i, -(-int(n) // profile_block)) for i, n in enumerate(index.sizes) if n], "list int, _ps int")
-    parts = F.broadcast(asked.join(F.broadcast(held), "list"))  # one row a list
-
-    def placed(df: DataFrame, key: str, own: str, owns: str, other: str, others: str) -> DataFrame:
-        return df.join(parts, "list").select(
-            key, "vector", "list", F.pmod(F.xxhash64(key), F.col(owns)).alias(own),
+    packs = packs_of(index.sizes, profile_block)
+    wanted = checkpoint(_wanted(questions, index, choose, packs))
+    spark, held = wanted.sparkSession, np.bincount(packs, index.sizes).astype(int)
+    cuts = [  # one row a pack
+        (r["pack"], -(-r["n"] // question_block), int(max(1, -(-held[r["pack"]] // profile_block))))
+        for r in wanted.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).collect()
+    ]
+    parts = F.broadcast(spark.createDataFrame(cuts, "pack int, _qs int, _ps int"))
+    pack_of = F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(packs)], "list int, pack int"))
+    keys, tasks = ("pack", "_q", "_p"), max(1, min(sum(q * p for _, q, p in cuts), MOST_TASKS))
+
+    def placed(df: DataFrame, key: str, lists: str, own: str, owns: str, other: str, others: str) -> DataFrame:
+        return df.join(parts, "pack").select(
+            key, "vector", "pack", lists, F.pmod(F.xxhash64(key), F.col(owns)).alias(own),
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(others).cast("bigint") - 1)).alias(other),
-        )
+        ).repartition(tasks, *keys)
 
-    left = placed(wanted, "question_id", "_q", "_qs", "_p", "_ps")
-    right = placed(index.rows, "profile_id", "_p", "_ps", "_q", "_qs")
+    left = placed(wanted, "question_id", "lists", "_q", "_qs", "_p", "_ps")
+    right = placed(index.rows.join(pack_of, "list"), "profile_id", "list", "_p", "_ps", "_q", "_qs")
     schema = StructType([
         StructField("question_id", wanted.schema["question_id"].dataType),
         StructField("profile_id", index.rows.schema["profile_id"].dataType), StructField("similarity", DoubleType()),
     ])
 
     def best(some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return best_in_block(some, known, k)
+        return best_in_lists(some, known, k)
 
-    keys = ("list", "_q", "_p")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
 
 
@@ -179,8 +228,8 @@ def search_probes(
 ) -> DataFrame:
     """``question_id, profile_id, similarity, rank`` from each question's ``probes`` nearest lists."""
     filled = index.sizes > 0
-    wanted = _wanted(_asked(questions), index, lambda _, cosine: nearest_lists(cosine, filled, probes))
-    return _best(ranked_in_lists(wanted, index, k, question_block, profile_block), k)
+    return _best(ranked_in_lists(
+        _asked(questions), lambda _, cosine: nearest_lists(cosine, filled, probes), index, k, question_block, profile_block), k)
 
 
 def _asked(questions: DataFrame) -> DataFrame:
@@ -198,7 +247,7 @@ def search(
     filled, widest = index.sizes > 0, index.widest
     asked = checkpoint(_asked(questions))
     first = checkpoint(_best(ranked_in_lists(
-        _wanted(asked, index, lambda _, cosine: nearest_lists(cosine, filled, probes)), index, k, question_block, profile_block), k))
+        asked, lambda _, cosine: nearest_lists(cosine, filled, probes), index, k, question_block, profile_block), k))
     reached = first.groupBy("question_id").agg(F.min("similarity").alias("_least"), F.count(F.lit(1)).alias("_found")).select(
         "question_id", F.when(F.col("_found") >= k, F.col("_least")).alias("_least"))
     known = asked.join(reached, "question_id", "left").select("question_id", "vector", F.coalesce("_least", F.lit(-2.0)).alias("_least"))
@@ -208,7 +257,7 @@ def search(
         can = nearest >= batch.column("_least").to_numpy()[:, None] - MARGIN
         return can & ~nearest_lists(cosine, filled, probes)
 
-    more = ranked_in_lists(_wanted(known, index, others), index, k, question_block, profile_block)
+    more = ranked_in_lists(known, others, index, k, question_block, profile_block)
     return _best(first.drop("rank").unionByName(more), k)
 
 
