@@ -397,3 +397,22 @@ def test_positions_over_many_bundles(spark, monkeypatch):
     got = ranking.position_in_group(rows, ["g"], "o", width=10).collect()
     for g in range(3):
         assert [r.position for r in sorted((r for r in got if r.g == g), key=lambda r: r.o)] == list(range(sum(r.g == g for r in got)))
+
+
+def test_few_rows_are_dealt_to_tasks_by_the_rows_they_become(spark, monkeypatch):
+    """A small table of profiles lies in one task; its pairs are made in many."""
+    from voicegrain.operators import skew
+
+    monkeypatch.setattr(skew, "MADE_ROWS", 100)
+    people = spark.range(200).coalesce(1).select(F.concat(F.lit("u"), "id").alias("user_id"))
+    pool = spark.range(50).select(F.col("id").alias("position"), F.concat(F.lit("i"), "id").alias("item_description"))
+    pairs = pairing.pair_with_items(people, pool, 10, 7).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in pairs}) > 10 and len({(r.user_id, r.item_description) for r in pairs}) == 2000
+    dealt = skew.dealt_for(people, 10, "user_id")
+    assert dealt.rdd.getNumPartitions() == 20 and skew.dealt_for(people.where("false"), 10, "user_id").count() == 0
+    users = spark.range(30).select(F.col("id").cast("string").alias("user"), F.lit(4).cast("bigint").alias("n_posts"))
+    asked = spark.range(300).coalesce(1).select(F.col("id").alias("profile_id"), (F.col("id") % 30).cast("string").alias("user"), F.lit(2).alias("n_positive"))
+    calls = []
+    monkeypatch.setattr(pairing, "dealt_for", lambda *a: calls.append(a[1:]) or skew.dealt_for(*a))
+    others = pairing.other_posts(asked, users, 10, 7).collect()
+    assert calls == [(10, "profile_id")] and len({(r.profile_id, r.other, r.position) for r in others}) == 300 * 8

@@ -37,12 +37,13 @@ def draw(seed, pool: Column, n, *keys) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     size = F.greatest(pool, F.lit(1))  # an empty pool gives no steps
     count = F.least(n, pool).cast("bigint")
-    start = hash_number(seed, *keys) % size
-    step = stride(seed, size, *keys)
+    # a lambda's body is evaluated for every element, so the hashes come to it as fields that are there already
+    row = F.struct((hash_number(seed, *keys) % size).alias("start"), stride(seed, size, *keys).alias("step"), size.alias("size"))
     steps = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
         F.array().cast("array<bigint>")
     )
-    return F.transform(steps, lambda k: (start + k * step) % size)
+    drawn = F.transform(F.array(row), lambda r: F.transform(steps, lambda k: (r["start"] + k * r["step"]) % r["size"]))
+    return F.element_at(drawn, 1)
 
 
 def draw_others(seed, users: Column, self_position: Column, n, *keys) -> Column:

@@ -10,7 +10,7 @@ from voicegrain.operators.post_store import PostStore
 from voicegrain.operators.ranking import (
     bucket_starts, hash_bucket, hash_number, key_hash, top_k,
 )
-from voicegrain.operators.skew import lookup_join, skew_join
+from voicegrain.operators.skew import dealt_for, lookup_join, skew_join
 from voicegrain.session import checkpoint
 
 #: Posts of a stretch of the line of all posts; a stretch holds no more users.
@@ -35,9 +35,9 @@ def pair_with_items(profiles: DataFrame, pool: DataFrame, n: int, seed, key: str
     """Each profile with ``min(n, pool)`` different random items; ``pool`` has ``position, item_description``.
 
     The pool is only ever joined on drawn positions. Draws spread evenly over positions, so no
-    position is hot unless the pool is tiny, and then it is broadcast.
+    position is hot unless the pool is tiny, and then it is broadcast. Profiles are dealt to tasks by the pairs they become.
     """
-    sized = profiles.withColumn("_pool", pool.agg(F.count(F.lit(1))).scalar())
+    sized = dealt_for(profiles, n, key).withColumn("_pool", pool.agg(F.count(F.lit(1))).scalar())
     drawn = sized.select("*", F.posexplode(draw(seed, F.col("_pool"), n, key)).alias("item_no", "position")).drop("_pool")
     return lookup_join(drawn, pool.select("position", "item_description"), "position").drop("position")
 
@@ -51,7 +51,7 @@ def synthetic_histories(rows: DataFrame, pool: DataFrame, low: int, high: int, s
     """
     total = pool.agg(F.count(F.lit(1))).scalar()
     span = max(high - low, 1)
-    rows = rows.select(
+    rows = dealt_for(rows, high, "history_id").select(
         "history_id",
         F.least(F.lit(low) + hash_number(f"{seed}-size", "history_id") % span, total - 1).alias("history_size"),
         total.alias("_pool"),
@@ -136,7 +136,7 @@ def other_users(profiles: DataFrame, users: DataFrame, total: int, per_query: in
     own = profiles.join(users.select("user", "user_position"), "user", "left").withColumn(
         "_users", users.agg(F.count(F.lit(1))).scalar())
     wanted = F.floor((F.lit(total) - F.col("n_positive")) / per_query)
-    drawn = own.select(
+    drawn = dealt_for(own, max(1, total // per_query), "profile_id").select(
         "profile_id", "n_positive",
         F.posexplode(draw_others(seed, F.col("_users"), F.col("user_position"), wanted, "profile_id")).alias("other_no", "user_position"),
     )
@@ -168,7 +168,7 @@ def other_posts(profiles: DataFrame, users: DataFrame, total: int, seed, width:
         draw(seed, F.col("_all") - F.col("_own"), F.col("_wanted"), "profile_id"),
         lambda d: (F.col("_block") + F.col("_own") + d) % F.col("_all"),
     )
-    drawn = own.select("profile_id", F.posexplode(line).alias("post_no", "place")).withColumn("_stretch", F.expr(f"place div {width}"))
+    drawn = dealt_for(own, total, "profile_id").select("profile_id", F.posexplode(line).alias("post_no", "place")).withColumn("_stretch", F.expr(f"place div {width}"))
     reached = blocks.select(
         F.col("user").alias("other"), "block", "n_posts",
         F.explode(F.sequence(F.expr(f"block div {width}"), F.expr(f"(block + n_posts - 1) div {width}"))).alias("_stretch"),

@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# A task makes about so many rows out of few (see ``dealt_for``).
+MADE_ROWS = 50_000
+
 # A key with more than this share of all rows is split, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.001
 
@@ -41,6 +44,15 @@ def lookup_join(
     return big.join(F.broadcast(side) if small_enough(side, rows_at_most) else side, on, how)
 
 
+def dealt_for(df: DataFrame, each: int, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` to as many tasks as the ``each`` rows need that every one of them becomes.
+
+    A small table lies in one task, whatever is made of it there, and adaptive execution would put it back into one.
+    """
+    tasks = -(-df.count() * each // MADE_ROWS)
+    return df.repartition(max(1, tasks), *keys)
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
     """Keys owning more than ``share`` of the rows, with the number of slices each is cut into.
 
