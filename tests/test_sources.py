@@ -153,3 +153,13 @@ def test_items_results_metrics_and_few_zero(spark, tmp_path):
     (tmp_path / "eval.jsonl").write_text('{"prompt":"p","target":"t","few_zero":"few","task":"direct"}\n{"prompt":"q","target":"t","few_zero":"zero","task":"direct"}\n')
     assert [r.prompt for r in tables.read_few_zero(spark, f"{base}/eval.jsonl", "zero", "direct").collect()] == ["q"]
     assert tables.constant_prompts(spark, "p", 3, 7).agg(F.sum("seed")).first()[0] == 24
+
+
+@pytest.mark.parametrize("run_lines", [1, 3, 8192])
+def test_lines_of_a_split_are_numbered_in_short_runs(spark, tmp_path, run_lines):
+    """A split of many lines is cut into runs, and records that go over their ends are whole."""
+    (tmp_path / "1.csv").write_text("a,b\n" + "".join(f'{i},"{"x\n" * (i % 5)}{i}"\n' for i in range(40)))
+    lines = quoted_csv.lines_of(spark, str(tmp_path / "1.csv"), run_lines)
+    assert lines.groupBy("_file", "_block", "_run").count().agg({"count": "max"}).first()[0] <= run_lines
+    got = quoted_csv.records_of(spark, str(tmp_path / "1.csv"), run_lines).orderBy("ord").collect()
+    assert [(r.line, r.record) for r in got] == [(i, f'{i},"{"x\n" * (i % 5)}{i}"') for i in range(40)]

@@ -1,9 +1,9 @@
 """CSV with quoted fields that hold line breaks, read in splits of any size.
 
 Whether a line break ends a record depends on the quotes before it: an even number in the file so far, and it does. Files
-are read as plain lines, which Spark splits by bytes. Every split tells its number of quotes, and how many records would
-begin in it if an even, or an odd, number of quotes came before; the parities and record numbers at the start of each split
-are then running sums over splits. Lines that are whole records stay where they are; only lines of
+are read as plain lines, which Spark splits by bytes, and the lines of a split are cut into short runs. Every run tells its number
+of quotes, and how many records would begin in it if an even, or an odd, number of quotes came before; the parities and record
+numbers at the start of each run are then running sums over runs, so no task has to hold a whole split. Lines that are whole records stay where they are; only lines of
 records that go on over a line break, wherever a split cuts them, are gathered by record.
 
 Quotes may only stand around whole fields and, doubled, inside them. Lines end in a line feed, with or without a carriage
@@ -16,54 +16,59 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voicegrain.operators.once import compute_once
 
-_SPLIT = ["_file", "_block"]
+_RUN = ["_file", "_block", "_run"]
+
+#: Lines of a run.
+RUN_LINES = 1 << 13
 
 
 def quotes_in(value: Column) -> Column:
     return F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
 
 
-def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``value, _file, _block, _row, _before, _quotes``: lines with the quotes in them, and before them in their split."""
+def lines_of(spark: SparkSession, path: str | list[str], run_lines: int = RUN_LINES) -> DataFrame:
+    """``value, _file, _block, _row, _run, _quotes, _empty, _return, _before``: lines with the quotes in them, and before them in
+    their run. What is told of a line is told before lines are dealt by run, so its text goes along only where it is needed."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), quotes_in(F.col("value")).alias("_quotes"),
-    )
-    ahead = Window.partitionBy(*_SPLIT).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+        F.col("value").isin("", "\r").alias("_empty"), F.endswith("value", F.lit("\r")).alias("_return"),
+    ).withColumn("_run", F.expr(f"_row div {run_lines}"))
+    ahead = Window.partitionBy(*_RUN).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("_before", F.coalesce(F.sum("_quotes").over(ahead), F.lit(0)))
 
 
 def begins(parity: Column) -> Column:
-    """Whether a record begins with the line, if so many quotes came before its split. Empty lines between records are none."""
-    return ((F.col("_before") + parity) % 2 == 0) & ~F.col("value").isin("", "\r")
+    """Whether a record begins with the line, if so many quotes came before its run. Empty lines between records are none."""
+    return ((F.col("_before") + parity) % 2 == 0) & ~F.col("_empty")
 
 
-def split_starts(lines: DataFrame) -> DataFrame:
-    """``_file, _block, _parity, _records, _files, _returns``: quotes (odd or even) and records in the file before each split,
+def run_starts(lines: DataFrame) -> DataFrame:
+    """``_file, _block, _run, _parity, _records, _files, _returns``: quotes (odd or even) and records in the file before each run,
     the records of all files before, headers left out, and whether lines end in a carriage return too, as the file's
-    first does. The running sums see one row per split and one per file."""
-    sizes = lines.groupBy(*_SPLIT).agg(
+    first does. The running sums see one row per run and one per file."""
+    sizes = lines.groupBy(*_RUN).agg(
         F.sum("_quotes").alias("_q"), F.count_if(begins(F.lit(0))).alias("_even"), F.count_if(begins(F.lit(1))).alias("_odd"),
-        F.min_by(F.endswith("value", F.lit("\r")), "_row").alias("_return"))
-    ahead = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
+        F.min_by("_return", "_row").alias("_return"))
+    ahead = Window.partitionBy("_file").orderBy("_block", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
         sizes.withColumn("_parity", F.coalesce(F.sum("_q").over(ahead), F.lit(0)) % 2)
         .withColumn("_n", F.when(F.col("_parity") == 0, F.col("_even")).otherwise(F.col("_odd")))
         .withColumn("_records", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     )
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = splits.groupBy("_file").agg(
-        F.greatest(F.sum("_n") - 1, F.lit(0)).alias("_n"), F.min_by("_return", "_block").alias("_returns")
+    files = runs.groupBy("_file").agg(
+        F.greatest(F.sum("_n") - 1, F.lit(0)).alias("_n"), F.min_by("_return", F.struct("_block", "_run")).alias("_returns")
     ).select("_file", "_returns", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_files"))
-    return splits.select(*_SPLIT, "_parity", "_records").join(files, "_file")
+    return runs.select(*_RUN, "_parity", "_records").join(files, "_file")
 
 
-def records_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def records_of(spark: SparkSession, path: str | list[str], run_lines: int = RUN_LINES) -> DataFrame:
     """``record, file, line, ord``: the records of all files but their headers, ``line`` numbered from 0 in each file and
     ``ord`` over all files by name."""
-    lines = lines_of(spark, path)
-    placed = lines.join(split_starts(lines), _SPLIT)
-    so_far = Window.partitionBy(*_SPLIT).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines_of(spark, path, run_lines)
+    placed = lines.drop("_return").join(run_starts(lines), _RUN)
+    so_far = Window.partitionBy(*_RUN).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = begins(F.col("_parity"))
     inside = (F.col("_before") + F.col("_parity")) % 2 == 1
     numbered = placed.withColumns({
