@@ -221,3 +221,22 @@ def test_common_shapes_do_not_reach_python(spark):
     rows = frame.select("i", value.isNotNull().alias("read"), json_replies.unreadable(text).alias("hopeless")).orderBy("i").collect()
     assert [r.read or r.hopeless for r in rows] == [True] * len(shapes)
     assert [r.i for r in rows if r.hopeless] == [5]
+
+
+def test_rules_read_a_text_once_and_share_one_python_pass(spark):
+    payload = '{"a": "x", "b": true}'
+    texts = [payload, f"so assistantfinal {payload}", f"```json\n{payload}\n```", payload.replace('"', "'"), payload[:-1] + ",}", f"I say {payload} now",
+             '{"a": NaN, "b": 1}', 'assistantfinal {"a": 1, "a": 2}', " [1] ", "x {\"a\": {\"b\": 2}}", "{'a': True}", "", "no", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
+    rules = {"last": json_replies.in_last_braces, "front": json_replies.from_last_brace,
+             "final": json_replies.in_final_channel, "whole": json_replies.as_it_is}
+    read = parsing.parse_by_rules(frame, rules, ["a", "b"], kinds=("whole",))
+    assert read._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert read.columns == ["i", "response", *rules]
+    got = {r.i: r for r in read.collect()}
+    for name, rule in rules.items():
+        for r in parsing.parse_by(frame, rule, ["a", "b"], kinds=name == "whole").collect():
+            assert got[r.i][name] == r.parsed, (name, texts[r.i])
+    assert [(got[i].last.a, got[i].front.a, got[i].final.a, got[i].whole.a) for i in (0, 1, 2, 3, 6, 7)] == [
+        ("x",) * 4, ("x", "x", "x", None), ("x", None, None, None), (None,) * 4, ("NaN",) * 4, ("2", "2", "2", None)]
+    assert got[0].whole.kinds.b == "BOOLEAN" and got[13].whole.found is False and got[13].whole.kinds.a is None

@@ -11,8 +11,11 @@ import ast
 import json
 import math
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -31,10 +34,13 @@ _ONE_PAIR = r"\A\s*\{[^{}]*\}\s*\z"
 
 def maybe_strict(text: Column) -> Column:
     """The text unless its first or last characters rule out strict JSON."""
-    last = F.right(F.rtrim(text, F.lit(" \t\r\n")), F.lit(1))
-    first = F.left(F.ltrim(text, F.lit(" \t\r\n")), F.lit(1))
-    closed = F.when(first == "{", last == "}").when(first == "[", last == "]").otherwise(True)
-    comma = last.isin("}", "]") & F.right(text, F.lit(40)).rlike(_COMMA_END)
+    # trimming compares character by character, so texts without white space at an end are left alone
+    first, last = F.left(text, F.lit(1)).isin(*" \t\r\n"), reduce(or_, [F.endswith(text, F.lit(space)) for space in " \t\r\n"])
+    ahead = F.when(first, F.ltrim(text, F.lit(" \t\r\n"))).otherwise(text)
+    behind = F.when(last, F.rtrim(text, F.lit(" \t\r\n"))).otherwise(text)
+    brace, bracket = F.endswith(behind, F.lit("}")), F.endswith(behind, F.lit("]"))
+    closed = F.when(F.startswith(ahead, F.lit("{")), brace).when(F.startswith(ahead, F.lit("[")), bracket).otherwise(True)
+    comma = (brace | bracket) & F.right(text, F.lit(40)).rlike(_COMMA_END)
     return F.when(closed & ~comma & ~text.rlike(_NOT_STRICT), text)
 
 
@@ -180,16 +186,16 @@ def finite(value):
     return {k: finite(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-_BOTH = StructType([StructField("first", StringType()), StructField("second", StringType())])
+@F.arrow_udf(StringType())
+def reread(objects: pa.Array) -> pa.Array:
+    """Strict JSON texts of what Python's reader accepts: also NaN, infinities and repeated keys, the last of which counts.
 
-
-@F.pandas_udf(_BOTH)
-def reread(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    """Strict JSON texts of what Python's reader accepts: also NaN, infinities and repeated keys, the last of which counts."""
-    return pd.DataFrame({
-        name: pd.Series([None if t is None else reread_text(t) for t in texts], dtype=object)
-        for name, texts in (("first", first), ("second", second))
-    })
+    The texts of a row come and go as one JSON object, as Spark measures an Arrow batch of arrays anew for every row.
+    """
+    if objects.null_count == len(objects):
+        return pa.nulls(len(objects), pa.string())
+    return pa.array([None if texts is None else json.dumps(
+        {name: reread_text(text) for name, text in json.loads(texts).items()}) for texts in objects.to_pylist()], pa.string())
 
 
 def reread_text(text: str) -> str | None:

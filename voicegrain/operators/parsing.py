@@ -5,26 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voicegrain.functions.json_replies import (
-    as_strict, in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, reread, scoring_text, strict_json, text_fields, unsettled,
+    as_strict, field_kind, in_final_channel, maybe_strict, parse_rest, plain_piece, plain_result, reread, scoring_text, strict_json, text_fields, unsettled,
     without_markers,
 )
 from voicegrain.lookups import ANSWER_KEYS
 from voicegrain.operators.once import compute_once
 
 
-def read_strict(df: DataFrame, texts: list[Column], out: str) -> DataFrame:
-    """Adds the variant of the first of one or two texts that is JSON, else null.
+def read_strict(df: DataFrame, texts: list[Column]) -> DataFrame:
+    """Adds for each text, numbered from 0: ``_first0``, the number of the first text equal to it, null for a null; and
+    ``_value0``, at that number, the variant of a text that is JSON.
 
-    The few texts that look strict but are not, because of a repeated key or a number like NaN, are read again in Python.
+    Equal texts are parsed once. The few that look strict but are not, because of a repeated key or a number like NaN, are
+    read again in Python, all texts of a row in one pass.
     """
-    names = [f"t{i}" for i in range(len(texts))]
-    df = compute_once(df, "_texts", F.struct(*[t.alias(n) for t, n in zip(texts, names, strict=True)]))
-    df = compute_once(df, "_maybe", F.struct(*[maybe_strict(F.col("_texts")[n]).alias(n) for n in names]))
-    df = compute_once(df, "_strict", F.struct(*[strict_json(F.col("_maybe")[n]).alias(n) for n in names]))
-    rest = [unsettled(F.col("_maybe")[n], F.col("_strict")[n]) for n in names]
-    df = df.withColumn("_again", reread(rest[0], rest[1] if len(rest) > 1 else F.lit(None).cast("string")))
-    tried = [c for n, again in zip(names, ("first", "second")) for c in (F.col("_strict")[n], F.try_parse_json(F.col("_again")[again]))]
-    return compute_once(df, out, F.coalesce(*tried)).drop("_texts", "_maybe", "_strict", "_again")
+    columns = df.columns
+    for i, column in enumerate(texts):  # one by one: the JVM never compiles the code of a long step
+        df = compute_once(df, f"_text{i}", column)
+        text = F.col(f"_text{i}")
+        place = F.when(text.isNotNull(), F.lit(i))
+        for j in reversed(range(i)):
+            place = F.when(text == F.col(f"_text{j}"), F.lit(j)).otherwise(place)
+        df = compute_once(df, f"_first{i}", place)
+        df = compute_once(df, f"_maybe{i}", F.when(F.col(f"_first{i}") == i, maybe_strict(text)))
+        df = compute_once(df, f"_strict{i}", strict_json(F.col(f"_maybe{i}")))
+    rest = [unsettled(F.col(f"_maybe{i}"), F.col(f"_strict{i}")) for i in range(len(texts))]
+    df = compute_once(df, "_rest", F.to_json(numbered(rest)))
+    df = compute_once(df, "_again", F.from_json(reread(F.nullif("_rest", F.lit("{}"))), "map<string,string>"))
+    for i in range(len(texts)):
+        df = compute_once(df, f"_value{i}", F.coalesce(F.col(f"_strict{i}"), F.try_parse_json(F.col("_again")[str(i)])))
+    kept = [f"_{name}{i}" for name in ("first", "value") for i in range(len(texts))]
+    return df.select(*[name for name in df.columns if name in columns or name in kept])
+
+
+def numbered(columns: list[Column]) -> Column:
+    """A struct of the columns with their numbers as names."""
+    return F.struct(*[column.alias(str(i)) for i, column in enumerate(columns)])
+
+
+def taken(name: str, place: Column, upto: int) -> Column:
+    """The column of this name with the number ``place``, which is ``upto`` at most."""
+    found = F.when(place == 0, F.col(f"{name}0"))
+    for i in range(1, upto + 1):
+        found = found.when(place == i, F.col(f"{name}{i}"))
+    return found
 
 
 def read_json(df: DataFrame, reply: str, text: str = "_text", out: str = "_read") -> DataFrame:
@@ -58,8 +82,32 @@ def with_fields(df: DataFrame, value: Column, names: list[str], out: str, kinds:
 def parse_by(df: DataFrame, rule, names: list[str], reply: str = "response", out: str = "parsed", kinds: bool = True) -> DataFrame:
     """Like ``parse_replies`` with one of the simple rules (``in_last_braces``, ``from_last_brace``,
     ``in_final_channel``, ``as_it_is``); ``found`` is false where the rule finds no JSON."""
-    read = read_strict(df, rule(F.col(reply)), "_read")
-    return with_fields(read, F.col("_read"), names, out, kinds).drop("_read")
+    return parse_by_rules(df, {out: rule}, names, reply, kinds=(out,) if kinds else ())
+
+
+def parse_by_rules(df: DataFrame, rules: dict, names: list[str], reply: str = "response", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Adds what each of several simple rules finds, as a struct by the rule's name, and the ``kinds`` for those named there.
+
+    A text that several rules name is read once for all of them.
+    """
+    texts, places = [], {}
+    for out, rule in rules.items():
+        listed = rule(F.col(reply))
+        places[out] = range(len(texts), len(texts) + len(listed))
+        texts += listed
+    read = read_strict(df, texts)
+    for i in range(len(texts)):
+        read = compute_once(read, f"_fields{i}", text_fields(F.col(f"_value{i}"), names, kinds=False))
+    for out in rules:
+        first = [F.col(f"_first{i}") for i in places[out]]
+        at = [F.when(taken("_value", place, i).isNotNull(), place) for place, i in zip(first, places[out])]
+        read = compute_once(read, "_at", F.coalesce(*at))
+        fields = compute_once(read, "_taken", taken("_fields", F.col("_at"), places[out][-1]))
+        value = taken("_value", F.col("_at"), places[out][-1])
+        kind = [F.struct(*[field_kind(value, name).alias(name) for name in names]).alias("kinds")] if out in kinds else []
+        found = F.struct(*[F.col("_taken")[name].alias(name) for name in names], *kind, F.col("_at").isNotNull().alias("found"))
+        read = compute_once(fields, f"_found_{out}", found).drop("_at", "_taken")
+    return read.select(*df.columns, *[F.col(f"_found_{out}").alias(out) for out in rules])
 
 
 def with_scoring_text(df: DataFrame, reply: str = "response", out: str = "scoring_text") -> DataFrame:

@@ -82,9 +82,9 @@ def reply_parse_stage(spark, folder) -> DataFrame:
 
 def reply_fields(spark, folder) -> DataFrame:
     rows, names = views.interest_replies(spark, folder), ["Justification", "IsInterested"]
-    for out, rule in (("last_braces", json_replies.in_last_braces), ("from_brace", json_replies.from_last_brace),
-                      ("final_channel", json_replies.in_final_channel), ("strict", json_replies.as_it_is)):
-        rows = parsing.parse_by(rows, rule, names, out=out, kinds=out == "strict")
+    rules = {"last_braces": json_replies.in_last_braces, "from_brace": json_replies.from_last_brace,
+             "final_channel": json_replies.in_final_channel, "strict": json_replies.as_it_is}
+    rows = parsing.parse_by_rules(rows, rules, names, kinds=("strict",))
     batch = json_replies.all_or_nothing(c("strict"), names)
     return rows.select(
         "row_key", *[c(out)["IsInterested"].alias(out) for out in ("last_braces", "from_brace", "final_channel")],
