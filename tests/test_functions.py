@@ -240,3 +240,11 @@ def test_rules_read_a_text_once_and_share_one_python_pass(spark):
     assert [(got[i].last.a, got[i].front.a, got[i].final.a, got[i].whole.a) for i in (0, 1, 2, 3, 6, 7)] == [
         ("x",) * 4, ("x", "x", "x", None), ("x", None, None, None), (None,) * 4, ("NaN",) * 4, ("2", "2", "2", None)]
     assert got[0].whole.kinds.b == "BOOLEAN" and got[13].whole.found is False and got[13].whole.kinds.a is None
+
+
+def test_prose_without_a_value_is_settled_by_an_expression(spark):
+    prose = ["no idea", "None", "nullable", "trueish", "It's \"so\"", "a } b", "x\ny", "Infinity and more"]
+    others = ["true", "false\n", "null", "NaN", "Infinity", "-Infinity", "5", '"a"', "so [1]", "see {\"a\": 1}", "a ```1``` b", "", "\u00e9t\u00e9"]
+    frame = spark.createDataFrame([(t,) for t in prose + others], "text string")
+    settled = {r.text for r in frame.where(F.col("text").rlike(json_replies._ONLY_PROSE)).collect()}
+    assert settled == set(prose) and all(json_replies.parse_text(t) == (None, "raw") for t in prose)

@@ -179,6 +179,25 @@ def scanned(df):
     return rows
 
 
+def test_many_picks_are_not_made_distinct(spark, monkeypatch):
+    posts = spark.range(600).select(F.col("id").alias("post_id"), F.concat(F.lit("u"), F.col("id") % 7).alias("user"),
+                                    F.col("id").cast("string").alias("tweet"), F.col("id").alias("ord"))
+    store = write_store(posts, 3)
+    picks = store.places.where("post_id % 3 = 0").select("user", "position")
+    picks = picks.unionByName(picks)  # every pick twice
+    want = sorted(2 * [i for i in range(600) if i % 3 == 0])
+    assert sorted(r.post_id for r in store.fetch(picks).collect()) == want  # by few slots
+    monkeypatch.setattr(post_store, "FEW", 100)
+
+    def distinct(frame):
+        raise AssertionError("wanted slots are shuffled")
+
+    monkeypatch.setattr(type(picks), "distinct", distinct)
+    assert sorted(r.post_id for r in store.fetch(picks).collect()) == want
+    monkeypatch.undo()
+    assert store.fetch(picks.limit(0)).count() == 0
+
+
 def test_fetching_few_posts_reads_few(spark, monkeypatch):
     total = 200_000
     posts = spark.range(total).select(

@@ -14,7 +14,6 @@ import re
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -78,6 +77,10 @@ def unreadable(text: Column) -> Column:
     return text.rlike(r"\A\{[^{}\[\]`\"\\]*\}\z") & F.contains(text, F.lit("'")) & F.contains(words, F.lit("\x00"))
 
 
+# Begins with a letter and is neither a JSON word nor has brackets or a fence: no reader finds a value in it
+_ONLY_PROSE = r"\A(?!(?:true|false|null|NaN|Infinity)\s*\z)[A-Za-z][^{\[`]*\z"
+
+
 def strict_json(text: Column) -> Column:
     """The variant of a text that is exactly one strict JSON value, else null.
 
@@ -145,17 +148,21 @@ def plain_result(strict: Column, stage: Column, value: Column) -> Column:
 
 def parse_rest(text: Column, plain: Column) -> Column:
     """The plain result where there is one, else what the lenient parser finds, else stage raw."""
-    hopeless = unreadable(text)
+    hopeless = unreadable(text) | text.rlike(_ONLY_PROSE)
     slow = parse_leniently(F.when(plain["value"].isNull() & (text != "") & ~hopeless, text))
     found = F.struct(F.try_parse_json(slow["json"]).alias("value"), slow["json"].alias("json"),
                      F.coalesce(slow["stage"], F.lit("raw")).alias("stage"))
     return F.when(plain["value"].isNotNull(), plain).when(text.isNotNull(), found)
 
 
-@F.pandas_udf(PARSED)
-def parse_leniently(texts: pd.Series) -> pd.DataFrame:
-    found = [parse_text(text) if text is not None else (None, None) for text in texts]
-    return pd.DataFrame(found, columns=["json", "stage"])
+@F.arrow_udf(PARSED)
+def parse_leniently(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):
+        found = [pa.nulls(len(texts), pa.string())] * 2
+    else:
+        read = [(None, None) if text is None else parse_text(text) for text in texts.to_pylist()]
+        found = [pa.array([r[i] for r in read], pa.string()) for i in (0, 1)]
+    return pa.StructArray.from_arrays(found, ["json", "stage"])
 
 
 def parse_text(text: str) -> tuple[str | None, str]:

@@ -53,17 +53,25 @@ class PostStore:
     def fetch(self, picks: DataFrame, user: str = "user", columns: tuple[str, ...] = ("post_id", "tweet")) -> DataFrame:
         """``picks`` (kept, with ``user`` and ``position``) and these columns of the posts that lie there."""
         wanted = picks.withColumn("_slot", slot_of(user, "position"))
-        slots = wanted.select("_slot").distinct()
-        few = [r[0] for r in slots.limit(FEW + 1).collect()]
+        bits = checkpoint(bit_set(wanted, "_slot"))  # combined in the tasks, so repeated slots need no shuffle
         found = self.rows.select(F.col("user").alias("_user"), F.col("position").alias("_position"), "slot", "bucket", *columns)
-        if len(few) <= FEW:
-            buckets = [r[0] for r in slots.select(bucket_of("_slot", self.buckets)).distinct().collect()]
+        few = self._few(wanted, bits)
+        if few is not None:
+            buckets = [r[0] for r in wanted.select(bucket_of("_slot", self.buckets)).distinct().collect()]
             found = found.where(F.col("bucket").isin(buckets) & F.col("slot").isin(few))
         else:
-            found = maybe_in(found, "slot", bit_set(slots, "_slot"))
+            found = maybe_in(found, "slot", bits)
         same = (F.col("_slot") == F.col("slot")) & (F.col(user) == F.col("_user")) & (F.col("position") == F.col("_position"))
         return wanted.join(found, same).drop("_slot", "slot", "_user", "_position", "bucket")
 
+    @staticmethod
+    def _few(wanted: DataFrame, bits: DataFrame) -> list[int] | None:
+        """The different wanted slots if they are ``FEW`` at most; there are no fewer of them than bits."""
+        if (bits.agg(F.sum(F.bitmap_count("_bitmap"))).first()[0] or 0) > FEW:
+            return None
+        few = [r[0] for r in wanted.select("_slot").distinct().limit(FEW + 1).collect()]
+        return few if len(few) <= FEW else None
+
 
 def write_store(posts: DataFrame, buckets: int = BUCKETS) -> PostStore:
     """All posts (``user, ord, post_id`` and what else they carry) with their position within the user, in the shared folder."""
