@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -608,6 +609,74 @@ def test_every_word_is_counted_and_probabilities_of_all_words_sum_to_one(spark):
         assert abs(sums[r.row] - sum(math.log(want[w]) for w in words(texts[r.doc_id]) if want[w] < least)) < 1e-6
 
 
+def outputs_of(counts):
+    """Outputs for words numbered in the order of falling counts, each of which is its own."""
+    vocabulary = lm_score.Vocabulary.of(counts)
+    first = np.searchsorted(vocabulary.of_bucket, np.arange(len(vocabulary.frequency) + 1))
+    numbers, none = np.arange(len(counts)), np.zeros(len(counts))
+    return lm_score.Outputs(numbers, numbers, 1, np.zeros(2, np.int64), none, vocabulary, first)
+
+
+def plain_gradients(net, outputs, own, around):
+    """Of the sum of negative log probabilities, a word and a softmax at a time."""
+    grad = {k: np.zeros(v.shape) for k, v in net.items()}
+    for i, o in enumerate(own.tolist()):
+        inner = net["shift"].astype(float) + sum(net["embed"][k][around[k][i]].astype(float) for k in range(len(lm_score.OFFSETS)))
+        hidden, back = np.append(np.tanh(inner), 1.0), np.zeros(lm_score.WIDTH)
+        of_class = int(outputs.vocabulary.of_bucket[o])
+        low, high = outputs.first[of_class], outputs.first[of_class + 1]
+        for name, a, b, chosen in (("out", 0, len(net["out"]), of_class), ("word", low, high, o)):
+            if b > a + 1:
+                logits = net[name][a:b].astype(float) @ hidden
+                wrong = np.exp(logits - logits.max())
+                wrong /= wrong.sum()
+                wrong[chosen - a] -= 1
+                grad[name][a:b] += np.outer(wrong, hidden)
+                back += wrong @ net[name][a:b, : lm_score.WIDTH]
+        back *= 1 - hidden[: lm_score.WIDTH] ** 2
+        grad["shift"] += back
+        for k in range(len(lm_score.OFFSETS)):
+            grad["embed"][k][around[k][i]] += back
+    return grad
+
+
+@pytest.mark.parametrize("size, held", [(1.0, 1 << 18), (1.0, 300), (20.0, 300)])
+@pytest.mark.parametrize("words", [40, 900])
+def test_a_step_moves_by_the_gradients_of_single_words(monkeypatch, words, size, held):
+    monkeypatch.setattr(lm_score, "HELD", held)  # a softmax is then made in pieces of a few words
+    draw = np.random.default_rng(5)
+    outputs = outputs_of(np.sort((draw.pareto(1.0, 400) * 50).astype(int) + 1)[::-1])
+    sizes = np.diff(outputs.first)
+    assert sizes.min() == 1 < sizes.max()
+    trainer = lm_score.Trainer({k: v * np.float32(size) for k, v in lm_score.fresh_network(outputs.vocabulary).items()}, outputs)
+    own = np.minimum(draw.pareto(0.7, words) * 3, 399).astype(np.int32)
+    around, before = lm_score.windows(own), {k: v.copy() for k, v in trainer.net.items()}
+    assert lm_score.small(before["word"]) == (size == 1.0)
+    grad = plain_gradients(before, outputs, own, around)
+    trainer.step(own, around)
+    for k in grad:
+        # the first step of Adagrad: where a gradient is about 0 its rounding counts, so gradients are compared, not steps
+        assert np.allclose(np.sqrt(np.maximum(trainer.square[k] - 1e-6, 0)), np.abs(grad[k]), atol=2e-3, rtol=2e-3)
+        clear = np.abs(grad[k]) > 0.02
+        assert np.allclose((before[k] - trainer.net[k])[clear], 0.1 * np.sign(grad[k])[clear], atol=2e-3)
+        assert np.array_equal(trainer.net[k][grad[k] == 0], before[k][grad[k] == 0])
+    assert np.array_equal(trainer.class_uses, np.bincount(outputs.vocabulary.of_bucket[own], minlength=len(sizes)))
+    for side, uses in zip(around, trainer.uses):
+        assert np.array_equal(uses, np.bincount(np.where(side < 0, 400, side), minlength=401))
+
+
+def test_a_step_never_holds_the_exponentials_of_all_its_words():
+    outputs = outputs_of(np.full(1 << 16, 7))
+    trainer = lm_score.Trainer(lm_score.fresh_network(outputs.vocabulary), outputs)
+    own = np.random.default_rng(6).integers(0, 1 << 16, 1 << 17).astype(np.int32)
+    around = lm_score.windows(own)
+    tracemalloc.start()
+    trainer.step(own, around)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(own) * len(trainer.net["out"]) * 4
+
+
 def test_own_words_grow_with_the_corpus(spark):
     found = []
     for total in (10**6, 10**8):  # a word of rank r occurs total / (20 r) times

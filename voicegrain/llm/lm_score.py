@@ -35,6 +35,8 @@ GROUP_PER_OUTPUT, GROUP_WORDS = 400, 500_000
 
 #: Words of a step: one for each output of the network, within these bounds.
 STEP_WORDS = (1024, 1 << 14)
+#: Words and exponentials of a softmax that are held at once, few enough for a core's cache.
+TOGETHER, HELD = 1 << 11, 1 << 18
 
 #: Words counted together in a task before its counts go to the shuffle.
 COUNTED = 1 << 22
@@ -164,59 +166,100 @@ def windows(outputs: np.ndarray) -> np.ndarray:
 
 def small(rows: np.ndarray) -> bool:
     """Whether no logit of these rows can be too large for an exponential, as the hidden layer is within -1 and 1."""
-    return not len(rows) or float(np.abs(rows).sum(1).max()) <= 60
+    return not len(rows) or float((np.abs(rows) @ np.ones(rows.shape[1], np.float32)).max()) <= 60
 
 
-def exponentials(hidden: np.ndarray, rows: np.ndarray, are_small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the logits of all ``rows``, but for a factor for each word, and their sums."""
-    powers = hidden @ rows.T
-    if not are_small:
-        powers -= powers.max(1, keepdims=True)
-    np.exp(powers, out=powers)
-    return powers, powers @ np.ones(len(rows), np.float32)
+class Room:
+    """Arrays that all softmaxes of a task use again: to get new ones from the system takes as long as to fill them."""
 
+    def __init__(self, widest: int):
+        self.logits = np.empty(max(HELD, widest), np.float32)
+        self.ones = np.ones(widest, np.float32)
+        self.parts = np.empty((TOGETHER, WIDTH + 1), np.float32)
+        self.numbers = np.arange(TOGETHER)
 
-def log_chosen(hidden: np.ndarray, rows: np.ndarray, chosen: np.ndarray, are_small: bool) -> np.ndarray:
+    @staticmethod
+    def of(outputs: Outputs) -> Room:
+        return Room(max(int(np.diff(outputs.first).max()), len(outputs.first) - 1))
+
+    def logits_of(self, hidden: np.ndarray, rows: np.ndarray, chosen: np.ndarray, are_small: bool):
+        """Ranges of words, the logits of all ``rows`` for them, but for a summand for each word, and where the chosen ones stand."""
+        wide = len(rows)
+        most = min(TOGETHER, len(self.logits) // wide)
+        for a in range(0, len(hidden), most):
+            b = min(a + most, len(hidden))
+            logits = np.matmul(hidden[a:b], rows.T, out=self.logits[: (b - a) * wide].reshape(b - a, wide))
+            if not are_small:
+                logits -= logits.max(1, keepdims=True)
+            yield a, b, logits, self.numbers[: b - a] * wide + chosen[a:b]
+
+
+def log_chosen(
+    hidden: np.ndarray, rows: np.ndarray, chosen: np.ndarray, are_small: bool, room: Room | None = None
+) -> np.ndarray:
     """The logarithm of the chosen row's part of all rows' exponentials, for each word."""
-    if are_small:
-        powers, sums = exponentials(hidden, rows, True)
-        return np.log(powers[np.arange(len(hidden)), chosen] / sums)
-    logits = hidden @ rows.T
-    logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(hidden)), chosen]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+    room, out = room or Room(len(rows)), np.empty(len(hidden), np.float32)
+    for a, b, logits, at in room.logits_of(hidden, rows, chosen, are_small):
+        own = logits.ravel()[at]
+        np.subtract(own, np.log(np.exp(logits, out=logits) @ room.ones[: len(rows)]), out=out[a:b])
+    return out
+
+
+def add_gradients(room: Room, hidden, rows, chosen, are_small: bool, back: np.ndarray, grad: np.ndarray) -> None:
+    """Add the gradients of the words' negative log probabilities to ``back``, where the constant has none, and ``grad``.
+
+    A word's errors are its exponentials, less their sum at the chosen row, over that sum. The sum divides what is
+    made of them, which is narrower.
+    """
+    inner = np.ascontiguousarray(rows[:, :WIDTH])
+    for a, b, powers, at in room.logits_of(hidden, rows, chosen, are_small):
+        np.exp(powers, out=powers)
+        sums = powers @ room.ones[: len(rows)]
+        powers.ravel()[at] -= sums
+        part = (1 / sums)[:, None]
+        wrong = powers @ inner
+        wrong *= part
+        back[a:b] += wrong
+        grad += powers.T @ np.multiply(hidden[a:b], part, out=room.parts[: b - a])
 
 
 def hidden_layer(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    inner = net["embed"][0][around[0]] + net["shift"]
+    inner = net["embed"][0].take(around[0], 0)
+    inner += net["shift"]
+    side = np.empty_like(inner)
     for i in range(1, len(OFFSETS)):
-        inner += net["embed"][i][around[i]]
+        inner += net["embed"][i].take(around[i], 0, out=side, mode="wrap")
     hidden = np.ones((len(inner), WIDTH + 1), np.float32)
     np.tanh(inner, out=hidden[:, :WIDTH])
     return hidden
 
 
-def by_class(classes: np.ndarray, first: np.ndarray):
-    """Order of the words by class, and for each class of several outputs its words' range there and its outputs'."""
-    order = np.argsort(classes.astype(np.int16) if len(first) < 1 << 15 else classes, kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=len(first) - 1)).tolist()
-    bounds = first.tolist()
-    return order, [
-        (a, b, bounds[c], bounds[c + 1]) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a and bounds[c + 1] > bounds[c] + 1
+def order_of(numbers: np.ndarray, below: int) -> np.ndarray:
+    """A stable order; numbers of 16 bits are sorted by radix."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
+def class_ranges(own: np.ndarray, first: np.ndarray):
+    """For each class with words and several outputs the range of its words, which are in the order of outputs, and of its outputs."""
+    ends, bounds = np.searchsorted(own, first).tolist(), first.tolist()
+    return [
+        (a, b, low, high) for a, b, low, high in zip(ends, ends[1:], bounds, bounds[1:]) if b > a and high > low + 1
     ]
 
 
-def log_probabilities(net: dict[str, np.ndarray], outputs: Outputs, own: np.ndarray, around: np.ndarray) -> np.ndarray:
+def log_probabilities(
+    net: dict[str, np.ndarray], outputs: Outputs, own: np.ndarray, around: np.ndarray, room: Room | None = None
+) -> np.ndarray:
     """Of each word's output, given the words around it."""
-    classes = outputs.vocabulary.of_bucket[own]
-    hidden = hidden_layer(net, around)
-    found = log_chosen(hidden, net["out"], classes, small(net["out"]))
-    order, ranges = by_class(classes, outputs.first)
-    hidden, place, are_small = hidden[order], own[order], small(net["word"])
-    inside = np.zeros(len(own), np.float32)
-    for a, b, low, high in ranges:
-        inside[a:b] = log_chosen(hidden[a:b], net["word"][low:high], place[a:b] - low, are_small)
-    found[order] += inside
+    order = order_of(own, len(net["word"]))
+    place = own[order]
+    hidden, classes = hidden_layer(net, around.take(order, 1)), outputs.vocabulary.of_bucket[place]
+    room = room or Room.of(outputs)
+    logs, are_small = log_chosen(hidden, net["out"], classes, small(net["out"]), room), small(net["word"])
+    for a, b, low, high in class_ranges(place, outputs.first):
+        logs[a:b] += log_chosen(hidden[a:b], net["word"][low:high], place[a:b] - low, are_small, room)
+    found = np.empty_like(logs)
+    found[order] = logs
     return found
 
 
@@ -224,51 +267,59 @@ class Trainer:
     """Adagrad on the negative log probability of the masked words; rows of parameters not in use stay as they are."""
 
     def __init__(self, net: dict[str, np.ndarray], outputs: Outputs, rate: float = 0.1):
-        self.net, self.outputs, self.rate, self.words = {k: v.copy() for k, v in net.items()}, outputs, rate, 0
+        self.net, self.outputs, self.rate, self.words = {k: v.copy() for k, v in net.items()}, outputs, np.float32(rate), 0
         self.square = {k: np.full_like(v, 1e-6) for k, v in net.items()}
         self.uses = np.zeros((len(OFFSETS), len(net["word"]) + 1), np.int64)
         self.class_uses = np.zeros(len(net["out"]), np.int64)
-
-    def move(self, name: str, rows, grad: np.ndarray) -> None:
-        square = self.square[name][rows] + grad * grad
-        self.square[name][rows] = square
-        self.net[name][rows] -= self.rate * grad / np.sqrt(square)
+        self.room, self.sums = Room.of(outputs), np.empty_like(net["embed"][0])
+        self.root = np.empty(self.sums.shape[0] * (WIDTH + 1), np.float32)
+
+    def move(self, net: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
+        """Move all rows; ``grad`` is used up."""
+        root = np.multiply(grad, grad, out=self.root[: grad.size].reshape(grad.shape))
+        square += root
+        np.sqrt(square, out=root)
+        grad /= root
+        grad *= self.rate
+        net -= grad
+
+    def move_used(self, net: np.ndarray, square: np.ndarray, used: np.ndarray, grad: np.ndarray) -> None:
+        """Move the used rows; the gradients of others are 0 and change nothing, so many are moved with all of them."""
+        if 4 * len(used) > len(net):
+            return self.move(net, square, grad)
+        some, squares = net.take(used, 0), square.take(used, 0)
+        self.move(some, squares, grad.take(used, 0))
+        net[used], square[used] = some, squares
 
     def step(self, own: np.ndarray, around: np.ndarray) -> None:
-        n, net = len(own), self.net
+        net, size = self.net, len(self.net["word"])
+        order = order_of(own, size)  # a class is a run of words then
+        own, around = own[order], around.take(order, 1)
         classes = self.outputs.vocabulary.of_bucket[own]
         hidden = hidden_layer(net, around)
-        error, sums = exponentials(hidden, net["out"], small(net["out"]))
-        error *= (1 / sums)[:, None]
-        error[np.arange(n), classes] -= 1
-        back = error @ net["out"][:, :WIDTH]
-        order, ranges = by_class(classes, self.outputs.first)
-        sorted_hidden, place, are_small = hidden[order], own[order], small(net["word"])
-        more, grad = np.zeros_like(back), np.zeros_like(net["word"])
-        for a, b, low, high in ranges:
-            h, word = sorted_hidden[a:b], net["word"][low:high]
-            wrong, sums = exponentials(h, word, are_small)
-            wrong *= (1 / sums)[:, None]
-            wrong[np.arange(b - a), place[a:b] - low] -= 1
-            np.matmul(wrong, word[:, :WIDTH], out=more[a:b])
-            np.matmul(wrong.T, h, out=grad[low:high])
-        back[order] += more
-        back *= 1 - hidden[:, :WIDTH] ** 2
-        every = slice(None)
-        self.move("word", every, grad)
-        self.move("out", every, error.T @ hidden)
-        self.move("shift", every, back.sum(0))
-        rows = len(net["word"]) + 1
+        back, grad = np.zeros((len(own), WIDTH), np.float32), {k: np.zeros_like(net[k]) for k in ("out", "word")}
+        add_gradients(self.room, hidden, net["out"], classes, small(net["out"]), back, grad["out"])
+        are_small = small(net["word"])
+        for a, b, low, high in class_ranges(own, self.outputs.first):
+            word = net["word"][low:high]
+            add_gradients(self.room, hidden[a:b], word, own[a:b] - low, are_small, back[a:b], grad["word"][low:high])
+        rest = hidden[:, :WIDTH]
+        back *= 1 - rest * rest
+        for k in grad:
+            self.move(net[k], self.square[k], grad[k])
+        self.move(net["shift"], self.square["shift"], np.ones(len(back), np.float32) @ back)
+        # two floats at once: sums by row take the time of their additions
+        pairs, flat = np.arange(WIDTH // 2), back.view(np.complex64).ravel()
         for i, side in enumerate(around):
-            side = np.where(side < 0, rows - 1, side)
-            uses = np.bincount(side, minlength=rows)
-            used = np.flatnonzero(uses)
-            cells = (side[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-            sums = np.bincount(cells, back.ravel(), rows * WIDTH).reshape(rows, WIDTH)
-            self.move("embed", (i, used), sums[used].astype(np.float32))
+            side = np.where(side < 0, size, side)
+            uses = np.bincount(side, minlength=size + 1)
+            sums = self.sums
+            sums.fill(0)
+            np.add.at(sums.view(np.complex64).ravel(), (side[:, None] * (WIDTH // 2) + pairs).ravel(), flat)
+            self.move_used(net["embed"][i], self.square["embed"][i], np.flatnonzero(uses), sums)
             self.uses[i] += uses
         self.class_uses += np.bincount(classes, minlength=len(self.class_uses))
-        self.words += n
+        self.words += len(own)
 
     def rows(self):
         """All parameters in rows with their weights in the average, ``BLOCK`` rows at a time."""
@@ -458,16 +509,16 @@ def shared_counts(encoded: DataFrame, counts: DataFrame, least: int, distinct: i
     return found.mapInArrow(meet, "row bigint, log_counts double").groupBy("row").agg(F.sum("log_counts").alias("log_counts"))
 
 
-def log_likelihoods(net: dict[str, np.ndarray], outputs: Outputs, texts: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
+def log_likelihoods(net: dict[str, np.ndarray], outputs: Outputs, texts: list[np.ndarray], chunk: int = 1 << 16) -> np.ndarray:
     """Of each text the sum of its words' conditional log probabilities, less the logarithms of the counts to be joined."""
-    out = np.zeros(len(texts))
+    out, room = np.zeros(len(texts)), Room.of(outputs)
     owns, around, of, held = [], [], [], 0
 
     def add():
         own, sides, text = np.concatenate(owns), np.concatenate(around, 1), np.concatenate(of)
         for i in range(0, len(own), chunk):
             part = own[i : i + chunk]
-            logs = log_probabilities(net, outputs, part, sides[:, i : i + chunk]) - outputs.log_counts[part]
+            logs = log_probabilities(net, outputs, part, sides[:, i : i + chunk], room) - outputs.log_counts[part]
             np.add(out, np.bincount(text[i : i + chunk], logs, len(texts)), out=out)
 
     for k, own in enumerate(texts):
